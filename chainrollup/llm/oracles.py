@@ -28,7 +28,7 @@ s AS (
   FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR upper_case > lower_case + 20
+  NOT (base_failed OR 10 * n_symbols > n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) OR upper_case > lower_case + 20
        OR 10 * bangs > 3 * n_words OR word_chars > 40 * n_words) AS kept
 FROM b
 """

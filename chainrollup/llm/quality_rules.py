@@ -108,7 +108,7 @@ BASE_RULES = (
 #: Beside the base rules. All are far from what running prose in a Latin script shows.
 MORE_RULES = (
     Rule("symbols", lambda v: 10 * v.n_symbols > v.n_words),
-    Rule("same_lines", lambda v: 100 * v.n_dup_lines > 30 * len(v.lines)),
+    Rule("same_lines", lambda v: v.n_dup_lines >= 3 and 100 * v.n_dup_lines > 30 * len(v.lines)),
     Rule("capitals", lambda v: v.count_of(UPPER) > v.count_of(LOWER) + 20),
     Rule("exclamations", lambda v: 10 * v.data.count(b"!") > 3 * v.n_words),
     Rule("long_words", lambda v: v.word_chars > 40 * v.n_words),
