@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, mixing, near_dedup, packing, quality_rules
+from . import common, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity
 
 
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +27,19 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(common.documents(spark, sf_dir), stats=True)
 
 
+def op8_gbt_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
+
+
+def op9_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(common.documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_temperature_mixing, op4_setsketch_near_dedup, op5_best_fit_packing, op6_quality_cascade, op10_exact_dedup)
+    for f in (op3_temperature_mixing, op4_setsketch_near_dedup, op5_best_fit_packing, op6_quality_cascade, op8_gbt_toxicity, op9_pairwise_quality, op10_exact_dedup)
 }
