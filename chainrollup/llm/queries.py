@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity
+from . import class_lm, common, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity
+
+
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.lm_scores(common.documents(spark, sf_dir))
 
 
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,5 +45,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_temperature_mixing, op4_setsketch_near_dedup, op5_best_fit_packing, op6_quality_cascade, op8_gbt_toxicity, op9_pairwise_quality, op10_exact_dedup)
+    for f in (op2_class_lm, op3_temperature_mixing, op4_setsketch_near_dedup, op5_best_fit_packing, op6_quality_cascade, op8_gbt_toxicity, op9_pairwise_quality, op10_exact_dedup)
 }
