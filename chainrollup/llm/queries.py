@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, common, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity
+from . import class_lm, common, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 
 def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(common.documents(spark, sf_dir), stats=True)
 
 
+def op7_bwt_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.remove_repeats(common.documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"])
+    return got.select("doc_id", (F.octet_length("kept").cast("long") + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_gbt_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
 
@@ -45,5 +51,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_class_lm, op3_temperature_mixing, op4_setsketch_near_dedup, op5_best_fit_packing, op6_quality_cascade, op8_gbt_toxicity, op9_pairwise_quality, op10_exact_dedup)
+    for f in (op2_class_lm, op3_temperature_mixing, op4_setsketch_near_dedup, op5_best_fit_packing, op6_quality_cascade, op7_bwt_suffix_dedup, op8_gbt_toxicity, op9_pairwise_quality, op10_exact_dedup)
 }
