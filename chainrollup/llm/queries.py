@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, common, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import chaining, class_lm, common, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+
+
+def op1_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.fuzzy_passages(common.documents(spark, sf_dir))
 
 
 def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,5 +55,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_class_lm, op3_temperature_mixing, op4_setsketch_near_dedup, op5_best_fit_packing, op6_quality_cascade, op7_bwt_suffix_dedup, op8_gbt_toxicity, op9_pairwise_quality, op10_exact_dedup)
+    for f in (op1_collinear_chaining, op2_class_lm, op3_temperature_mixing, op4_setsketch_near_dedup, op5_best_fit_packing, op6_quality_cascade, op7_bwt_suffix_dedup, op8_gbt_toxicity, op9_pairwise_quality, op10_exact_dedup)
 }
