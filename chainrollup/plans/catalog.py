@@ -1,4 +1,9 @@
 """Registered queries and the SQL that must agree with them."""
 
+from . import metrics_queries, people_queries, state_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for part in (metrics_queries, people_queries, state_queries):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
