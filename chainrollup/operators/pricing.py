@@ -12,7 +12,7 @@ SMALL = 64 << 20
 
 def small(df: DataFrame) -> DataFrame:
     """Asks for a broadcast if the optimizer's size of the table is at most 64 MB; else the join shuffles."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return F.broadcast(df) if size <= SMALL else df
 
 
