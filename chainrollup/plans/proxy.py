@@ -158,3 +158,35 @@ def oracle(sql: str) -> str:
     head = ", ".join(f"{n} AS ({SQL[n]})" for n in used)
     body = sql.strip()
     return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
+
+
+SQL["p_x"] = f"SELECT event_id, event_id // 8 AS tx, event_id // 32 AS height, event_id % 8 AS i, event_type AS t, CAST(user_id AS VARCHAR) AS u, CAST(round(value * 100) AS BIGINT) AS c, {_K} AS k, CAST(min(ts) OVER (PARTITION BY event_id // 32) AS DATE) AS day, (event_id // 8) % 5 = 0 AS failed FROM events"
+
+
+def blocks(spark, d):
+    """Blocks with results out of `events`: eight consecutive events are a transaction, four transactions a block."""
+    from ..sources.blocks import EVENT
+
+    e = table(spark, d, "events").select("event_id", "ts", F.col("event_type").alias("t"), F.col("user_id").cast("string").alias("u"), cents("value").cast("string").alias("c"), _k().alias("k"))
+    kv = lambda **a: F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in a.items()])
+    coin, bld = F.concat("c", F.lit("den"), (F.col("k") % 3).cast("string")), F.concat("c", F.lit("ubld"))
+    at = F.col("event_id") % 3
+    kinds = {
+        "click": ("coin_received", kv(receiver=F.col("u"), amount=coin, msg_index=at)), "view": ("transfer", kv(recipient=F.col("u"), amount=coin, msg_index=at)), "purchase": ("tx", kv(fee=bld, fee_payer=F.col("u"))),
+        "signup": ("message", kv(action=F.when(F.col("k") % 2 == 0, "/agoric.swingset.MsgInstallBundle").otherwise("/x"))), "error": ("coin_spent", kv(spender=F.col("u"), amount=bld)),
+    }
+    event = F.coalesce(*[F.when(F.col("t") == t, F.struct(F.lit(n).alias("type"), a.alias("attributes"))) for t, (n, a) in kinds.items()])
+    send = F.to_json(F.struct(F.col("u").alias("fromAddress"), F.array(F.struct(F.concat(F.lit("den"), (F.col("k") % 3).cast("string")).alias("denom"), F.col("c").alias("amount"))).alias("amount")))
+    other = F.col("k") % 3 == 0
+    url = F.when(other, F.when(F.col("k") % 2 == 0, "/ibc.core.channel.v1.MsgRecvPacket").otherwise("/cosmos.gov.v1.MsgVote")).otherwise("/cosmos.bank.v1beta1.MsgSend")
+    trace = F.when(F.col("k") % 2 == 0, F.concat(F.lit("transfer/channel-"), F.col("k").cast("string"))).otherwise("ubld")
+    packet = F.struct(F.lit("send_packet").alias("type"), kv(packet_src_port=F.lit("transfer"), mode=F.when(F.col("event_id") % 2 == 0, "EndBlock").otherwise("DeliverTx"), packet_data=F.to_json(F.struct(trace.alias("denom"), F.col("c").alias("amount")))).alias("attributes"))
+    e = e.select("event_id", "ts", "u", F.col("c").cast("long").alias("n"), event.alias("event"), F.struct(url.alias("type_url"), F.when(other, "{}").otherwise(send).alias("body")).alias("message"), F.when(F.col("t") == "error", packet).alias("packet"))
+    row = F.sort_array(F.collect_list(F.struct("event_id", "u", "n", "event", "message", "packet")))  # eight rows
+    txs = e.groupBy(F.expr("event_id div 8").alias("tx_id")).agg(row.alias("r"), F.sum("n").alias("gas"), F.min("ts").alias("ts"))
+    tx_ = F.struct(F.base64(F.col("tx_id").cast("string").cast("binary")).alias("raw"), F.col("r.message").alias("messages"), F.slice(F.col("r.u"), 1, 1).alias("signers"), F.lit(None).cast("string").alias("fee_granter"), F.lit(None).cast("string").alias("fee_payer"))
+    result = F.struct((F.col("tx_id") % 5 == 0).cast("int").alias("code"), F.col("gas").cast("string").alias("gas_used"), (F.col("gas") * 2).cast("string").alias("gas_wanted"), F.col("r.event").alias("events"))
+    txs = txs.select("tx_id", "ts", tx_.alias("tx"), result.alias("result"), F.array_compact(F.col("r.packet")).alias("packets"))
+    each = F.sort_array(F.collect_list(F.struct("tx_id", F.struct("tx", "result", "packets").alias("p"))))  # four rows
+    b = txs.groupBy(F.expr("tx_id div 4").alias("height")).agg(F.min("ts").alias("time"), each.alias("e"))
+    return b.select("height", "time", F.col("e.p.tx").alias("txs"), F.col("e.p.result").alias("txs_results"), F.lit(None).cast(f"array<{EVENT}>").alias("finalize_block_events"), F.flatten(F.col("e.p.packets")).alias("end_block_events"), F.when(F.col("height") % 10 == 0, "-1").otherwise("1000000").alias("max_gas"))
