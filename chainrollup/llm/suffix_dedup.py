@@ -231,7 +231,11 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, seed: int = SEED, bi
                 row, was = was, row
             best[key] = row
             if was is not None and (was[1], was[3]) != (row[1], row[3]):
-                out.append(((was[1] * 0x9E3779B1 + was[3]) % LAST, *was[1:6], None))  # done with: dealt evenly
+                end = out[-1] if out else None  # repeats that adjoin are one row
+                if end and end[6] is None and end[1:3] == was[1:3] and end[4] <= was[4] <= end[5] + 1:
+                    out[-1] = (*end[:5], max(end[5], was[5]), None)
+                else:
+                    out.append(((was[1] * 0x9E3779B1 + was[3]) % LAST, *was[1:6], None))  # done with: dealt evenly
 
         for batch, data, bounds in _batches(batches):
             raw = np.frombuffer(data, np.uint8)
