@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Labels of chain ids, and the states that end a flow.
 CHAINS = {"eip155:1": "Ethereum", "eip155:10": "Optimism", "eip155:8453": "Base", "eip155:42161": "Arbitrum", "eip155:43114": "Avalanche", "eip155:137": "Polygon", "cosmos:agoric-3": "agoric", "cosmos:noble-1": "noble"}
 TERMINAL = ["done", "fail", "failed", "error", "cancelled"]
 
