@@ -243,3 +243,8 @@ def offer_outcome_deltas(blocks: DataFrame) -> DataFrame:
     payouts = F.transform(capdata.amount_legs(F.get_json_object("json", "$.status.payouts")), lambda x: _delta("offer_payout_volume", F.coalesce(x["brand"], F.lit("")), x["value"]))
     deltas = F.concat(F.array(_delta("offer_outcome", F.col("outcome"), 1), _delta("offer_outcome_category", offers.outcome_dim(category, F.col("outcome")), 1)), payouts)
     return cells.select("height", "hour", F.inline(deltas))
+
+
+def rollup_deltas(blocks: DataFrame, modules: list[str] = ()) -> DataFrame:
+    """height, hour, series, dimension, delta: all that the rollups sum, in batch, stream and backfill alike."""
+    return all_deltas(blocks, modules).unionByName(offer_outcome_deltas(blocks))

@@ -40,8 +40,8 @@ NAMES = {
 MODULES = ["3", "5"]
 
 
-def daily(spark, d):
-    days = kpis.rollup_days(kpis.rollup_hours(extract.all_deltas(P.blocks(spark, d), MODULES)))
+def daily(spark, d, deltas=extract.all_deltas):
+    days = kpis.rollup_days(kpis.rollup_hours(deltas(P.blocks(spark, d), MODULES)))
     return days.withColumn("value", F.col("value").cast("long"))
 
 
@@ -56,8 +56,8 @@ for _key, _sql in SERIES_SQL.items():
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({s})" for s in SERIES_SQL.values()))
 def job_rollup(spark, d):
-    """All series of the blocks, in one scan of them."""
-    return daily(spark, d)
+    """All series of the blocks."""
+    return daily(spark, d, extract.rollup_deltas)
 
 
 @query("SELECT height, CAST(tx % 4 AS INTEGER) AS tx_i, CAST(failed AS INTEGER) AS code, CAST(sum(c) AS VARCHAR) AS gas_used FROM p_x GROUP BY ALL")

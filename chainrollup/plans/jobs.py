@@ -15,7 +15,7 @@ from ..sources import store
 def rollup_tables(blocks: DataFrame, modules: list[str] = ()) -> dict[str, DataFrame]:
     """Every table that blocks feed."""
     txs = extract.tx_rows(blocks)
-    hours = kpis.rollup_hours(extract.all_deltas(blocks, modules).drop("height").unionByName(extract.offer_outcome_deltas(blocks).drop("height")))
+    hours = kpis.rollup_hours(extract.rollup_deltas(blocks, modules))
     return {"hourly_metrics": hours, "daily_metrics": kpis.rollup_days(hours), "participant_day": extract.participants(txs), "address_fee_day": extract.address_fees(txs), "address_volume_day": extract.address_volumes(txs), "bundle_install": extract.bundle_installs(txs), "provision_pool_day": extract.pool_snapshots(blocks)}
 
 
@@ -39,8 +39,12 @@ def participation_report(people: DataFrame, priced: DataFrame, start: date, end:
 
 
 def backfill_series(blocks: DataFrame, control: DataFrame, job: str, series: str, path: str, modules: list[str] = ()) -> None:
-    """Recomputes one series over blocks above the job's committed height and swaps its partition."""
-    fresh = kpis.rollup_hours(extract.all_deltas(store.resume_guard(blocks, control, job), modules).where(F.col("series") == series))
+    """Recomputes one series over blocks above the job's committed height and swaps its partition. Without a committed height the
+    fresh rows replace the stored ones, else they are added to them; the height must be committed before the job runs again."""
+    fresh = kpis.rollup_hours(extract.rollup_deltas(store.resume_guard(blocks, control, job), modules).where(F.col("series") == series))
+    if control.where((F.col("job") == job) & F.col("last_height").isNotNull()).head(1):
+        stored = blocks.sparkSession.read.schema(fresh.schema).parquet(path).where(F.col("series") == series)
+        fresh = store.merge_additive(stored, fresh, ["hour", *store.ROLLUP_KEY])
     store.overwrite_series(fresh, path)
 
 

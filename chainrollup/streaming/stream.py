@@ -67,7 +67,7 @@ def stream_rollup(blocks: DataFrame, store: DeltaStore, checkpoint: str, modules
     def step(batch: DataFrame, number: int) -> None:
         if keep:
             keep(batch, number)
-        store.write(kpis.rollup_hours(extract.all_deltas(batch, list(modules))), number)
+        store.write(kpis.rollup_hours(extract.rollup_deltas(batch, list(modules))), number)
 
     return blocks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
