@@ -227,11 +227,60 @@ def pool_snapshots(blocks: DataFrame) -> DataFrame:
 
 
 def state_cells(blocks: DataFrame) -> DataFrame:
-    """height, day, hour, ev_i, val_i, kind, path, json: every published value of the tracked state paths, in block order."""
+    """height, day, hour, ev_i, val_i, kind, path, json, slots: every published value of the tracked state paths, in block order."""
     ev = blocks.select("height", "time", F.posexplode(block_events()).alias("ev_i", "e")).where("e.type = 'state_change'")
     rows = ev.select("height", F.to_date("time").alias("day"), F.date_trunc("hour", "time").alias("hour"), "ev_i", capdata.vstorage_path(events.attr_last(F.col("e"), "key")).alias("path"), F.posexplode(capdata.stream_values(events.attr_last(F.col("e"), "value"))).alias("val_i", "v"))
     rows = rows.withColumn("kind", capdata.classify_state_path(F.col("path"))).where("kind <> 'other'")
-    return rows.select("height", "day", "hour", "ev_i", "val_i", "kind", "path", F.regexp_replace(F.get_json_object("v", "$.body"), "^#", "").alias("json"))
+    return rows.select("height", "day", "hour", "ev_i", "val_i", "kind", "path", F.regexp_replace(F.get_json_object("v", "$.body"), "^#", "").alias("json"), F.from_json(F.get_json_object("v", "$.slots"), "array<string>").alias("slots"))
+
+
+def _ymax(cells: DataFrame, kind: str, *key: str) -> DataFrame:
+    """The cells of one kind whose value is an object, with contract, portfolio, further parts of the path and the order within the block."""
+    rows = cells.where((F.col("kind") == kind) & F.get_json_object("json", "$").startswith("{"))
+    return rows.select(F.col("path")[1].alias("contract"), F.col("path")[3].alias("portfolio"), *[F.col("path")[5].alias(k) for k in key], "day", "height", F.struct("ev_i", "val_i").alias("seq"), "json", "slots")
+
+
+def _denom(brand: Column, brands: dict[str, str] | None) -> Column:
+    """What `brands` (board id -> denomination) has for a brand, null if nothing; without it the brand as published."""
+    if brands is None:
+        return brand
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in brands.items() for x in kv]).cast("map<string,string>"), brand)
+
+
+def portfolio_rows(cells: DataFrame) -> DataFrame:
+    """contract, portfolio, deposit, agoric_account, accounts, policy_version, flow_count, height, seq from state_cells."""
+    rows = _ymax(cells, "portfolio").withColumn("f", capdata.portfolio_fields(F.col("json")))
+    agoric = capdata.split_account(F.try_element_at(F.col("f.accounts"), F.lit("agoric")))["address"]
+    return rows.select("contract", "portfolio", "f.deposit", agoric.alias("agoric_account"), "f.accounts", capdata.nat_of(F.get_json_object("json", "$.policyVersion")).cast("long").alias("policy_version"), "f.flow_count", "height", "seq")
+
+
+def position_rows(cells: DataFrame, brands: dict[str, str] | None = None) -> DataFrame:
+    """contract, portfolio, position_key, protocol, chain, account_id, denom, total_in, total_out, net, height, seq from state_cells."""
+    rows = _ymax(cells, "position", "position_key").withColumn("f", capdata.position_fields(F.col("json"), F.col("position_key"))).where("f IS NOT NULL")
+    named = capdata.capdata_fields(F.col("json"), F.col("slots"), {n: f"$.{n}.brand" for n in ("totalIn", "totalOut", "netTransfers")})
+    brand = F.coalesce(*[named[n] for n in ("totalIn", "totalOut", "netTransfers")])
+    return rows.select("contract", "portfolio", "position_key", "f.protocol", "f.chain", F.get_json_object("json", "$.accountId").alias("account_id"), _denom(brand, brands).alias("denom"), "f.total_in", "f.total_out", "f.net", "height", "seq")
+
+
+def flow_rows(cells: DataFrame, brands: dict[str, str] | None = None) -> DataFrame:
+    """contract, portfolio, flow_id, flow_type, denom, amount, day, height, state, progress, seq: the sightings of flows in state_cells.
+    A portfolio's record announces its running flows, a flow's own record has its progress."""
+    said = _ymax(cells, "portfolio").select("contract", "portfolio", "day", "height", "seq", "slots", F.explode(capdata.portfolio_fields(F.col("json"))["flows"]).alias("flow_id", "flow")).where(F.get_json_object("flow", "$").startswith("{"))
+    amount = capdata.nat_of(F.get_json_object("flow", "$.amount.value"))
+    brand = capdata.capdata_fields(F.col("flow"), F.col("slots"), {"brand": "$.amount.brand"})["brand"]
+    said = said.select("contract", "portfolio", "flow_id", F.coalesce(F.get_json_object("flow", "$.type"), F.lit("unknown")).alias("flow_type"), F.when(amount.isNotNull(), _denom(brand, brands)).alias("denom"), amount.alias("amount"), "day", "height", F.lit("run").alias("state"), F.lit(0).alias("progress"), "seq")
+    none = lambda t: F.lit(None).cast(t)
+    own = _ymax(cells, "flow", "flow_id").select("contract", "portfolio", "flow_id", F.lit("unknown").alias("flow_type"), none("string").alias("denom"), none("decimal(38,0)").alias("amount"), "day", "height", capdata.flow_fields(F.col("json"))["state"].alias("state"), F.lit(1).alias("progress"), "seq")
+    return said.unionByName(own)
+
+
+def offer_actions(txs: DataFrame) -> DataFrame:
+    """day, address, kind, category of the wallet messages of successful transactions, by their owner."""
+    body = F.col("m.body")
+    fields = capdata.wallet_action_fields(body)
+    rows = txs.where("ok").select(F.to_date("time").alias("day"), F.explode("messages").alias("m")).where(F.col("m.type_url").isin(WALLET))
+    rows = rows.select("day", F.get_json_object(body, "$.owner").alias("address"), fields.alias("f")).where("coalesce(address, '') <> ''")
+    return rows.select("day", "address", "f.kind", offers.offer_category(F.col("f.kind"), F.col("f.instance_path"), F.col("f.maker"), F.col("f.target")).alias("category"))
 
 
 def offer_outcome_deltas(blocks: DataFrame) -> DataFrame:

@@ -12,11 +12,17 @@ from ..operators import buckets, extract, kpis, participation, pricing, state, w
 from ..sources import store
 
 
-def rollup_tables(blocks: DataFrame, modules: list[str] = ()) -> dict[str, DataFrame]:
-    """Every table that blocks feed."""
-    txs = extract.tx_rows(blocks)
+def rollup_tables(blocks: DataFrame, modules: list[str] = (), brands: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Every table that blocks feed. brands: board id -> denomination (a curated list); without it brands are kept as published."""
+    txs, cells = extract.tx_rows(blocks), extract.state_cells(blocks)
+    acted = extract.offer_actions(txs)
+    latest = lambda rows, *key: windows.latest_row(rows, ["contract", "portfolio", *key], ["height", "seq"])
+    state_tables = {
+        "offer_participant_day": acted.select("day", "address", "kind").distinct(), "offer_category_participant_day": acted.select("day", "address", "category").distinct(),
+        "ymax_portfolio": latest(extract.portfolio_rows(cells)), "ymax_position": latest(extract.position_rows(cells, brands), "position_key"), "ymax_flow": store.merge_flow(extract.flow_rows(cells, brands), ["contract", "portfolio", "flow_id"]),
+    }
     hours = kpis.rollup_hours(extract.rollup_deltas(blocks, modules))
-    return {"hourly_metrics": hours, "daily_metrics": kpis.rollup_days(hours), "participant_day": extract.participants(txs), "address_fee_day": extract.address_fees(txs), "address_volume_day": extract.address_volumes(txs), "bundle_install": extract.bundle_installs(txs), "provision_pool_day": extract.pool_snapshots(blocks)}
+    return {"hourly_metrics": hours, "daily_metrics": kpis.rollup_days(hours), "participant_day": extract.participants(txs), "address_fee_day": extract.address_fees(txs), "address_volume_day": extract.address_volumes(txs), "bundle_install": extract.bundle_installs(txs), "provision_pool_day": extract.pool_snapshots(blocks), **state_tables}
 
 
 def metrics(daily: DataFrame, figures: dict[str, Column], floors: DataFrame, start: date, end: date) -> dict[str, DataFrame]:
