@@ -9,6 +9,7 @@ own, whole blocks until the source's quota is met, and of the last block a prefi
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,14 +26,24 @@ def temperature_weights(tokens: dict[str, int], budget: int, target_entropy: flo
     `target_entropy` (in nats; the smallest entropy that is enough, met by lowering the power from 1) and bounded by
     `max_epochs` (no source may be read more often than that; it takes precedence). Where even power 1 breaks
     the repetition limit, the shares themselves are used."""
-    total = sum(tokens.values())
+    power, weight = size_weights(Counter(n for n in tokens.values() if n > 0), budget, target_entropy, max_epochs, rounds)
+    return power, {k: weight[tokens[k]] for k in sorted(tokens) if tokens[k] > 0}
+
+
+def size_weights(sources: dict[int, int], budget: int, target_entropy: float | None = None, max_epochs: float | None = None, rounds: int = 60) -> tuple[float, dict[int, float]]:
+    """(power, weight of a source by its tokens), from the number of sources by tokens: sources of one size have one weight."""
+    sizes = sorted(sources)
+    total = sum(n * sources[n] for n in sizes)
     if not total:
         return 1.0, {}
-    names = sorted(k for k, n in tokens.items() if n > 0)
 
     def at(power: float) -> list[float]:
-        raw = [(tokens[k] / total) ** power for k in names]
-        return [x / sum(raw) for x in raw]
+        raw = [(n / total) ** power for n in sizes]
+        whole = math.fsum(x * sources[n] for x, n in zip(raw, sizes, strict=True))
+        return [x / whole for x in raw]
+
+    def spread(power: float) -> float:
+        return -math.fsum(w * math.log(w) * sources[n] for w, n in zip(at(power), sizes, strict=True) if w > 0)
 
     def bisect(enough) -> float:
         lo, hi = 0.0, 1.0  # enough(lo) differs from enough(hi)
@@ -42,16 +53,16 @@ def temperature_weights(tokens: dict[str, int], budget: int, target_entropy: flo
         return hi
 
     power = 1.0
-    if target_entropy is not None and entropy(at(1.0)) < target_entropy:
-        flat = lambda p: entropy(at(p)) < target_entropy
+    if target_entropy is not None and spread(1.0) < target_entropy:
+        flat = lambda p: spread(p) < target_entropy
         power = 0.0 if flat(0.0) else bisect(flat)
     if max_epochs is not None:
-        over = lambda p: max(w * budget / tokens[k] for w, k in zip(at(p), names, strict=True)) <= max_epochs
+        over = lambda p: max(w * budget / n for w, n in zip(at(p), sizes, strict=True)) <= max_epochs
         if not over(power):
             power = bisect(over) if over(1.0) else 1.0
         elif target_entropy is None:
             power = 0.0 if over(0.0) else bisect(over)
-    return power, dict(zip(names, at(power), strict=True))
+    return power, dict(zip(sizes, at(power), strict=True))
 
 
 def _hash(*parts):
@@ -72,18 +83,15 @@ def mixing_plan(docs: DataFrame, budget: int | None = None, budget_share: float
     base = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), (words + 1).cast("long").alias("n_tokens")), "mix-docs")
     spark = docs.sparkSession
     sizes = stored(base.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "sources")
-    heads = sizes.orderBy(F.desc("tokens"), "source").limit(MAX_SOURCES + 1).collect()
-    if len(heads) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
-    tokens = {r["source"]: r["tokens"] for r in heads}
-    budget = budget if budget is not None else int(sum(tokens.values()) * budget_share)
-    power, weights = temperature_weights(tokens, budget, target_entropy, max_epochs)
-    quotas = []
-    for r in heads:
-        quota = int(weights[r["source"]] * budget)
-        quotas.append((r["source"], weights[r["source"]], quota // r["tokens"], quota % r["tokens"], max(1, -(-r["rows"] // block_rows))))
-    quota = spark.createDataFrame(quotas, "source string, weight double, whole long, rest long, blocks long")  # at most MAX_SOURCES rows
-    placed = base.join(F.broadcast(quota), "source").withColumn("block", F.pmod(_hash(seed, "doc_id"), F.col("blocks")))
+    # only the number of sources by tokens is collected: at most sqrt(2 * tokens) rows, however many sources there are
+    sources = {r["tokens"]: r["n"] for r in sizes.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
+    budget = budget if budget is not None else int(sum(t * n for t, n in sources.items()) * budget_share)
+    power, weights = size_weights(sources, budget, target_entropy, max_epochs)
+    quotas = [(t, w, int(w * budget) // t, int(w * budget) % t) for t, w in weights.items()]
+    quota = sizes.join(F.broadcast(spark.createDataFrame(quotas, "tokens long, weight double, whole long, rest long")), "tokens")
+    quota = quota.select("source", "weight", "whole", "rest", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rows") / block_rows)).alias("blocks"))
+    quota = F.broadcast(quota) if sum(sources.values()) <= FEW_SOURCES else quota.hint("merge")
+    placed = base.join(quota, "source").withColumn("block", F.pmod(_hash(seed, "doc_id"), F.col("blocks")))
     # the last epoch: whole blocks while they fit, then a prefix of the block in which the quota is met
     per_block = stored(placed.groupBy("source", "block", "rest", "whole").agg(F.sum("n_tokens").alias("in_block")), "blocks")
     order = Window.partitionBy("source").orderBy(_hash(seed, "whole", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,7 +107,7 @@ def mixing_plan(docs: DataFrame, budget: int | None = None, budget_share: float
     return out.select("doc_id", "source", "n_tokens", "epoch", "weight", F.lit(power).alias("power"), _hash(seed, "epoch", "block", "doc_id").alias("position"))
 
 
-MAX_SOURCES = 100_000
+FEW_SOURCES = 100_000  # as many are broadcast; more are joined by a shuffle
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
