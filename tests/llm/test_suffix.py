@@ -2,9 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chainrollup.llm.suffix_dedup import bwt, gram_hashes, leftmost_minima, merge_bwts, remove_repeats, repeats
+from chainrollup.llm import suffix_dedup
+from chainrollup.llm.suffix_dedup import bwt, gram_hashes, leftmost_minima, merge_bwts, merged_ranges, remove_repeats, repeats, seeds
 
 
 def brute(rows, length):
@@ -42,7 +45,8 @@ def test_matches_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute(rows, 20)
     assert answers(remove_repeats(docs, length=20)) == want
-    assert answers(remove_repeats(docs, length=20, hot=3, chunk_bytes=300, held=7, bits=16)) == want
+    assert answers(remove_repeats(docs, length=20, hot=3, chunk_bytes=300, held=7)) == want
+    assert answers(remove_repeats(docs, length=20, hot=9, held=50, bits=8)) == want  # no bitmap is small enough: seeds are joined
     assert answers(remove_repeats(docs, length=21)) == brute(rows, 21)
 
 
@@ -70,5 +74,38 @@ def test_repeats_and_hash_helpers():
     data = np.frombuffer(b"abcabcabc", np.uint8)
     h = gram_hashes(data, 5)
     assert h[0] == h[3] and len(set(h.tolist())) == 3 and len(h) == 5
-    v = np.array([3, 1, 2, 1, 5])
-    assert leftmost_minima(v, 3).tolist() == [1, 1, 3]
+    pos, first, last = leftmost_minima(np.array([3, 1, 2, 1, 5], np.uint64), 3)
+    assert (pos.tolist(), first.tolist(), last.tolist()) == ([1, 3], [0, 2], [1, 2])
+
+
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=60), st.integers(1, 9))
+def test_leftmost_minima_cover_every_run(values, width):
+    if len(values) >= width:
+        pos, first, last = leftmost_minima(np.array(values, np.uint64), width)
+        got = {k: p for p, a, b in zip(pos.tolist(), first.tolist(), last.tolist()) for k in range(a, b + 1)}
+        assert got == {k: min(range(k, k + width), key=lambda p: (values[p], p)) for k in range(len(values) - width + 1)}
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 30), st.integers(0, 9)), max_size=25))
+def test_merged_ranges_cover_the_same(rows):
+    doc, first, n = np.array(rows, np.int64).reshape(-1, 3).T
+    spread = lambda d, a, b: {(x, p) for x, y, z in zip(d.tolist(), a.tolist(), b.tolist()) for p in range(y, z + 1)}
+    d, _, a, b = merged_ranges(doc, doc * 0, first, first + n)
+    assert spread(d, a, b) == spread(doc, first, first + n)
+
+
+def test_long_texts_are_hashed_in_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab") for _ in range(3000)), "a" * 2500, ""]
+    data, bounds = "".join(texts).encode(), np.cumsum([0] + [len(t) for t in texts])
+    whole = seeds(np.frombuffer(data, np.uint8), bounds, 20, 10)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    for a, b in zip(whole, seeds(np.frombuffer(data, np.uint8), bounds, 20, 10), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_a_text_of_a_million_words_and_its_copy(spark):
+    long = " ".join(f"w{k}" for k in range(1_000_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: (r.kept, [tuple(s) for s in r.spans]) for r in remove_repeats(docs).collect()}
+    assert got[1][1] == [] and got[3] == (b"short", []) and got[2] == (b" end", [(0, len(long))])
