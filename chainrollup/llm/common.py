@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, in every operator here: a maximal run of anything but these six ASCII white-space characters.
@@ -24,13 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/chainrollup-{name}-{uuid.uuid4().hex}"
+_open_scratch: list[list[str]] = []  # the paths made within each open scratch(), the innermost last
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The tables stored within are deleted at its end, but for those stored with keep=True, which live until the end of the
+    one around it, or for good. Nothing lazy that reads a deleted table may leave it."""
+    made: list[str] = []
+    _open_scratch.append(made)
+    try:
+        yield
+    finally:
+        _open_scratch.remove(made)
+        conf = spark._jsc.hadoopConfiguration()
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/chainrollup-{name}-{uuid.uuid4().hex}"
+    if len(_open_scratch) > keep:
+        _open_scratch[-1 - keep].append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and a lost executor loses nothing."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -58,7 +82,24 @@ def crc_mod(id_col: str, n: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id is not among `ids` (column doc_id). Rows with a null id stay."""
-    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column whose value is worked out once, however often what follows uses it (a projection may be merged into
+    the next one, with a copy of its expression for each use; a generator is not)."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def rows_with(docs: DataFrame, id_col: str, text_col: str, key: str, of_text: Callable[[Column], Column]) -> DataFrame:
+    """The rows whole in the column `row`, so that no name clashes, with `id` and `key`, made of the text (null: empty), beside."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), text.alias("__text"))
+    return once(out, key, of_text(F.col("__text"))).drop("__text")
+
+
+def drop_rows(rows: DataFrame, key: str, gone: DataFrame, twins: DataFrame) -> DataFrame:
+    """rows: row, id, `key`. Without those in `gone` (id, `key`), and with one row for each in `twins` (id, `key`): which of
+    them, if other columns differ, is not defined. Rows with a null id stay."""
+    on = ["id", key]
+    out = rows.join(gone, on, "left_anti")
+    if not twins.isEmpty():
+        out = out.join(twins, on, "left_anti").unionByName(out.join(twins, on, "left_semi").dropDuplicates(on))
+    return out.select("row.*")

@@ -35,14 +35,31 @@ def test_exact_groups(spark, chars):
         group = [j for (j, _), m in zip(rows, norm) if m == n]
         keep = min((j for j in group if j is not None), default=None)
         want.append((i, keep, len(group), i == keep, hashlib.sha256(n.encode()).hexdigest()))
-    got = exact_dedup.exact_groups(docs(spark, [(i, t, "s") for i, t in rows]), digest_chars=chars, memtable_rows=7, fan_in=2, salt_rows=3)
+    got = exact_dedup.exact_groups(docs(spark, [(i, t, "s") for i, t in rows]), digest_chars=chars, memtable_rows=7, memtables=2, fan_in=2, hot_rows=3)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
 def test_exact_dedup_keeps_columns_and_takes_empty_tables(spark):
     rows = spark.createDataFrame([(1, "x y", 5, "q"), (2, "x  y", 6, None), (3, None, 7, "r")], "doc_id long, text string, digest int, kept string")
     assert sorted(map(tuple, exact_dedup.exact_dedup(rows).collect())) == [(1, "x y", 5, "q"), (3, None, 7, "r")]
-    assert exact_dedup.exact_groups(rows.limit(0)).collect() == []
+    assert exact_dedup.exact_groups(rows.limit(0)).collect() == exact_dedup.exact_dedup(rows.limit(0)).collect() == []
+    assert len(exact_dedup.exact_groups(rows.limit(1)).collect()) == 1
+
+
+def test_exact_dedup_tells_rows_apart_by_id_and_text(spark):
+    long = "word " * 200_000
+    rows = [(3, "a", 1), (5, "a", 2), (5, "b", 3), (3, "a", 4), (None, "a", 5), (6, "", 6), (7, None, 7), (8, long, 8), (9, long + " ", 9)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, sha long").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(3, "a"), (5, "b"), (None, "a"), (6, ""), (8, long)], key=str)
+
+
+def test_index_flushes_and_compacts_in_levels(spark):
+    keys = spark.range(1000).selectExpr("id AS doc_id", "unhex(sha2(cast(id % 700 as string), 256)) AS digest")
+    index = exact_dedup.DigestIndex(spark, memtable_rows=20, memtables=5, fan_in=3)
+    index.fill(keys)
+    assert index.flushes == 10 and index.compactions >= 3 and max(n for n, _ in index.levels) == 2
+    got = index.compact()
+    assert got.count() == 700 and got.agg(F.sum("copies"), F.max("keep_id")).first() == (1000, 699)
 
 
 # --- quality rules
