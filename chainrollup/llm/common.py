@@ -91,8 +91,7 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def rows_with(docs: DataFrame, id_col: str, text_col: str, key: str, of_text: Callable[[Column], Column]) -> DataFrame:
     """The rows whole in the column `row`, so that no name clashes, with `id` and `key`, made of the text (null: empty), beside."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), text.alias("__text"))
-    return once(out, key, of_text(F.col("__text"))).drop("__text")
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), of_text(text).alias(key))
 
 
 def drop_rows(rows: DataFrame, key: str, gone: DataFrame, twins: DataFrame) -> DataFrame:

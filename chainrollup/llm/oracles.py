@@ -33,4 +33,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op6_quality_cascade": OP6, "op10_exact_dedup": OP10}
+NUMBER = "CAST('0x' || substr({}, 1, 15) AS BIGINT)"
+OP3 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS source, CAST(len({WORDS}) + 1 AS BIGINT) AS n_tokens, coalesce(CAST(doc_id AS VARCHAR), 'null') AS name FROM documents),
+s AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS n, sum(n_tokens) / sum(sum(n_tokens)) OVER () AS share FROM d GROUP BY source),
+goal AS (SELECT 0.5 * (-sum(share * ln(share))) + 0.5 * ln(count(*)) AS entropy, sum(tokens) AS budget FROM s),
+flat AS (
+  SELECT 0 AS k, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT k + 1, CASE WHEN low THEN lo ELSE mid END, CASE WHEN low THEN mid ELSE hi END
+  FROM (SELECT k, lo, hi, mid, (SELECT ln(sum(pow(share, mid))) - mid * sum(pow(share, mid) * ln(share)) / sum(pow(share, mid)) FROM s) < (SELECT entropy FROM goal) AS low
+        FROM (SELECT *, (lo + hi) / 2 AS mid FROM flat WHERE hi - lo > 1e-12))),
+p1 AS (SELECT CASE WHEN (SELECT -sum(share * ln(share)) FROM s) < (SELECT entropy FROM goal) THEN round((SELECT (lo + hi) / 2 FROM flat ORDER BY k DESC LIMIT 1), 9) ELSE 1 END AS power),
+over AS (
+  SELECT 0 AS k, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT k + 1, CASE WHEN kept THEN lo ELSE mid END, CASE WHEN kept THEN mid ELSE hi END
+  FROM (SELECT k, lo, hi, mid, (SELECT max(pow(share, mid) / tokens) / sum(pow(share, mid)) * (SELECT budget FROM goal) FROM s) <= 2 AS kept
+        FROM (SELECT *, (lo + hi) / 2 AS mid FROM over WHERE hi - lo > 1e-12))),
+p AS (
+  SELECT CASE WHEN (SELECT max(pow(share, power) / tokens) / sum(pow(share, power)) * (SELECT budget FROM goal) FROM s) <= 2 THEN power
+              ELSE least(1, ceil((SELECT (lo + hi) / 2 FROM over ORDER BY k DESC LIMIT 1) * 1e9) / 1e9) END AS power FROM p1),
+w AS (SELECT source, tokens, n, power, pow(share, power) / (SELECT sum(pow(share, power)) FROM s) AS weight FROM s, p),
+q AS (
+  SELECT source, power, weight, CAST(floor(weight * (SELECT budget FROM goal)) AS BIGINT) // tokens AS whole, CAST(floor(weight * (SELECT budget FROM goal)) AS BIGINT) % tokens AS rest,
+    greatest(1, CAST(ceil(n / 2048.0) AS BIGINT)) AS blocks FROM w),
+b AS (SELECT d.*, power, weight, whole, rest, {NUMBER.format("md5('7:' || name)")} % blocks AS block FROM d JOIN q USING (source)),
+e AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY md5('7:block:' || whole || ':' || block), block, md5('7:doc:' || whole || ':' || name), doc_id NULLS LAST, n_tokens
+                                ROWS UNBOUNDED PRECEDING) AS upto FROM b),
+r AS (
+  SELECT *, unnest(range(whole)) AS epoch FROM b
+  UNION ALL SELECT * EXCLUDE (upto), whole FROM e WHERE upto <= rest)
+SELECT doc_id, source, n_tokens, CAST(epoch AS BIGINT) AS epoch, round(weight, 9) AS weight, CAST(power AS DOUBLE) AS power, {NUMBER.format("md5('7:read:' || epoch || ':' || name)")} AS position FROM r
+"""
+
+ORACLES: dict[str, str] = {"op3_temperature_mixing": OP3, "op6_quality_cascade": OP6, "op10_exact_dedup": OP10}

@@ -19,8 +19,9 @@ def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents are read in which epoch, for a budget of all tokens with no source read over twice."""
-    return mixing.mixing_plan(common.documents(spark, sf_dir), max_epochs=2.0)
+    """Which documents are read in which epoch, for a budget of all tokens: weights halfway to equal ones by entropy, with no source
+    read over twice."""
+    return mixing.mixing_plan(common.documents(spark, sf_dir), flatten=0.5, max_epochs=2.0)
 
 
 def op4_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,11 +141,15 @@ def test_plan_holds_every_length_once():
 
 def test_temperature_meets_its_targets():
     tokens = {"a": 900, "b": 90, "c": 10}
-    power, w = mixing.temperature_weights(tokens, 1000, max_epochs=2.0)
+    power, w = mixing.temperature_weights(tokens, 1000, flatten=1.0, max_epochs=2.0)
     assert 0 < power < 1 and abs(max(w[k] * 1000 / tokens[k] for k in tokens) - 2) < 1e-6
     power, w = mixing.temperature_weights(tokens, 100, target_entropy=0.8)
     assert abs(mixing.entropy(list(w.values())) - 0.8) < 1e-6
     assert mixing.temperature_weights(tokens, 10_000, max_epochs=1.0)[0] == 1.0
+    power, w = mixing.temperature_weights(tokens, 100, flatten=0.5)
+    shares = mixing.entropy([0.9, 0.09, 0.01])
+    assert 0 < power < 1 and abs(mixing.entropy(list(w.values())) - (shares + 0.5 * (math.log(3) - shares))) < 1e-6
+    assert mixing.temperature_weights(tokens, 100)[0] == mixing.temperature_weights({"a": 5, "b": 5}, 10, flatten=0.5)[0] == 1.0
     assert mixing.temperature_weights({}, 5) == (1.0, {})
 
 
@@ -153,7 +157,7 @@ def test_mixing_realises_the_weights(spark):
     rng = random.Random(2)
     rows = [(k, "w " * rng.randint(0, 9), "big" if k % 10 else ("small" if k % 20 else None)) for k in range(400)] + [(None, None, "big"), (7, "x", "big")]
     d = docs(spark, rows)
-    plan = mixing.mixing_plan(d, block_rows=16).collect()
+    plan = mixing.mixing_plan(d, block_rows=16, flatten=0.5).collect()
     size = Counter()
     for _, t, s in rows:
         size[s or ""] += len((t or "").split()) + 1
@@ -164,8 +168,8 @@ def test_mixing_realises_the_weights(spark):
     assert abs(sum(weights.values()) - 1) < 1e-9
     for s, w in weights.items():
         assert 0 <= int(w * budget) - got[s] < 10 and w * budget / size[s] <= 2 + 1e-6
-    assert {(r.doc_id, r.epoch) for r in mixing.mixing_plan(d, block_rows=16).collect()} == {(r.doc_id, r.epoch) for r in plan}
-    mixed = mixing.mix(d.withColumn("weight", F.lit(1)), block_rows=16)
+    assert {(r.doc_id, r.epoch) for r in mixing.mixing_plan(d, block_rows=16, flatten=0.5).collect()} == {(r.doc_id, r.epoch) for r in plan}
+    mixed = mixing.mix(d.withColumn("weight", F.lit(1)), block_rows=16, flatten=0.5)
     assert mixed.columns[-1] == "weight" and Counter(r.doc_id for r in mixed.collect() if r.doc_id not in (7, None)) == Counter(r.doc_id for r in plan if r.doc_id not in (7, None))
     assert mixing.mixing_plan(d.limit(0)).collect() == []
 
