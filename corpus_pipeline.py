@@ -21,7 +21,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, max_epochs=2.0)
+    return mixing.mix(docs, flatten=0.5, max_epochs=2.0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences (see packing.pack) of what the stages keep. What a stage stores for
+    itself is deleted with it; its output stays, as every stage's result is worth keeping."""
     docs = common.documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stored(docs, name)
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with common.scratch(spark):
+            docs = common.stored(stage(spark, docs, sf_dir), name, keep=True)
