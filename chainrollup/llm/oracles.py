@@ -37,7 +37,7 @@ NUMBER = "CAST('0x' || substr({}, 1, 15) AS BIGINT)"
 OP3 = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, CAST(len({WORDS}) + 1 AS BIGINT) AS n_tokens, coalesce(CAST(doc_id AS VARCHAR), 'null') AS name FROM documents),
-s AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS n, sum(n_tokens) / sum(sum(n_tokens)) OVER () AS share FROM d GROUP BY source),
+s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS n, sum(n_tokens) / sum(sum(n_tokens)) OVER () AS share FROM d GROUP BY source),
 goal AS (SELECT 0.5 * (-sum(share * ln(share))) + 0.5 * ln(count(*)) AS entropy, sum(tokens) AS budget FROM s),
 flat AS (
   SELECT 0 AS k, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
