@@ -28,6 +28,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dein deine dich dir i
 SWAPS = str.maketrans("013457@$!", "oieastasi")
 OBFUSCATED = re.compile(r"\b[A-Za-z]+[0-9@$*]+[A-Za-z]+\b")
 SPACED = re.compile(r"\b(?:[A-Za-z][ .\-_*]){3,}[A-Za-z]\b")
+NEAR = 6  # words
 EDGES = ".,;:?\"'()[]{}<>|#%&*_-!¡¿"
 FEATURES = [
     "log_words", "lex_count", "lex_density", "lex_weight", "lex_best", "lex_kinds", "near_second", "second_density", "undone_count",
@@ -55,8 +56,10 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     second = [k for k, w in enumerate(core) if w in SECOND_PERSON]
     near = 0
     if second and weights:
-        at = np.array(second)
-        near = sum(int(np.abs(at - k).min() <= 6) for k in hits + odd)
+        at, found = np.array(second), np.array(hits + odd)
+        after = np.searchsorted(at, found)
+        gap = np.minimum(np.abs(at[np.minimum(after, len(at) - 1)] - found), np.abs(found - at[np.maximum(after - 1, 0)]))
+        near = int((gap <= NEAR).sum())
     chars = max(len(text), 1)
     data = text.encode("utf-8", "surrogatepass")
     count = lambda s: len(data) - len(data.translate(None, s))
@@ -71,8 +74,8 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
 
 def training_sample(labels: DataFrame, label: str, fit_rows: int, fold: tuple[int, int], seed: int = 5) -> DataFrame:
     """About fit_rows rows (doc_id, label) outside the held-out fold, by a hash of the id: the bound of what is broadcast.
-    Of rows that repeat a doc_id the larger label counts; null ids or labels are left out."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_mod("doc_id", fold[0]) != fold[1])).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
+    Labels over 0 count as 1. Of rows that repeat a doc_id the larger label counts; null ids or labels are left out."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_mod("doc_id", fold[0]) != fold[1])).groupBy("doc_id").agg(F.max(F.col(label).cast("double") > 0).cast("double").alias("label"))
     share = min(1.0, fit_rows / max(usable.count(), 1))
     return stored(usable.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1), "sample")
 
@@ -123,8 +126,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """One row per document: doc_id, held_out, score (0 to 1), predicted.
 
     A null or empty text is scored by its (empty) features; a null doc_id counts as the id '' in the fold; repeated rows are scored
-    alike. Without training rows of both labels every score is the share of label 1 among them, 0 if there are none. Labels, and
-    columns other than the text, are no inputs of a score."""
+    alike. Without training rows of both labels every score is the share of label 1 among them, 0 if there are none. With too few to set
+    some apart for calibration, the trees' probabilities are the scores. Labels, and columns other than the text, are no inputs of a
+    score; no documents give no rows."""
     texts = id_text(docs, id_col, text_col)
     sample = training_sample(labels, label, fit_rows, fold)
     chosen = texts.join(F.broadcast(sample), "doc_id")  # fit_rows rows at most
@@ -137,10 +141,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     if not balance["n"] or balance["ones"] in (0, balance["n"]):
         score = F.lit(float(balance["ones"] or 0) / max(balance["n"], 1))
     else:
-        model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, cacheNodeIds=False).fit(train.where("part > 0"))
+        parts = {(r["held"], r["label"]) for r in train.select((F.col("part") == 0).alias("held"), "label").distinct().collect()}
+        apart = len(parts) == 4  # a third of the rows calibrates, if both it and the rest have both labels
         raw = vector_to_array("probability")[1]
-        held = model.transform(train.where("part = 0")).select(raw.alias("raw"), "label")
-        iso = IsotonicRegression(featuresCol="raw", labelCol="label").fit(held)
-        out = iso.setPredictionCol("calibrated").transform(model.transform(out).withColumn("raw", raw))
-        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.999 * F.col("calibrated") + 0.001 * F.col("raw")))  # the raw score orders calibrated ties
+        model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, cacheNodeIds=False).fit(train.where("part > 0") if apart else train)
+        out, score = model.transform(out).withColumn("raw", raw), F.col("raw")
+        if apart:
+            held = model.transform(train.where("part = 0")).select(raw.alias("raw"), "label")
+            out = IsotonicRegression(featuresCol="raw", labelCol="label").fit(held).setPredictionCol("calibrated").transform(out)
+            score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.999 * F.col("calibrated") + 0.001 * F.col("raw")))  # the raw score orders calibrated ties
     return out.withColumn("score", score).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -230,6 +230,32 @@ def test_held_out_accuracy(spark, score, label):
     assert {r.score for r in none} == {0.0}
 
 
+@pytest.mark.parametrize(("score", "label"), [(toxicity.toxicity_scores, "toxic"), (quality_classifier.quality_scores, "quality")])
+def test_few_labels_ties_and_odd_rows(spark, score, label):
+    train = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2][:12]
+    rows = [(k, f"plain text of {k} words you see" + " badword!" * (k in train[:3]), "s") for k in range(40)]
+    rows += [(0, rows[0][1], "s"), (700, "same text", "s"), (701, "same text", "s"), (None, None, None), (800, "word badword you " * 100_000, "s")]
+    d = docs(spark, rows).withColumns({"score": F.lit(1), "label": F.lit("x"), "raw": F.lit(2)})
+    for n in (0, 1, 2, 3):  # so many of label 1, then of label 0
+        for labels in ([int(i < n) for i in range(12)], [int(i >= n) for i in range(12)]):
+            got = score(d, spark.createDataFrame(list(zip(train, labels)) + [(1, None), (None, 1)], f"doc_id long, {label} int")).collect()
+            assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+            by = {r.doc_id: r.score for r in got}
+            assert by[700] == by[701] and len({r.score for r in got if r.doc_id == 0}) == 1
+            if sum(labels) in (0, 12):
+                assert set(by.values()) == {sum(labels) / 12}
+    assert score(d.limit(0), spark.createDataFrame([(1, 1)], f"doc_id long, {label} int")).collect() == []
+
+
+def test_nearness_is_that_of_a_plain_search():
+    rng = random.Random(3)
+    for _ in range(50):
+        words = [rng.choice(["you", "bad", "x"]) for _ in range(rng.randint(1, 60))]
+        hits, second = ([k for k, w in enumerate(words) if w == v] for v in ("bad", "you"))
+        want = sum(any(abs(k - j) <= toxicity.NEAR for j in second) for k in hits) / len(words)
+        assert toxicity.features(" ".join(words), {"bad": 1.0})[toxicity.FEATURES.index("near_second")] == want
+
+
 def test_pipeline_runs_and_each_stage_acts(spark, tmp_path):
     import corpus_pipeline
 
