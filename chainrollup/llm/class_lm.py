@@ -1,10 +1,11 @@
 """Language-model scores by a Brown class-based trigram model.
 
-1. Words are counted over all training documents. The `HEAD` most frequent get numbers, which every task can hold; the
-   rest is the tail, whose counts stay in a table and are joined.
-2. Exchange clustering puts the `CLUSTERED` most frequent words into classes: word bigrams are counted over the corpus, and sweep
-   after sweep each word moves to the class that raises the likelihood of the class bigrams most. A word beyond them moves once, to
-   the class that fits the classes it follows. The tail is a class of its own, and so is the end of a text.
+1. Words are counted over all training documents. The `head` most frequent get numbers, which every task can hold; the
+   rest is the tail, whose counts and classes stay in a table and are joined.
+2. Exchange clustering puts the `clustered` most frequent words into `classes` classes: their bigrams are counted over the corpus, and sweep
+   after sweep each word moves to the class that raises the likelihood of the class bigrams most, with all counts kept up to date. Every
+   other word seen twice or more then moves once or, if numbered, twice, in parallel, to the class that fits its neighbours' classes on both
+   sides best. Words seen once are a class of their own, which unknown words share; so is the end of a text.
 3. Class trigrams are counted over the corpus and smoothed by Witten-Bell; words are emitted by their class in proportion to
    their counts. Class model and unigram model are mixed; each sums to one over the known words and one unknown.
 """
@@ -20,13 +21,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, stored
+from .common import crc_mod, id_text, scratch, stored
 
-HEAD, CLUSTERED, CLASSES = 1 << 17, 4096, 64
-RARE, END, ALL = CLASSES, CLASSES + 1, CLASSES + 2  # classes of the tail and of the end; how many there are
 ALPHA, MIX = 0.1, 0.95
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Bounds of what a task or the driver holds. head: numbered words; clustered: words in the exchange, whose bigrams (clustered ** 2 at
+    most) the driver holds; classes. A larger vocabulary has more words in the table, and no word is left out."""
+
+    head: int = 1 << 17
+    clustered: int = 4096
+    classes: int = 64
+
+    @property
+    def rare(self) -> int:
+        return self.classes
+
+    @property
+    def end(self) -> int:
+        return self.classes + 1
+
+    @property
+    def all(self) -> int:
+        return self.classes + 2
+
+
 def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
@@ -53,15 +74,15 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def head_words(vocab: DataFrame) -> pa.Table:
-    """(word, n) of the most frequent words, at most HEAD - 1 and down to a count that a histogram of logarithmic counts gives, so
+def head_words(vocab: DataFrame, most: int) -> pa.Table:
+    """(word, n) of the most frequent words, at most `most` - 1 and down to a count that a histogram of logarithmic counts gives, so
     that no more than these are sent to the driver. The most frequent first, ties by word."""
     level = F.floor(F.log(F.col("n").cast("double")) * 64).cast("int")
     words = vocab.where("word <> ''").withColumn("level", level)
     least, total = None, 0
     for r in sorted(words.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["level"]):  # a few thousand levels at most
         total += r["k"]
-        if total > HEAD - 1:
+        if total > most - 1:
             break
         least = r["level"]
     got = (words.where(F.col("level") >= least) if least is not None else words.limit(0)).select("word", "n").toArrow()
@@ -88,232 +109,289 @@ def encode(texts: DataFrame, head: pa.Array) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, train boolean, ids binary, tail array<string>")
 
 
-def tally(encoded: DataFrame, codes, size: int) -> DataFrame:
-    """(code, n) over the training documents. codes(ids) gives numbers below `size`, which bounds a task's memory and its output."""
+def tally(encoded: DataFrame, codes, size: int, cls: np.ndarray | None = None, counts: np.ndarray | None = None) -> DataFrame:
+    """(code, n) over the training documents. codes(word numbers), or with cls codes(classes of all tokens), gives numbers
+    below `size`, which bounds a task's memory and its output."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, waiting, n = np.zeros(size, np.int32), [], 0
+
+        def add() -> None:
+            got, times = np.unique(np.concatenate(waiting), return_counts=True)
+            total[got] += times.astype(np.int32)
+
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                waiting.append(codes(np.frombuffer(ids, "<i4")))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                waiting.append(codes(np.frombuffer(row[0], "<i4") if cls is None else _tokens_of(*row, cls, counts)[0]))
                 n += len(waiting[-1])
                 if n > 2_000_000:
-                    got, times = np.unique(np.concatenate(waiting), return_counts=True)
-                    total[got] += times.astype(np.int32)
+                    add()
                     waiting, n = [], 0
         if waiting:
-            got, times = np.unique(np.concatenate(waiting), return_counts=True)
-            total[got] += times.astype(np.int32)
+            add()
         at = np.flatnonzero(total)
         for k in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_pydict({"code": at[k : k + 100_000].astype(np.int64), "n": total[at[k : k + 100_000]].astype(np.int64)})
 
-    return encoded.where("train").select("ids").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    columns = ["ids"] if cls is None else ["ids", "tail_c", "tail_n"]
+    return encoded.where("train").select(*columns).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange_sweep(cls: np.ndarray, follows: np.ndarray, precedes: np.ndarray, own: np.ndarray, movable: np.ndarray) -> np.ndarray:
-    """New classes. follows[w, c]: how often w comes after class c; precedes[w, c]: before it; own[w]: after itself. The
-    class bigram counts are kept up to date from move to move, the words' own vectors from sweep to sweep."""
-    cls = cls.copy()
-    pair = np.zeros((ALL, ALL))
-    np.add.at(pair, cls, precedes)
+def exchange_sweep(cls: np.ndarray, bigrams: np.ndarray, pair: np.ndarray, movable: np.ndarray, size: Sizes) -> int:
+    """Moves words to their best classes, one after the other; returns how many moved. bigrams[v, w]: how often w follows v; pair: the
+    same by class. Both cls and pair are changed in place, so each word meets the counts that the moves before it have left."""
+    k, moved = size.classes, 0
     for w in movable:
-        left, right, self_n = follows[w], precedes[w], own[w]
-        a = cls[w]
+        left = np.bincount(cls, bigrams[:, w], size.all)
+        right = np.bincount(cls, bigrams[w], size.all)
         if not left.any() and not right.any():
             continue
-        left, right = left.copy(), right.copy()
-        left[a], right[a] = left[a] - self_n, right[a] - self_n  # without the bigrams of w with itself
+        a, own = cls[w], float(bigrams[w, w])
+        left[a] -= own  # without the bigrams of w with itself
+        right[a] -= own
         pair[a] -= right
         pair[:, a] -= left
-        pair[a, a] -= self_n
+        pair[a, a] -= own
         np.maximum(pair, 0, out=pair)
         out, into = pair.sum(1), pair.sum(0)
-        gain = (_phi(pair[:CLASSES] + right) - _phi(pair[:CLASSES])).sum(1) + (_phi(pair[:, :CLASSES] + left[:, None]) - _phi(pair[:, :CLASSES])).sum(0)
-        mid = np.diagonal(pair)[:CLASSES]  # the corner that both sums touch
-        gain += _phi(mid + right[:CLASSES] + left[:CLASSES] + self_n) - _phi(mid + right[:CLASSES]) - _phi(mid + left[:CLASSES]) + _phi(mid)
-        n_out, n_in = right.sum() + self_n, left.sum() + self_n
-        gain -= _phi(out[:CLASSES] + n_out) - _phi(out[:CLASSES]) + _phi(into[:CLASSES] + n_in) - _phi(into[:CLASSES])
+        gain = (_phi(pair[:k] + right) - _phi(pair[:k])).sum(1) + (_phi(pair[:, :k] + left[:, None]) - _phi(pair[:, :k])).sum(0)
+        mid = np.diagonal(pair)[:k]  # the corner that both sums touch
+        gain += _phi(mid + right[:k] + left[:k] + own) - _phi(mid + right[:k]) - _phi(mid + left[:k]) + _phi(mid)
+        n_out, n_in = right.sum() + own, left.sum() + own
+        gain -= _phi(out[:k] + n_out) - _phi(out[:k]) + _phi(into[:k] + n_in) - _phi(into[:k])
         b = int(gain.argmax())
+        if gain[b] <= gain[a] + 1e-9:
+            b = a
+        moved += b != a
         cls[w] = b
         pair[b] += right
         pair[:, b] += left
-        pair[b, b] += self_n
-    return cls
+        pair[b, b] += own
+    return moved
 
 
-def cluster(encoded: DataFrame, n_words: int, sweeps: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the first min(n_words, CLUSTERED) numbers (0 is the end) and the class bigram counts."""
-    n = min(n_words, CLUSTERED)
+def cluster(encoded: DataFrame, n_words: int, size: Sizes, sweeps: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the first min(n_words, clustered) numbers (0 is the end) and the class bigram counts, words beyond them as rare."""
+    n = min(n_words, size.clustered)
     other = n  # a symbol for every other word
-    spark = encoded.sparkSession
+    width = n + 1
 
     def codes(ids: np.ndarray) -> np.ndarray:
         s = np.where((ids < 0) | (ids >= n), other, ids).astype(np.int64)
-        return np.concatenate(([0], s[:-1])) * (n + 1) + s
-
-    width = n + 1
-    bigrams = stored(tally(encoded, codes, width * width).select((F.col("code") / width).cast("int").alias("w1"), (F.col("code") % width).cast("int").alias("w2"), "n"), "bigrams")
-    own = np.zeros(width)
-    for r in bigrams.where("w1 = w2").collect():  # at most CLUSTERED + 1 rows
-        own[r["w1"]] = r["n"]
-    cls = (np.arange(width) - 1) % CLASSES
-    cls[0], cls[other] = END, RARE
-
-    def vectors() -> tuple[np.ndarray, np.ndarray]:
-        table = spark.createDataFrame([(int(w), int(c)) for w, c in enumerate(cls)], "w int, c int")  # CLUSTERED + 1 rows
-        out = []
-        for word, near in (("w2", "w1"), ("w1", "w2")):
-            got = bigrams.join(F.broadcast(table), F.col(near) == F.col("w")).groupBy(F.col(word).alias("word"), "c").agg(F.sum("n").alias("n")).toArrow()
-            m = np.zeros((width, ALL))
-            m[got["word"].to_numpy(), got["c"].to_numpy()] = got["n"].to_numpy()
-            out.append(m)
-        return out[0], out[1]
-
-    for k in range(sweeps):
-        follows, precedes = vectors()
-        words = np.arange(1, n)
-        cls = exchange_sweep(cls, follows, precedes, own, words if k == 0 else words[words % 2 == k % 2])
-    _, precedes = vectors()
-    pair = np.zeros((ALL, ALL))
-    np.add.at(pair, cls, precedes)
+        return np.concatenate(([0], s[:-1])) * width + s
+
+    got = tally(encoded, codes, width * width).toArrow()  # at most (clustered + 1) ** 2 rows
+    bigrams = np.zeros(width * width, np.float32)
+    bigrams[got["code"].to_numpy()] = got["n"].to_numpy()
+    bigrams = bigrams.reshape(width, width)
+    cls = (np.arange(width) - 1) % size.classes
+    cls[0], cls[other] = size.end, size.rare
+    member = np.zeros((width, size.all))
+    member[np.arange(width), cls] = 1
+    pair = member.T @ (bigrams @ member)
+    for _ in range(sweeps):
+        if exchange_sweep(cls, bigrams, pair, np.arange(1, n), size) * 200 <= n:
+            break
     return cls[:n], pair
 
 
-def place_rest(encoded: DataFrame, cls: np.ndarray, pair: np.ndarray, n_words: int) -> np.ndarray:
-    """Classes of all numbered words: one beyond the clustered ones goes to the class that is likeliest after the classes it
-    follows, given how much the class emits already."""
+def _fit_of(pair: np.ndarray, size: Sizes) -> np.ndarray:
+    """(neighbour slot, class): how well a class fits a neighbour, of slots for the classes before and then those behind."""
+    p = pair + 0.1
+    return np.concatenate((np.log(p) - np.log(p.sum(0)), (np.log(p) - np.log(p.sum(1))[:, None]).T))[:, : size.classes]
+
+
+def _neighbours(cls: np.ndarray, ids: np.ndarray, size: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of the classes before and behind each token."""
+    c = np.where(ids < 0, size.rare, cls[ids])
+    return np.concatenate(([size.end], c[:-1])), size.all + np.concatenate((c[1:], [size.end]))
+
+
+def place_numbered(encoded: DataFrame, cls: np.ndarray, pair: np.ndarray, n_words: int, size: Sizes, rounds: int = 2) -> np.ndarray:
+    """Classes of all numbered words: those beyond the clustered ones take the class that fits their neighbours best; in the first
+    round only clustered words have classes, later all numbered ones."""
     n = len(cls)
-    full = np.full(n_words, RARE, np.int64)
+    full = np.full(n_words, size.rare, np.int64)
     full[:n] = cls
-    if n_words == n:
-        return full
-    known = full.copy()
-
-    def codes(ids: np.ndarray) -> np.ndarray:
-        c = np.where(ids < 0, RARE, known[ids])
-        before = np.concatenate(([END], c[:-1]))
-        at = ids >= n
-        return (ids[at].astype(np.int64) - n) * ALL + before[at]
-
-    follow = pair + 0.1
-    gain = np.log(follow / follow.sum(1, keepdims=True)) - np.log(np.maximum(pair.sum(0), 1.0))[None, :]
-
-    def choose(t: pa.Table) -> pa.Table:
-        w, c, k = (t.column(x).to_numpy() for x in ("w", "c", "n"))
-        words, row = np.unique(w, return_inverse=True)
-        m = np.zeros((len(words), ALL))
-        np.add.at(m, (row, c), k)
-        best = (m @ gain)[:, :CLASSES].argmax(1)
-        return pa.table({"w": pa.array(words, pa.int32()), "best": pa.array(best, pa.int32())})
-
-    rows = tally(encoded, codes, (n_words - n) * ALL).select((F.col("code") / ALL).cast("int").alias("w"), (F.col("code") % ALL).cast("int").alias("c"), "n")
-    got = rows.groupBy(F.expr("w div 1024").alias("part")).applyInArrow(choose, "w int, best int").toArrow()  # at most HEAD rows
-    full[got["w"].to_numpy() + n] = got["best"].to_numpy()
+    slots, fits = 2 * size.all, _fit_of(pair, size)
+    for _ in range(rounds if n_words > n else 0):
+        known = full.copy()
+
+        def codes(ids: np.ndarray, known: np.ndarray = known) -> np.ndarray:
+            at = ids >= n
+            w = (ids[at].astype(np.int64) - n) * slots
+            return np.concatenate([w + side[at] for side in _neighbours(known, ids, size)])
+
+        def choose(t: pa.Table) -> pa.Table:
+            w, slot, k = (t.column(x).to_numpy() for x in ("w", "slot", "n"))
+            words, row = np.unique(w, return_inverse=True)
+            m = np.zeros((len(words), slots))
+            np.add.at(m, (row, slot), k)
+            return pa.table({"w": pa.array(words, pa.int32()), "best": pa.array((m @ fits).argmax(1), pa.int32())})
+
+        rows = tally(encoded, codes, (n_words - n) * slots).select((F.col("code") / slots).cast("int").alias("w"), (F.col("code") % slots).cast("int").alias("slot"), "n")
+        got = rows.groupBy(F.expr("w div 1024").alias("part")).applyInArrow(choose, "w int, best int").toArrow()  # at most `head` rows
+        full[got["w"].to_numpy() + n] = got["best"].to_numpy()
     return full
 
 
+def place_tail(encoded: DataFrame, cls: np.ndarray, pair: np.ndarray, size: Sizes) -> DataFrame:
+    """(word, n, c) of every word of the training documents that has no number: its count, and the class that fits its neighbours best, the rare
+    one if it was seen once."""
+    slots, fits = 2 * size.all, _fit_of(pair, size)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in count], pa.string()), "slot": pa.array([s for _, s in count], pa.int32()), "n": pa.array(list(count.values()), pa.int64())})
+            count.clear()
+            return out
+
+        for batch in batches:
+            for raw, tail in zip(batch.column("ids").to_pylist(), batch.column("tail").to_pylist(), strict=True):
+                ids = np.frombuffer(raw, "<i4")
+                at = np.flatnonzero(ids < 0)
+                for side in _neighbours(cls, ids, size):
+                    count.update(zip(tail, side[at].tolist()))
+                if len(count) > 300_000:
+                    yield flush()
+        yield flush()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list = []
+
+        def placed(rows: list) -> pa.RecordBatch:
+            words = [w for k, (w, *_) in enumerate(rows) if not k or rows[k - 1][0] != w]
+            row = np.cumsum([k > 0 and rows[k - 1][0] != r[0] for k, r in enumerate(rows)])
+            m = np.zeros((len(words), slots))
+            np.add.at(m, (row, [r[1] for r in rows]), [r[2] for r in rows])
+            n = m[:, : size.all].sum(1).astype(np.int64)
+            c = np.where(n > 1, (m @ fits).argmax(1), size.rare)
+            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": n, "c": c.astype(np.int32)})
+
+        for batch in batches:  # sorted by word
+            rest += zip(*(batch.column(x).to_pylist() for x in ("word", "slot", "n")), strict=True)
+            if len(rest) > 20_000 and rest[0][0] != rest[-1][0]:
+                cut = len(rest)
+                while rest[cut - 1][0] == rest[-1][0]:
+                    cut -= 1
+                yield placed(rest[:cut])
+                rest = rest[cut:]
+        if rest:
+            yield placed(rest)
+
+    rows = encoded.where("train AND size(tail) > 0").select("ids", "tail").mapInArrow(seen, "word string, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word string, n long, c int")
+
+
 @dataclass
 class ClassModel:
-    """What scoring needs, of a size that the constants above bound."""
+    """What scoring needs, of a size that Sizes bounds."""
 
+    size: Sizes
     cls: np.ndarray  # class of each numbered word
-    emit: np.ndarray  # log-free emission probability of each numbered word
+    counts: np.ndarray  # of each numbered word, the end first
     trans: np.ndarray  # P(c3 | c1, c2)
-    base: np.ndarray  # unigram probability of each numbered word
+    total: np.ndarray  # tokens of each class
+    types: np.ndarray  # words of each class
     n_tokens: int
     n_types: int
-    rare_total: int
-    rare_types: int
 
-    def base_of(self, count):
+    def base(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.1) / (self.n_tokens + 0.1 * (self.n_types + 1))
 
-    def rare_of(self, count):
-        return (count + ALPHA) / (self.rare_total + ALPHA * (self.rare_types + 1))
+    def emit(self, c: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """P(word | class), by the word's count; an unknown word is one of the rare class."""
+        types = self.types + (np.arange(self.size.all) == self.size.rare)
+        return (count + ALPHA) / (self.total + ALPHA * types)[c]
+
+    def follow(self, c: np.ndarray) -> np.ndarray:
+        """P(class | the two before) along a text."""
+        before = np.concatenate(([self.size.end], c[:-1]))
+        return self.trans[np.concatenate(([self.size.end], before[:-1])), before, c]
 
 
 def transitions(tri: np.ndarray) -> np.ndarray:
     """P(c3 | c1, c2) by Witten-Bell, backing off to P(c3 | c2) and to smoothed class frequencies; every row sums to one."""
     bi = tri.sum(0)
     uni = bi.sum(0)
-    p1 = (uni + 0.5) / (uni.sum() + 0.5 * ALL)
+    p1 = (uni + 0.5) / (uni.sum() + 0.5 * len(uni))
     kinds = np.maximum((bi > 0).sum(1, keepdims=True), 1)
     p2 = (bi + kinds * p1) / (bi.sum(1, keepdims=True) + kinds)
     kinds = np.maximum((tri > 0).sum(2, keepdims=True), 1)
     return (tri + kinds * p2[None]) / (tri.sum(2, keepdims=True) + kinds)
 
 
-def fit(texts: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame]:
-    """texts: doc_id, text, train. Returns the model, the word counts and the encoded texts."""
-    vocab = stored(count_words(texts.where("train")), "vocabulary")
-    totals = vocab.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_tokens, n_types = totals["n"] or 0, totals["v"]
-    top = head_words(vocab)
-    ends = vocab.where("word = ''").first()
-    counts = np.concatenate(([ends["n"] if ends else 0], top.column("n").to_numpy())).astype(np.float64)
-    encoded = stored(encode(texts, top.column("word").combine_chunks()).withColumn("rid", F.monotonically_increasing_id()), "encoded")
-    cls, pair = cluster(encoded, len(counts))
-    cls = place_rest(encoded, cls, pair, len(counts))
-
-    def triples(ids: np.ndarray) -> np.ndarray:
-        c = np.where(ids < 0, RARE, cls[ids])
-        before = np.concatenate(([END], c[:-1]))
-        return (np.concatenate(([END], before[:-1])) * ALL + before) * ALL + c
-
-    tri = np.zeros(ALL**3)
-    got = tally(encoded, triples, ALL**3).toArrow()  # at most ALL ** 3 rows
-    tri[got["code"].to_numpy()] = got["n"].to_numpy()
-    total = np.bincount(cls, counts, ALL)
-    types = np.bincount(cls, minlength=ALL)
-    emit = (counts + ALPHA) / (total + ALPHA * types)[cls]
-    known_head = top.num_rows + (ends is not None)
-    model = ClassModel(cls, emit, transitions(tri.reshape(ALL, ALL, ALL)), np.empty(0), n_tokens, n_types, int(n_tokens - counts.sum()), n_types - known_head)
-    model.base = model.base_of(counts)
-    return model, vocab, encoded
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (10, 0)) -> DataFrame:
+def _tokens_of(row_ids: bytes, tail_c: list | None, tail_n: list | None, cls: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and counts of a text's tokens."""
+    ids = np.frombuffer(row_ids, "<i4")
+    c, n = cls[ids], counts[ids]
+    if tail_c:
+        at = ids < 0
+        c[at], n[at] = tail_c, tail_n
+    return c, n
+
+
+def fit(texts: DataFrame, size: Sizes) -> tuple[ClassModel, DataFrame]:
+    """texts: doc_id, text, train. Returns the model and the texts as word numbers with the classes and counts of their tail words."""
+    with scratch(texts.sparkSession):
+        vocab = stored(count_words(texts.where("train")), "vocabulary")
+        totals = vocab.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+        top = head_words(vocab, size.head)
+        ends = vocab.where("word = ''").first()
+        counts = np.concatenate(([ends["n"] if ends else 0], top.column("n").to_numpy())).astype(np.float64)
+        encoded = stored(encode(texts, top.column("word").combine_chunks()).withColumn("rid", F.monotonically_increasing_id()), "encoded")
+        cls, pair = cluster(encoded, len(counts), size)
+        cls = place_numbered(encoded, cls, pair, len(counts), size)
+        tail = stored(place_tail(encoded, cls, pair, size), "tail-words")
+        # tail words meet their classes by a join on the word; a word that many documents hold is numbered or unknown, and a skewed join is split
+        met = encoded.where("size(tail) > 0").select("rid", F.posexplode("tail").alias("k", "word")).join(tail, "word", "left")
+        met = met.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("c", F.lit(size.rare)).alias("c"), F.coalesce("n", F.lit(0)).alias("n")))).alias("t"))
+        met = met.select("rid", F.col("t.c").alias("tail_c"), F.col("t.n").alias("tail_n"))
+        encoded = stored(encoded.drop("tail").join(met, "rid", "left").drop("rid"), "classed", keep=True)
+
+        def triples(c: np.ndarray) -> np.ndarray:
+            before = np.concatenate(([size.end], c[:-1]))
+            return (np.concatenate(([size.end], before[:-1])) * size.all + before) * size.all + c
+
+        tri = np.zeros(size.all**3)
+        got = tally(encoded, triples, size.all**3, cls, counts).toArrow()  # at most ALL ** 3 rows
+        tri[got["code"].to_numpy()] = got["n"].to_numpy()
+        total, types = np.bincount(cls, counts, size.all), np.bincount(cls, minlength=size.all).astype(np.float64)
+        for r in tail.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():  # a row for each class
+            total[r["c"]] += r["n"]
+            types[r["c"]] += r["words"]
+    return ClassModel(size, cls, counts, transitions(tri.reshape((size.all,) * 3)), total, types, totals["n"] or 0, totals["v"]), encoded
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (10, 0), size: Sizes = Sizes()) -> DataFrame:  # noqa: B008
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Scores are sums of log10 probabilities over the words and the end. Rows whose crc32(doc_id as text) mod fold[0] is fold[1] are not
     learned from. A null text is empty (one token, the end); a null doc_id counts as the id ''; repeated rows are learned from
-    and scored each; other columns are not read. Without training documents every base score is 0."""
+    and scored each; words of one count are numbered in their order; other columns are not read; no documents give no rows. Without
+    training documents every base score is 0."""
     texts = id_text(docs, id_col, text_col).withColumn("train", crc_mod("doc_id", fold[0]) != fold[1])
-    model, vocab, encoded = fit(texts)
-    known = model.base[0] > model.base_of(0)
+    model, encoded = fit(texts, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_base = np.log10(model.base)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "p")}
-                for raw in batch.column("ids").to_pylist():
-                    ids = np.frombuffer(raw, "<i4")
-                    c = np.where(ids < 0, RARE, model.cls[ids])
-                    before = np.concatenate(([END], c[:-1]))
-                    p = model.trans[np.concatenate(([END], before[:-1])), before, c]
-                    h = ids >= 0
-                    out["n_tokens"].append(len(ids))
-                    out["n_known"].append(int(h.sum()) - (not known))
-                    out["base_score"].append(float(log_base[ids[h]].sum()))
-                    out["score"].append(float(np.log10(MIX * p[h] * model.emit[ids[h]] + (1 - MIX) * model.base[ids[h]]).sum()))
-                    out["p"].append(p[~h])
-                yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "doc_id": batch.column("doc_id"), "held_out": pa.array([not x for x in batch.column("train").to_pylist()]), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64()), "tail": batch.column("tail"), "p": pa.array(out["p"], pa.list_(pa.float64()))})
-
-    part = stored(encoded.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<string>, p array<double>"), "scored")
-    # tail words meet their counts by a join on the word; a word that many documents hold is in the head or unknown, and a skewed join is split
-    rest = part.where("size(tail) > 0").select("rid", F.explode(F.arrays_zip("tail", "p")).alias("t")).select("rid", F.col("t.tail").alias("word"), F.col("t.p").alias("p"))
-    n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
-    base, rare = model.base_of(n), model.rare_of(n)
-    terms = rest.join(vocab, "word", "left").select("rid", (n > 0).cast("long").alias("k"), F.log10(base).alias("b"), F.log10(MIX * F.col("p") * rare + (1 - MIX) * base).alias("s"))
-    sums = terms.groupBy("rid").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = part.drop("tail", "p").join(sums, "rid", "left")
-    score = F.col("score") + z("s")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + z("k")).alias("n_known"), F.lit(int(model.n_tokens)).cast("long").alias("train_tokens"), (F.col("base_score") + z("b")).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+                out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
+                for row in zip(*(batch.column(x).to_pylist() for x in ("ids", "tail_c", "tail_n")), strict=True):
+                    c, n = _tokens_of(*row, model.cls, model.counts)
+                    base = model.base(n)
+                    out["n_tokens"].append(len(n))
+                    out["n_known"].append(int((n > 0).sum()))
+                    out["base_score"].append(float(np.log10(base).sum()))
+                    out["score"].append(float(np.log10(MIX * model.follow(c) * model.emit(c, n) + (1 - MIX) * base).sum()))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": pa.array([not x for x in batch.column("train").to_pylist()]), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
+
+    got = encoded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.n_tokens)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,11 +195,106 @@ def test_base_scores_and_normalised_model(spark):
         assert abs(r.base_score - sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in toks)) < 1e-6
     out = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
-    tri = np.random.default_rng(1).integers(0, 3, (class_lm.ALL,) * 3).astype(float)
+    tri = np.random.default_rng(1).integers(0, 3, (7,) * 3).astype(float)
     assert np.allclose(class_lm.transitions(tri).sum(2), 1)
     assert class_lm.lm_scores(docs(spark, [])).collect() == []
 
 
+def test_class_scores_match_a_plain_model(spark):
+    """The scores from the classes found, by dictionaries; and the model sums to one."""
+    rng = random.Random(14)
+    size = class_lm.Sizes(head=30, clustered=12, classes=4)
+    word = lambda: f"w{min(int(rng.expovariate(0.08)), 90)}"
+    rows = [(k, " ".join(word() for _ in range(rng.randint(0, 40))), "s") for k in range(90)] + [(500, None, "s"), (501, "never seen words", "s"), (1, "w1 w2", "s")]
+    d = docs(spark, rows).withColumns({"ids": F.lit(1), "word": F.lit("x"), "n": F.lit(2), "train": F.lit(None)})
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    texts = d.selectExpr("doc_id", "coalesce(text, '') AS text", "crc32(cast(doc_id as string)) % 10 <> 0 AS train")
+    count = Counter(x for i, t, _ in rows if not held(i) for x in [*(t or "").split(), ""])
+    model, encoded = class_lm.fit(texts, size)
+    numbered = sorted((w for w in count if w), key=lambda w: (-count[w], w))[: len(model.cls) - 1]
+    cls = {"": size.end} | dict(zip(numbered, model.cls[1:].tolist()))
+    assert len(numbered) > 12 and all(c < 4 for w, c in cls.items() if w)
+    words = class_lm.place_tail(class_lm.encode(texts, pa.array(numbered)), model.cls, np.ones((size.all,) * 2), size).collect()
+    assert {r.word: r.n for r in words} == {w: n for w, n in count.items() if w and w not in numbered}
+    assert all((r.c == size.rare) == (r.n == 1) for r in words)
+
+    def classes(r):
+        ids, t = np.frombuffer(r.ids, "<i4").tolist(), iter(r.tail_c or [])
+        return [int(model.cls[k]) if k >= 0 else next(t) for k in ids]
+
+    tri = Counter()
+    for r in encoded.where("train").collect():
+        c = [size.end, size.end, *classes(r)]
+        tri.update(zip(c, c[1:], c[2:]))
+    bi, uni = Counter(), Counter()
+    for (_, b, c), n in tri.items():
+        bi[b, c] += n
+        uni[c] += n
+
+    def p(a, b, c):
+        p1 = (uni[c] + 0.5) / (sum(uni.values()) + 0.5 * size.all)
+        seen = {z: n for (y, z), n in bi.items() if y == b}
+        kinds = max(len(seen), 1)
+        p2 = (seen.get(c, 0) + kinds * p1) / (sum(seen.values()) + kinds)
+        seen = {z: n for (x, y, z), n in tri.items() if (x, y) == (a, b)}
+        kinds = max(len(seen), 1)
+        return (seen.get(c, 0) + kinds * p2) / (sum(seen.values()) + kinds)
+
+    of = {}
+    for r in encoded.collect():
+        texts_of = [(t or "").split() for i, t, _ in rows if i == r.doc_id]
+        t = next(x for x in texts_of if len(x) + 1 == len(r.ids) // 4)
+        for w, c in zip(t, classes(r)):
+            of.setdefault(w, c)
+            assert of[w] == c  # a word has one class
+    members = {}
+    for w in count:
+        members.setdefault(of.get(w, size.end if not w else None), []).append(w)
+    total = {c: sum(count[w] for w in ws) for c, ws in members.items()}
+    n, v = sum(count.values()), len(count)
+
+    def emit(w, c):
+        return (count[w] + 0.1) / (total.get(c, 0) + 0.1 * (len(members.get(c, [])) + (c == size.rare)))
+
+    got = {(r.doc_id, r.n_tokens): r for r in class_lm.lm_scores(d, size=size).collect()}
+    for i, t, _ in rows:
+        words, c, want = [*(t or "").split(), ""], [size.end, size.end], 0.0
+        for w in words:
+            c.append(size.end if not w else of[w])
+            want += math.log10(0.95 * p(*c[-3:]) * emit(w, c[-1]) + 0.05 * (count[w] + 0.1) / (n + 0.1 * (v + 1)))
+        assert abs(got[i, len(words)].score - want) < 1e-6
+    whole = sum(0.95 * p(0, 1, of.get(w, size.end)) * emit(w, of.get(w, size.end)) + 0.05 * (count[w] + 0.1) / (n + 0.1 * (v + 1)) for w in [*count, "unseen"] if w != "unseen")
+    whole += 0.95 * p(0, 1, size.rare) * emit("unseen", size.rare) + 0.05 * 0.1 / (n + 0.1 * (v + 1))
+    assert abs(whole - 1) < 1e-9
+
+
+def test_exchange_ends_where_no_move_helps():
+    rng = np.random.default_rng(3)
+    size = class_lm.Sizes(classes=3)
+    bigrams = rng.poisson(np.kron(rng.integers(1, 9, (3, 3)), np.ones((5, 5)))).astype(np.float32)
+    cls = np.arange(15) % 3
+
+    def counts(cls):
+        member = np.zeros((15, size.all))
+        member[np.arange(15), cls] = 1
+        return member.T @ (bigrams @ member)
+
+    def likelihood(cls):
+        pair = counts(cls)
+        return class_lm._phi(pair).sum() - class_lm._phi(pair.sum(0)).sum() - class_lm._phi(pair.sum(1)).sum()
+
+    pair, before = counts(cls), likelihood(cls)
+    while class_lm.exchange_sweep(cls, bigrams, pair, np.arange(15), size):
+        assert np.allclose(pair, counts(cls))
+        assert likelihood(cls) > before
+        before = likelihood(cls)
+    for w in range(15):
+        for c in range(3):
+            other = cls.copy()
+            other[w] = c
+            assert likelihood(other) <= before + 1e-6
+
+
 # --- classifiers
 
 
