@@ -87,27 +87,43 @@ def flow_fields(json: Column) -> Column:
     return F.struct(F.get_json_object(json, "$.how").alias("how"), state.alias("state"), F.get_json_object(json, "$.step").try_cast("int").alias("step"), F.coalesce(state.isin(TERMINAL), F.lit(False)).alias("terminal"))
 
 
-def wallet_action_fields(json: Column) -> Column:
-    """struct(kind, source, instance, instance_path, maker, continuing, target, offer_id) of a decoded action."""
-    get = lambda p: F.get_json_object(json, p)
-    method, spec = get("$.method"), "$.offer.invitationSpec"
-    kind = F.when(method.isin("executeOffer", "tryExitOffer"), "zoe_offer").when(method == "invokeEntry", "wallet_invocation").otherwise("unknown")
-    raw = get(f"{spec}.source")
-    source = F.when(raw.isin("contract", "agoricContract", "continuing", "purse"), raw).otherwise("unknown")
-    pipe = F.when(source == "agoricContract", get(f"{spec}.callPipe[0][0]"))
+LEGS = "map<string,struct<brand: string, value: string>>"
+ACTION = f"""method string, message struct<targetName: string, id: string>, offer struct<id: string, invitationSpec: struct<source: string, instance: string,
+instancePath: array<string>, publicInvitationMaker: string, invitationMakerName: string, previousOffer: string, callPipe: array<array<string>>>,
+proposal: struct<give: {LEGS}, want: {LEGS}>>"""
+
+
+def parsed_action(json: Column) -> Column:
+    """A decoded action as a struct. Put it into a column of its own before action_fields, so that it is parsed once."""
+    return F.from_json(json, ACTION)
+
+
+def action_fields(a: Column) -> Column:
+    """struct(kind, source, instance, instance_path, maker, continuing, target, offer_id) of a parsed action."""
+    spec = a["offer"]["invitationSpec"]
+    kind = F.when(a["method"].isin("executeOffer", "tryExitOffer"), "zoe_offer").when(a["method"] == "invokeEntry", "wallet_invocation").otherwise("unknown")
+    source = F.when(spec["source"].isin("contract", "agoricContract", "continuing", "purse"), spec["source"]).otherwise("unknown")
+    pipe = F.when(source == "agoricContract", F.try_element_at(F.try_element_at(spec["callPipe"], F.lit(1)), F.lit(1)))
     invoked = kind == "wallet_invocation"
-    path = F.from_json(get(f"{spec}.instancePath"), "array<string>")
+    full = lambda c: F.nullif(c, F.lit(""))
     mine = lambda c: F.when(~invoked, c)
     return F.struct(
-        kind.alias("kind"), F.when(invoked, "unknown").otherwise(source).alias("source"), mine(get(f"{spec}.instance")).alias("instance"), mine(F.when(F.size(path) > 0, F.array_join(path, "."))).alias("instance_path"),
-        mine(F.coalesce(F.nullif(get(f"{spec}.publicInvitationMaker"), F.lit("")), F.nullif(get(f"{spec}.invitationMakerName"), F.lit("")), pipe)).alias("maker"),
-        F.coalesce(~invoked & ((source == "continuing") | get(f"{spec}.previousOffer").isNotNull()), F.lit(False)).alias("continuing"), F.when(invoked, get("$.message.targetName")).alias("target"), F.when(invoked, get("$.message.id")).otherwise(get("$.offer.id")).alias("offer_id"))
+        kind.alias("kind"), F.when(invoked, "unknown").otherwise(source).alias("source"), mine(spec["instance"]).alias("instance"), mine(F.when(F.size(spec["instancePath"]) > 0, F.array_join(spec["instancePath"], "."))).alias("instance_path"),
+        mine(F.coalesce(full(spec["publicInvitationMaker"]), full(spec["invitationMakerName"]), pipe)).alias("maker"),
+        F.coalesce(~invoked & ((source == "continuing") | spec["previousOffer"].isNotNull()), F.lit(False)).alias("continuing"), F.when(invoked, a["message"]["targetName"]).alias("target"), F.when(invoked, a["message"]["id"]).otherwise(a["offer"]["id"]).alias("offer_id"))
+
+
+def wallet_action_fields(json: Column) -> Column:
+    return action_fields(parsed_action(json))
 
 
 def amount_legs(json: Column) -> Column:
     """array<struct<keyword, brand, value>> of a map keyword -> {brand, value}; values that are no non-negative integer are left out."""
-    legs = F.map_entries(F.from_json(json, "map<string,struct<brand: string, value: string>>"))
-    all_ = F.transform(legs, lambda e: F.struct(e["key"].alias("keyword"), e["value"]["brand"].alias("brand"), nat_of(e["value"]["value"]).alias("value")))
+    return legs_of(F.from_json(json, LEGS))
+
+
+def legs_of(amounts: Column) -> Column:
+    all_ = F.transform(F.map_entries(amounts), lambda e: F.struct(e["key"].alias("keyword"), e["value"]["brand"].alias("brand"), nat_of(e["value"]["value"]).alias("value")))
     return F.coalesce(F.filter(all_, lambda x: x["value"].isNotNull()), F.array().cast("array<struct<keyword: string, brand: string, value: decimal(38,0)>>"))
 
 

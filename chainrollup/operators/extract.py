@@ -1,5 +1,6 @@
-"""From blocks to rollup deltas and address facts. One scan and one explode per level: every transaction yields an array
-of deltas, so the many series cost one pass."""
+"""From blocks to rollup deltas and address facts. Every transaction yields an array of deltas and every message one more, so the many
+series of transactions cost one pass; those of block events and of state changes read other columns. What is used more than
+once is a column of its own, parsed once."""
 
 from __future__ import annotations
 
@@ -56,21 +57,28 @@ def json_coins(text: Column) -> Column:
     return F.transform(ok, lambda c: F.struct(c["denom"].alias("denom"), c["amount"].cast(WIDE).alias("amount")))
 
 
-def ibc_amounts_in(evs: Column, messages: Column) -> Column:
-    """array<struct<denom, amount, from_received, from_transfer, used_filter, used_fallback>> of a transaction: by denomination, the larger of
-    both event families' sums, each taken first. Only events of the receiving messages count if any event names a message;
-    if that leaves nothing, all of the transaction's do."""
-    indices = events.msg_indices_of(messages, IBC_IN)
-    named = F.exists(evs, lambda e: e["type"].isin("coin_received", "transfer") & events.msg_index(e).isNotNull())
-    tried = (F.size(indices) > 0) & named
-    mine = [events.received_coins(evs, k, indices) for k in ("coin_received", "transfer")]
-    whole = [events.received_coins(evs, k) for k in ("coin_received", "transfer")]
-    used = tried & ((F.size(mine[0]) > 0) | (F.size(mine[1]) > 0))
-    got, moved = (events.sum_coins(F.when(used, m).otherwise(w)) for m, w in zip(mine, whole, strict=True))
-    names = F.array_distinct(F.concat(F.transform(got, lambda c: c["denom"]), F.transform(moved, lambda c: c["denom"])))
-    return F.transform(names, lambda d: F.struct(
-        d.alias("denom"), F.greatest(events.amount_of(got, d), events.amount_of(moved, d)).alias("amount"), events.amount_of(got, d).alias("from_received"),
-        events.amount_of(moved, d).alias("from_transfer"), used.alias("used_filter"), (tried & ~used).alias("used_fallback")))
+def with_ibc_in(txs: DataFrame) -> DataFrame:
+    """Adds ibc_in: array<struct<denom, amount, from_received, from_transfer, used_filter, used_fallback>> of a transaction: by
+    denomination, the larger of both event families' sums, each taken first. Only events of the receiving messages count if any event names a
+    message; if that leaves nothing, all of the transaction's do. Each event is parsed once."""
+    kinds = F.filter("events", lambda e: e["type"].isin("coin_received", "transfer"))
+    parsed = F.transform(kinds, lambda e: F.struct(e["type"].alias("kind"), events.msg_index(e).alias("at"), F.flatten(F.transform(events.attr_values(e, "amount"), events.parse_coins)).alias("coins")))
+    indices = events.msg_indices_of(F.col("messages"), IBC_IN)
+    t = txs.withColumn("__at", indices).withColumn("__all", F.when(F.size("__at") > 0, parsed).otherwise(F.slice(parsed, 1, 0)))
+    t = t.withColumn("__mine", F.filter("__all", lambda e: F.coalesce(F.array_contains(F.col("__at"), e["at"]), F.lit(False))))
+    t = t.withColumn("__tried", (F.size("__at") > 0) & F.exists("__all", lambda e: e["at"].isNotNull()))
+    t = t.withColumn("__used", F.col("__tried") & F.exists("__mine", lambda e: F.size(e["coins"]) > 0))
+    t = t.withColumn("__events", F.when(F.col("__used"), F.col("__mine")).otherwise(F.col("__all")))
+    coins = lambda kind: F.flatten(F.transform(F.filter("__events", lambda e: e["kind"] == kind), lambda e: e["coins"]))
+    t = t.withColumns({"__got": coins("coin_received"), "__moved": coins("transfer")})
+    t = t.withColumns({c: events.sum_coins(F.col(c)) for c in ("__got", "__moved")})
+    names = F.array_distinct(F.concat(F.transform("__got", lambda c: c["denom"]), F.transform("__moved", lambda c: c["denom"])))
+    got, moved = (lambda d: events.amount_of(F.col("__got"), d)), (lambda d: events.amount_of(F.col("__moved"), d))
+    used, tried = F.col("__used"), F.col("__tried")
+    rows = F.transform(names, lambda d: F.struct(
+        d.alias("denom"), F.greatest(got(d), moved(d)).alias("amount"), got(d).alias("from_received"), moved(d).alias("from_transfer"),
+        used.alias("used_filter"), (tried & ~used).alias("used_fallback")))
+    return t.withColumn("ibc_in", rows).drop("__at", "__all", "__mine", "__tried", "__used", "__events", "__got", "__moved")
 
 
 def flows_in(evs: Column, messages: Column) -> Column:
@@ -100,26 +108,25 @@ def sender_legs(message: Column) -> Column:
     return F.when(url == SEND, at(F.get_json_object(body, "$.fromAddress"), sent_coins(message))).when(url == MULTI_SEND, multi).when(url == IBC_OUT, at(F.get_json_object(body, "$.sender"), sent_coins(message))).otherwise(none)
 
 
-def message_deltas(messages: Column) -> Column:
-    """Deltas of a successful transaction's messages."""
+def message_deltas(rows: DataFrame) -> DataFrame:
+    """Adds m_deltas to rows of messages (m: type_url, body; null for none). Each body is parsed into columns, once for each kind of message."""
     counted = F.create_map(*[F.lit(x) for kv in COUNTED.items() for x in kv])
-
-    def of(m: Column) -> Column:
-        url, coins = m["type_url"], sent_coins(m)
-        series = F.try_element_at(counted, url)
-        fields = capdata.wallet_action_fields(m["body"])
-        category = offers.offer_category(fields["kind"], fields["instance_path"], fields["maker"], fields["target"])
-        offer, invoked = fields["kind"] == "zoe_offer", fields["kind"] == "wallet_invocation"
-        wallet = F.array_compact(F.array(
-            _delta("wallet_actions", fields["kind"], 1), _delta("offer_category", category, 1), F.when(offer, _delta("offer_source", fields["source"], 1)),
-            F.when(offer & fields["instance"].isNotNull(), _delta("offer_instance", fields["instance"], 1)), F.when(offer & fields["maker"].isNotNull(), _delta("offer_maker", fields["maker"], 1)),
-            F.when(invoked & fields["target"].isNotNull(), _delta("invoke_target", fields["target"], 1))))
-        legs = lambda series, path: F.transform(capdata.amount_legs(F.get_json_object(m["body"], path)), lambda x: _delta(series, F.coalesce(x["brand"], F.lit("")), x["value"]))
-        return F.concat(
-            _coins("transfer_volume", coins), _when(url == IBC_OUT, F.concat(_coins("ibc_transfer_amount_out", coins), F.array(_delta("ibc_transfer_out_count", "", 1)))),
-            _when(series.isNotNull(), F.array(_delta(series, "", 1))), _when(url.isin(WALLET), F.concat(wallet, _when(offer, F.concat(legs("offer_give_volume", "$.offer.proposal.give"), legs("offer_want_volume", "$.offer.proposal.want"))))))
-
-    return F.flatten(F.transform(F.coalesce(messages, F.array().cast("array<struct<type_url: string, body: string>>")), of))
+    url = F.col("m.type_url")
+    t = rows.withColumns({"__coins": F.when(url.isin(SEND, MULTI_SEND, IBC_OUT), sent_coins(F.col("m"))), "__action": F.when(url.isin(WALLET), capdata.parsed_action(F.col("m.body")))})
+    t = t.withColumn("__f", F.when(url.isin(WALLET), capdata.action_fields(F.col("__action"))))
+    f = lambda name: F.col(f"__f.{name}")
+    t = t.withColumn("__category", offers.offer_category(f("kind"), f("instance_path"), f("maker"), f("target")))
+    offer, invoked = f("kind") == "zoe_offer", f("kind") == "wallet_invocation"
+    wallet = F.array_compact(F.array(
+        _delta("wallet_actions", f("kind"), 1), _delta("offer_category", F.col("__category"), 1), F.when(offer, _delta("offer_source", f("source"), 1)),
+        F.when(offer & f("instance").isNotNull(), _delta("offer_instance", f("instance"), 1)), F.when(offer & f("maker").isNotNull(), _delta("offer_maker", f("maker"), 1)),
+        F.when(invoked & f("target").isNotNull(), _delta("invoke_target", f("target"), 1))))
+    legs = lambda series, side: F.transform(capdata.legs_of(F.col(f"__action.offer.proposal.{side}")), lambda x: _delta(series, F.coalesce(x["brand"], F.lit("")), x["value"]))
+    coins, series = F.coalesce("__coins", F.array().cast(f"array<struct<denom: string, amount: {WIDE}>>")), F.try_element_at(counted, url)
+    deltas = F.concat(
+        _coins("transfer_volume", coins), _when(url == IBC_OUT, F.concat(_coins("ibc_transfer_amount_out", coins), F.array(_delta("ibc_transfer_out_count", "", 1)))),
+        _when(series.isNotNull(), F.array(_delta(series, "", 1))), _when(url.isin(WALLET), F.concat(wallet, _when(offer, F.concat(legs("offer_give_volume", "give"), legs("offer_want_volume", "want"))))))
+    return t.withColumn("m_deltas", F.when(F.col("m").isNotNull(), deltas).otherwise(_none())).drop("__coins", "__action", "__f", "__category")
 
 
 def tx_rows(blocks: DataFrame) -> DataFrame:
@@ -128,22 +135,29 @@ def tx_rows(blocks: DataFrame) -> DataFrame:
     evs = F.coalesce("result.events", F.array().cast("array<struct<type: string, attributes: array<struct<key: string, value: string>>>>"))
     messages = F.coalesce("tx.messages", F.array().cast("array<struct<type_url: string, body: string>>"))
     t = t.withColumns({"events": evs, "messages": messages})
-    return t.withColumns({"fees": events.sum_coins(events.fee_coins(F.col("events"))), "payer": F.when(F.col("ok"), events.message_payer(F.col("tx"))).otherwise(events.event_payer(F.col("events")))})
+    t = t.withColumn("__fees", events.fee_coins(F.col("events")))
+    return t.withColumns({"fees": events.sum_coins(F.col("__fees")), "payer": F.when(F.col("ok"), events.message_payer(F.col("tx"))).otherwise(events.event_payer(F.col("events")))}).drop("__fees")
 
 
 def tx_deltas(txs: DataFrame, modules: list[str] = ()) -> DataFrame:
-    """height, time, deltas. modules: accounts whose receipts are no credits (a curated list)."""
+    """height, time, deltas: a row for each message, the first of which has the transaction's own deltas as well. modules: accounts
+    whose receipts are no credits (a curated list)."""
     ok, evs, msgs = F.col("ok"), F.col("events"), F.col("messages")
-    credits = F.filter(evs, lambda e: (e["type"] == "coin_received") & events.attr_first(e, "receiver").isNotNull() & ~F.coalesce(events.attr_first(e, "receiver").isin(list(modules)), F.lit(False)))
-    credit = events.sum_coins(F.flatten(F.transform(credits, lambda e: F.flatten(F.transform(events.attr_values(e, "amount"), events.parse_coins)))))
-    n_in = F.size(events.msg_indices_of(msgs, IBC_IN))
+    receiver = lambda e: events.attr_first(e, "receiver")
+    credits = F.filter(evs, lambda e: (e["type"] == "coin_received") & receiver(e).isNotNull() & ~F.coalesce(receiver(e).isin(list(modules)), F.lit(False)))
+    t = with_ibc_in(txs).withColumn("__credit", F.when(ok, F.flatten(F.transform(credits, lambda e: F.flatten(F.transform(events.attr_values(e, "amount"), events.parse_coins))))))
+    t = t.withColumns({"__credit": F.coalesce(events.sum_coins(F.col("__credit")), F.array().cast(f"array<struct<denom: string, amount: {WIDE}>>")), "__n_in": F.size(events.msg_indices_of(msgs, IBC_IN))})
+    n_in = F.col("__n_in")
     gas = lambda c: F.coalesce(F.col(c).try_cast(WIDE), F.lit(0).cast(WIDE))
     every = F.concat(
         F.array(_delta(F.when(ok, "tx_success").otherwise("tx_failed"), "", 1), _delta("gas_used", "", gas("result.gas_used")), _delta("gas_wanted", "", gas("result.gas_wanted"))),
         _coins("fee_paid", F.col("fees")),
     )
-    inbound = _when(n_in > 0, F.concat(F.array(_delta("ibc_transfer_in_count", "", n_in), _delta("ibc_transfer_flow_in", "", flows_in(evs, msgs))), F.transform(ibc_amounts_in(evs, msgs), lambda c: _delta("ibc_transfer_amount_in", c["denom"], c["amount"]))))
-    return txs.select("height", "time", F.concat(every, _when(ok, F.concat(_coins("bank_credits_volume", credit), message_deltas(msgs), inbound))).alias("deltas"))
+    inbound = _when(n_in > 0, F.concat(F.array(_delta("ibc_transfer_in_count", "", n_in), _delta("ibc_transfer_flow_in", "", flows_in(evs, msgs))), F.transform("ibc_in", lambda c: _delta("ibc_transfer_amount_in", c["denom"], c["amount"]))))
+    own = F.concat(every, _when(ok, F.concat(_coins("bank_credits_volume", F.col("__credit")), inbound)))
+    rows = t.withColumn("own", own).select("height", "time", "own", F.posexplode_outer(F.when(ok, msgs)).alias("m_i", "m"))
+    rows = message_deltas(rows)
+    return rows.select("height", "time", F.concat(_when(F.coalesce(F.col("m_i") == 0, F.lit(True)), F.col("own")), F.col("m_deltas")).alias("deltas"))
 
 
 def send_packets(evs: Column) -> Column:
@@ -162,8 +176,8 @@ def send_packets(evs: Column) -> Column:
 
 def block_deltas(blocks: DataFrame) -> DataFrame:
     """height, time, deltas at the grain of blocks, before any transaction is exploded."""
-    gas, sends = events.max_gas(F.col("max_gas")), send_packets(block_events())
-    return blocks.select("height", "time", F.concat(
+    gas, sends = events.max_gas(F.col("max_gas")), F.col("__sends")
+    return blocks.select("height", "time", "max_gas", send_packets(block_events()).alias("__sends")).select("height", "time", F.concat(
         _when(gas.isNotNull(), F.array(_delta("block_gas_limit", "", gas))), F.transform(sends, lambda s: _delta("ibc_transfer_amount_out_orch", s["denom"], s["amount"])),
         _when(F.size(sends) > 0, F.array(_delta("ibc_transfer_out_count_orch", "", F.size(sends))))).alias("deltas"))
 
@@ -211,7 +225,7 @@ def bundle_installs(txs: DataFrame, denom: str = "ubld") -> DataFrame:
 def recv_hits(txs: DataFrame, denoms: list[str]) -> DataFrame:
     """height, tx_hash, denom, amount of transactions that receive packets, for some denominations."""
     rows = txs.where(F.col("ok") & (F.size(events.msg_indices_of(F.col("messages"), IBC_IN)) > 0))
-    got = rows.select("height", tx_hash(F.col("tx.raw")).alias("tx_hash"), F.inline(ibc_amounts_in(F.col("events"), F.col("messages"))))
+    got = with_ibc_in(rows).select("height", tx_hash(F.col("tx.raw")).alias("tx_hash"), F.inline("ibc_in"))
     return got.where(F.col("denom").isin(denoms)).select("height", "tx_hash", "denom", "amount")
 
 
@@ -277,9 +291,8 @@ def flow_rows(cells: DataFrame, brands: dict[str, str] | None = None) -> DataFra
 def offer_actions(txs: DataFrame) -> DataFrame:
     """day, address, kind, category of the wallet messages of successful transactions, by their owner."""
     body = F.col("m.body")
-    fields = capdata.wallet_action_fields(body)
     rows = txs.where("ok").select(F.to_date("time").alias("day"), F.explode("messages").alias("m")).where(F.col("m.type_url").isin(WALLET))
-    rows = rows.select("day", F.get_json_object(body, "$.owner").alias("address"), fields.alias("f")).where("coalesce(address, '') <> ''")
+    rows = rows.withColumn("a", capdata.parsed_action(body)).select("day", F.get_json_object(body, "$.owner").alias("address"), capdata.action_fields(F.col("a")).alias("f")).where("coalesce(address, '') <> ''")
     return rows.select("day", "address", "f.kind", offers.offer_category(F.col("f.kind"), F.col("f.instance_path"), F.col("f.maker"), F.col("f.target")).alias("category"))
 
 
@@ -287,7 +300,8 @@ def offer_outcome_deltas(blocks: DataFrame) -> DataFrame:
     """height, hour, series, dimension, delta from terminal offer statuses."""
     cells = state_cells(blocks).where("kind = 'wallet'").withColumn("outcome", capdata.offer_outcome(F.col("json"))).where("outcome IS NOT NULL")
     spec = F.get_json_object("json", "$.status.invitationSpec")
-    fields = capdata.wallet_action_fields(F.concat(F.lit('{"method":"executeOffer","offer":'), F.get_json_object("json", "$.status"), F.lit("}")))
+    cells = cells.withColumn("__a", capdata.parsed_action(F.concat(F.lit('{"method":"executeOffer","offer":'), F.get_json_object("json", "$.status"), F.lit("}")))).withColumn("__f", capdata.action_fields(F.col("__a")))
+    fields = F.col("__f")
     category = F.when(spec.isNull(), "unclassified").otherwise(offers.offer_category(fields["kind"], fields["instance_path"], fields["maker"], fields["target"]))
     payouts = F.transform(capdata.amount_legs(F.get_json_object("json", "$.status.payouts")), lambda x: _delta("offer_payout_volume", F.coalesce(x["brand"], F.lit("")), x["value"]))
     deltas = F.concat(F.array(_delta("offer_outcome", F.col("outcome"), 1), _delta("offer_outcome_category", offers.outcome_dim(category, F.col("outcome")), 1)), payouts)

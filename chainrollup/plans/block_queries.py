@@ -150,7 +150,7 @@ def fee_payer(spark, d):
 @query(f"SELECT height, tx, denom, CAST(amount AS BIGINT) AS amount, CAST(r AS BIGINT) AS from_received, CAST(v AS BIGINT) AS from_transfer, used AS used_filter, NOT used AS used_fallback FROM {_IN}")
 def ibc_amount_diagnose(spark, d):
     t = extract.tx_rows(P.blocks(spark, d)).where(F.col("ok") & (F.size(events.msg_indices_of(F.col("messages"), extract.IBC_IN)) > 0))
-    got = t.select("height", (F.col("height") * 4 + F.col("tx_i")).alias("tx"), F.inline(extract.ibc_amounts_in(F.col("events"), F.col("messages"))))
+    got = extract.with_ibc_in(t).select("height", (F.col("height") * 4 + F.col("tx_i")).alias("tx"), F.inline("ibc_in"))
     return got.withColumns({c: F.col(c).cast("long") for c in ("amount", "from_received", "from_transfer")})
 
 

@@ -72,7 +72,7 @@ def test_module_accounts_are_no_credits_and_mismatches_are_reported(blocks):
 ])
 def test_inbound_amounts(blocks, evs, messages, want):
     b = blocks(one_tx(evs, [(extract.IBC_IN, "{}")] * messages))
-    got = extract.tx_rows(b).select(F.inline(extract.ibc_amounts_in(F.col("events"), F.col("messages")))).collect()
+    got = extract.with_ibc_in(extract.tx_rows(b)).select(F.inline("ibc_in")).collect()
     assert {r.denom: int(r.amount) for r in got} == want
 
 
