@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbers import small
+
 
 def ibc_denom(trace: Column) -> Column:
     """`ibc/` and the upper-case SHA-256 of a trace path; a plain denomination as it is."""
@@ -25,10 +27,10 @@ def stripped(label: Column) -> Column:
 def price_id_of(df: DataFrame, overrides: DataFrame, symbols: DataFrame, tries: int = 5) -> DataFrame:
     """Adds price_id to (denom, label): an override that isn't empty, else the symbol's, looked up for the label and with trailing
     groups in brackets taken off one by one. overrides: denom, id; symbols: symbol, id. Both are curated lists."""
-    out = df.join(F.broadcast(overrides.where("id <> ''").select("denom", F.col("id").alias("__o"))), "denom", "left")
+    out = df.join(small(overrides.where("id <> ''").select("denom", F.col("id").alias("__o"))), "denom", "left")
     label = F.col("label")
     for k in range(tries):
-        out = out.withColumn(f"__l{k}", label).join(F.broadcast(symbols.where("id <> ''").select(F.col("symbol").alias(f"__l{k}"), F.col("id").alias(f"__s{k}"))), f"__l{k}", "left")
+        out = out.withColumn(f"__l{k}", label).join(small(symbols.where("id <> ''").select(F.col("symbol").alias(f"__l{k}"), F.col("id").alias(f"__s{k}"))), f"__l{k}", "left")
         label = stripped(F.col(f"__l{k}"))
     return out.withColumn("price_id", F.coalesce("__o", *[f"__s{k}" for k in range(tries)])).select(*df.columns, "price_id")
 

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import small
 from ..functions.time import bucket_end, bucket_of
 
 
@@ -34,7 +35,7 @@ def before_coverage(bucket: Column, grain: str, floor: Column) -> Column:
 
 def with_coverage(df: DataFrame, floors: DataFrame, grain: str, bucket: str = "bucket") -> DataFrame:
     """Adds `uncovered`. floors: (series, floor), one row a series: the declared list, tens of rows."""
-    joined = df.join(F.broadcast(floors), "series", "left")
+    joined = df.join(small(floors), "series", "left")
     return joined.withColumn("uncovered", before_coverage(F.col(bucket), grain, F.col("floor"))).drop("floor")
 
 

@@ -12,6 +12,10 @@ CATEGORIES = ["oracle", "governance", "vaults", "psm", "auction", "fast_usdc", "
 AUTOMATED = ["orchestration", "oracle", "fast_usdc"]
 INTERACTIVE = ["vaults", "psm", "auction", "governance", "ymax"]
 OUTCOMES = ["wants_satisfied", "wants_unsatisfied", "errored"]
+NAMED = [  # patterns of a contract's name, the first that fits decides
+    ("(?i)price feed$", "oracle"), ("(?i)^scaledPriceAuthority", "oracle"), ("(Committee|Governor|Charter)$", "governance"), ("^VaultFactory$", "vaults"),
+    ("(?i)^psm-", "psm"), ("^(auctioneer|reserve)$", "auction"), ("^fastUsdc$", "fast_usdc"), ("(?i)^ymax", "ymax"),
+]
 MAKERS = {"SettleTransaction": "fast_usdc", "SubmitEvidence": "fast_usdc", "SimpleRebalance": "ymax"}
 USER_TARGETS = ["evmWalletHandler"]
 MAX_DIM = 512
@@ -19,13 +23,9 @@ MAX_DIM = 512
 
 def offer_category(kind: Column, instance: Column, maker: Column, target: Column) -> Column:
     """Exactly one category. An invocation goes by its target; an offer by its contract's name, else by its maker."""
-    named = (
-        F.when(instance.rlike("(?i)price feed$") | instance.rlike("(?i)^scaledPriceAuthority"), "oracle")
-        .when(instance.rlike("(Committee|Governor|Charter)$"), "governance")
-        .when(instance == "VaultFactory", "vaults").when(instance.rlike("(?i)^psm-"), "psm")
-        .when(instance.isin("auctioneer", "reserve"), "auction").when(instance == "fastUsdc", "fast_usdc")
-        .when(instance.rlike("(?i)^ymax"), "ymax").otherwise("other")
-    )
+    named = F.lit("other")
+    for pattern, category in reversed(NAMED):
+        named = F.when(instance.rlike(pattern), category).otherwise(named)
     by_maker = F.when(maker.rlike("(?i)pushprice"), "oracle")
     for name, category in MAKERS.items():
         by_maker = by_maker.when(maker == name, category)

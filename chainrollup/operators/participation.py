@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import ratio
+from ..functions.numbers import ratio, small
 
 
 def exclude_accounts(df: DataFrame, accounts: DataFrame, address: str = "address") -> DataFrame:
     """Without the listed accounts (column address; a curated list of tens). Null addresses stay."""
-    return df.join(F.broadcast(accounts.select(F.col("address").alias("__x"))), F.col(address) == F.col("__x"), "left_anti")
+    return df.join(small(accounts.select(F.col("address").alias("__x"))), F.col(address) == F.col("__x"), "left_anti")
 
 
 def participation_range(df: DataFrame) -> DataFrame:

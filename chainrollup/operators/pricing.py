@@ -5,16 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import ratio
-
-SMALL = 64 << 20
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Asks for a broadcast if the optimizer's size of the table is at most 64 MB; else the join shuffles."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= SMALL else df
-
+from ..functions.numbers import ratio, small
 
 def enrich_denom(df: DataFrame, denoms: DataFrame) -> DataFrame:
     """Adds symbol and decimals; null where the denomination is not known."""

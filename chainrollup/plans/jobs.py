@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import context_window, prior_window
-from ..operators import buckets, extract, kpis, participation, pricing, state, windows
+from ..operators import buckets, extract, kpis, offers, participation, pricing, state, windows
 from ..sources import store
 
 
@@ -44,15 +44,54 @@ def participation_report(people: DataFrame, priced: DataFrame, start: date, end:
     return {"accounts": participation.participation_range(now), "daily": participation.dense_distinct(now, days), "retention": participation.retention_counts(people, (start, end), before), "concentration": pricing.hhi(usd, "usd").crossJoin(pricing.top_n_share(usd, "usd", 10)), "trend": pricing.concentration_over_time(buckets.range_filter(priced, start, end), days)}
 
 
-def backfill_series(blocks: DataFrame, control: DataFrame, job: str, series: str, path: str, modules: list[str] = ()) -> None:
-    """Recomputes one series over blocks above the job's committed height and swaps its partition. Without a committed height the
-    fresh rows replace the stored ones, else they are added to them; the height must be committed before the job runs again."""
+def value_flow(priced: DataFrame, venues: DataFrame, positions: DataFrame, flows: DataFrame, start: date, end: date, stale_blocks: int = state.STALE_BLOCKS) -> DataFrame:
+    """One row for the range: net flow in dollars; the stock: its venues, principal in dollars and the share of the two largest venues; flows and
+    net deposits; positions quarantined or stale. priced: legs with prices; venues: principal_by_venue with usd; flows with prices."""
+    net = pricing.net_flow_headline(pricing.net_flow_by_asset(buckets.range_filter(priced, start, end))).select(F.col("net_usd").alias("net_flow_usd"), F.col("priced").alias("priced_assets"))
+    stock = venues.agg(F.count(F.lit(1)).alias("venues"), F.sum("usd").alias("principal_usd"))
+    mine = buckets.range_filter(flows, start, end)
+    moved = state.flows_in_range(mine, start, end).agg(F.coalesce(F.sum("flows"), F.lit(0)).alias("flows"))
+    held = state.quarantined_positions(positions).agg(F.coalesce(F.sum("positions"), F.lit(0)).alias("quarantined"))
+    old = state.stale_rows(positions, stale_blocks).agg(F.count(F.lit(1)).alias("stale"))
+    one = [stock, state.top_two_venue_share(venues), moved, state.net_deposits_usd(mine).withColumnRenamed("net_usd", "net_deposits_usd"), held, old]
+    for part in one:  # one row each
+        net = net.crossJoin(part)
+    return net
+
+
+def base(people: DataFrame, fees: DataFrame, snapshots: DataFrame, landings: DataFrame, start: date, end: date, provision_fee: int) -> DataFrame:
+    """One row for the range: the effective number of fee payers, retention, provisioning and installs. fees: day, address, usd."""
+    paid = buckets.range_filter(fees, start, end).groupBy("address").agg(F.sum("usd").alias("usd"))
+    one = pricing.hhi(paid, "usd").select("effective_n")
+    kept = participation.retention_counts(people, (start, end), prior_window(start, end)).select("active", "retained", "new")
+    pool = windows.snapshot_diff(state.with_prior_snapshot(snapshots, start, end), provision_fee)
+    pool = state.provisioning_summary(buckets.range_filter(pool, start, end)).select("n_new", "n_minted", "wallets")
+    mine = state.landings_summary(buckets.range_filter(landings, start, end), 0).select("installs", F.col("storage_fee").alias("install_storage_fee"), "installers")
+    return one.crossJoin(kept).crossJoin(pool).crossJoin(mine)
+
+
+def backfilled(base: DataFrame, blocks: DataFrame, control: DataFrame, job: str, series: str, modules: list[str] = ()) -> DataFrame:
+    """The rows that one series has after a backfill of the blocks above the job's committed height: without a committed height the fresh
+    rows replace those of `base` (hour, series, dimension, value), else they are added to them."""
     fresh = kpis.rollup_hours(extract.rollup_deltas(store.resume_guard(blocks, control, job), modules).where(F.col("series") == series))
-    if control.where((F.col("job") == job) & F.col("last_height").isNotNull()).head(1):
-        stored = blocks.sparkSession.read.schema(fresh.schema).parquet(path).where(F.col("series") == series)
-        fresh = store.merge_additive(stored, fresh, ["hour", *store.ROLLUP_KEY])
+    if not control.where((F.col("job") == job) & F.col("last_height").isNotNull()).head(1):
+        return fresh
+    mine = base.where(F.col("series") == series).select(*fresh.columns)
+    return store.merge_additive(mine, fresh, ["hour", *store.ROLLUP_KEY])
+
+
+def backfill_series(blocks: DataFrame, control: DataFrame, job: str, series: str, path: str, modules: list[str] = ()) -> None:
+    """Swaps the partition of a series in a stored table for `backfilled`; the height must be committed before the job runs again."""
+    spark = blocks.sparkSession
+    held = spark.read.schema("hour timestamp, dimension string, value decimal(38,0), series string").parquet(path) if control.where(F.col("job") == job).head(1) else None
+    fresh = backfilled(held, blocks, control, job, series, modules)
     store.overwrite_series(fresh, path)
 
 
-def verify(hours: DataFrame, days: DataFrame, local: DataFrame, chain: DataFrame) -> dict[str, DataFrame]:
-    return {"parity": state.parity_check(hours, days), "drift": state.registry_drift(local, chain).where("status <> 'agreed'")}
+def verify(hours: DataFrame, days: DataFrame, replayed: DataFrame, local: DataFrame, chain: DataFrame, actions: DataFrame) -> DataFrame:
+    """(check, key, expected, found): sums of stored hours against stored days, of recomputed days against stored days, denominations that differ
+    from the chain's, and names that the resolution doesn't know. No row is the result wanted."""
+    sums = lambda name, a: state.parity_check(a, days).select(F.lit(name).alias("check"), F.concat_ws("/", "series", "dimension").alias("key"), F.col("hourly").cast("string").alias("expected"), F.col("daily").cast("string").alias("found"))
+    drift = state.registry_drift(local, chain).where("status <> 'agreed'").select(F.lit("registry").alias("check"), F.col("denom").alias("key"), F.lit("agreed").alias("expected"), F.col("status").alias("found"))
+    names = offers.resolution_audit(actions).select(F.concat(F.lit("unresolved "), "problem").alias("check"), "key", F.lit("0").alias("expected"), F.col("times").cast("string").alias("found"))
+    return sums("parity", hours).unionByName(sums("replay", replayed)).unionByName(drift).unionByName(names)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, time
 from ..operators import buckets, kpis, offers, state, windows
 from ..sources import export, store
+from . import jobs
 from . import proxy as P
 from .registry import registry
 
@@ -181,13 +182,13 @@ def dense_days(spark, d):
     return first.select(F.explode(F.sequence("a", "b")).alias("day"))
 
 
-_S6 = "(SELECT DISTINCT series FROM p_day WHERE dimension = '0')"
+_S6 = f"(SELECT DISTINCT series FROM p_day WHERE {IN_NOW})"
 
 
 @query(f"""SELECT g.day, g.series, CASE WHEN f.floor IS NOT NULL AND g.day + INTERVAL 1 DAY <= f.floor THEN NULL ELSE coalesce(v.value, 0) END AS value
-FROM (SELECT * FROM {DAYS}, {_S6}) g LEFT JOIN p_floor f USING (series) LEFT JOIN (SELECT day, series, CAST(sum(value) AS BIGINT) AS value FROM p_day WHERE dimension = '0' GROUP BY ALL) v USING (day, series)""")
+FROM (SELECT * FROM {DAYS}, {_S6}) g LEFT JOIN p_floor f USING (series) LEFT JOIN (SELECT day, series, CAST(sum(value) AS BIGINT) AS value FROM p_day GROUP BY ALL) v USING (day, series)""")
 def densify(spark, d):
-    return buckets.densify(now(P.metric_day(spark, d)).where("dimension = '0'"), days(spark), floors(spark))
+    return buckets.densify(now(P.metric_day(spark, d)), days(spark), floors(spark))
 
 
 @query(f"SELECT {H} AS hour, series, dimension, coalesce(hour + INTERVAL 1 HOUR <= floor, false) AS uncovered FROM p_hour LEFT JOIN p_floor USING (series)")
@@ -201,11 +202,11 @@ def series_over_time(spark, d):
     return buckets.series_over_time(now(P.metric_day(spark, d)), "purchase", "2", days(spark), floors(spark))
 
 
-_PIV = "SELECT day AS bucket, CAST(coalesce(sum(value) FILTER (series = 'click'), 0) AS BIGINT) AS click, CAST(coalesce(sum(value) FILTER (series = 'view'), 0) AS BIGINT) AS view FROM p_day WHERE dimension = '4' AND series IN ('click', 'view') GROUP BY 1"
+_PIV = "SELECT day AS bucket, CAST(coalesce(sum(value) FILTER (series = 'click'), 0) AS BIGINT) AS click, CAST(coalesce(sum(value) FILTER (series = 'view'), 0) AS BIGINT) AS view FROM p_day WHERE series IN ('click', 'view') GROUP BY 1"
 
 
 def _aligned(spark, d):
-    return P.metric_day(spark, d).where("dimension = '4'").withColumnRenamed("day", "bucket")
+    return P.metric_day(spark, d).withColumnRenamed("day", "bucket")
 
 
 @query(_PIV)
@@ -218,9 +219,9 @@ def series_union_keys(spark, d):
     return buckets.series_align(_aligned(spark, d), ["error", "signup"])
 
 
-@query("SELECT day AS bucket, CAST(sum(value) AS BIGINT) AS value FROM p_day WHERE dimension = '1' AND series IN ('purchase', 'signup') GROUP BY 1")
+@query("SELECT day AS bucket, CAST(sum(value) AS BIGINT) AS value FROM p_day WHERE series IN ('purchase', 'signup') GROUP BY 1")
 def transfer_plus_in_series(spark, d):
-    return buckets.combined_series(P.metric_day(spark, d).where("dimension = '1'").withColumnRenamed("day", "bucket"), ["purchase", "signup"])
+    return buckets.combined_series(P.metric_day(spark, d).withColumnRenamed("day", "bucket"), ["purchase", "signup"])
 
 
 @query(f"""WITH x AS (SELECT hour, CASE WHEN {_PREFER} THEN 'flow' WHEN series = 'error' THEN 'count' WHEN series = 'view' THEN 'out' END AS s, value FROM p_hour),
@@ -433,3 +434,14 @@ def tumbling_day(spark, d):
 def wide_sum(spark, d):
     wide = P.table(spark, d, "lineitem").select(F.concat(P.cents("l_extendedprice").cast("string"), F.lit("0" * 24)).alias("v"))
     return wide.agg(*[c.alias(n) for c, n in zip(numbers.wide_sum(F.col("v")), ("hi", "lo"))]).select(numbers.wide_join(F.col("hi"), F.col("lo")).alias("total"))
+
+
+@query(f"""WITH k AS ({KPI_SQL}) SELECT 'kpi' AS part, kpi AS key, CAST(current AS DOUBLE) AS value FROM k
+UNION ALL SELECT 'total', series || '/' || dimension, CAST(sum(value) AS DOUBLE) FROM p_day WHERE {IN_NOW} GROUP BY series, dimension
+UNION ALL SELECT 'series', CAST(day AS VARCHAR) || '/' || series, CAST(CASE WHEN f.floor IS NOT NULL AND g.day + INTERVAL 1 DAY <= f.floor THEN NULL ELSE coalesce(v.value, 0) END AS DOUBLE)
+FROM (SELECT * FROM {DAYS}, {_S6}) g LEFT JOIN p_floor f USING (series) LEFT JOIN (SELECT day, series, sum(value) AS value FROM p_day GROUP BY ALL) v USING (day, series)""")
+def job_metrics(spark, d):
+    parts = jobs.metrics(P.metric_day(spark, d), {k: F.col("series") == v for k, v in KPI_NAMES.items()}, floors(spark), A, B)
+    keys = {"kpis": ("kpi", F.col("kpi"), "current"), "totals": ("total", F.concat_ws("/", "series", "dimension"), "total"), "series": ("series", F.concat_ws("/", F.col("day").cast("string"), "series"), "value")}
+    rows = [parts[p].select(F.lit(n).alias("part"), k.alias("key"), F.col(v).cast("double").alias("value")) for p, (n, k, v) in keys.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

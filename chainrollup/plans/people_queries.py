@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import buckets, participation, pricing, windows
+from . import jobs
 from . import proxy as P
 from .registry import registry
 
@@ -66,9 +67,9 @@ def distinct_per_day(spark, d):
     return participation.distinct_per_day(P.participant(spark, d))
 
 
-@query(f"SELECT day, coalesce(n, 0) AS accounts FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '{A}', TIMESTAMP '{B}', INTERVAL 1 DAY)) AS DATE) AS day) LEFT JOIN (SELECT day, count(DISTINCT address) AS n FROM p_part WHERE address = '7' GROUP BY 1) USING (day)")
+@query(f"SELECT day, coalesce(n, 0) AS accounts FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '{A}', TIMESTAMP '{B}', INTERVAL 1 DAY)) AS DATE) AS day) LEFT JOIN (SELECT day, count(DISTINCT address) AS n FROM p_part GROUP BY 1) USING (day)")
 def dense_distinct(spark, d):
-    return participation.dense_distinct(now(P.participant(spark, d)).where("address = '7'"), buckets.dense_days(spark, A, B))
+    return participation.dense_distinct(now(P.participant(spark, d)), buckets.dense_days(spark, A, B))
 
 
 _RET = f"""SELECT count(*) AS active, count(*) FILTER (address IN (SELECT address FROM p_part WHERE {IN_BEFORE})) AS retained, count(*) FILTER (address NOT IN (SELECT address FROM p_part WHERE day < DATE '{A}')) AS new
@@ -121,13 +122,13 @@ def offer_wallets(spark, d):
 
 
 _CLS = "CASE WHEN category IN ('orchestration', 'oracle', 'fast_usdc') THEN 'automated' WHEN category = 'other' THEN 'unknown' ELSE 'interactive' END"
-_CW = f"(SELECT count(DISTINCT owner) FILTER (c = 'interactive') AS interactive, count(DISTINCT owner) FILTER (c = 'automated') AS automated, count(DISTINCT owner) AS \"any\", (SELECT count(*) FROM (SELECT owner FROM (SELECT owner, {_CLS} AS c FROM p_action WHERE k < 6) WHERE c IN ('interactive', 'automated') GROUP BY 1 HAVING count(DISTINCT c) = 2)) AS both FROM (SELECT owner, {_CLS} AS c FROM p_action WHERE k < 6))"
+_CW = f"(SELECT count(DISTINCT owner) FILTER (c = 'interactive') AS interactive, count(DISTINCT owner) FILTER (c = 'automated') AS automated, count(DISTINCT owner) AS \"any\", (SELECT count(*) FROM (SELECT owner FROM (SELECT owner, {_CLS} AS c FROM p_action) WHERE c IN ('interactive', 'automated') GROUP BY 1 HAVING count(DISTINCT c) = 2)) AS both FROM (SELECT owner, {_CLS} AS c FROM p_action))"
 
 
 def _category_wallets(spark, d):
     from ..operators.offers import automation_class
 
-    return participation.category_wallets(P.action(spark, d).where("k < 6").withColumn("class", automation_class(F.col("category"))))
+    return participation.category_wallets(P.action(spark, d).withColumn("class", automation_class(F.col("category"))))
 
 
 @query(f"SELECT * FROM {_CW}")
@@ -293,10 +294,9 @@ def net_flow_headline(spark, d):
     return pricing.net_flow_headline(pricing.net_flow_by_asset(priced(spark, d))).withColumns({c: F.round(c, 2) for c in ("net_usd", "usd_in", "usd_out")})
 
 
-@query(f"SELECT g.day, round(CASE WHEN count(p.day) = 0 THEN 0.0 ELSE sum(CASE WHEN direction = 'in' THEN usd ELSE -usd END) END, 2) AS net_usd FROM {LDAYS} g LEFT JOIN (SELECT * FROM p_priced WHERE denom IN ('RF', 'NO') OR (day(day) < 8 AND denom = 'AF')) p USING (day) GROUP BY 1")
+@query(f"SELECT g.day, round(CASE WHEN count(p.day) = 0 THEN 0.0 ELSE sum(CASE WHEN direction = 'in' THEN usd ELSE -usd END) END) AS net_usd FROM {LDAYS} g LEFT JOIN p_priced p USING (day) GROUP BY 1")
 def net_flow_daily(spark, d):
-    rows = priced(spark, d).where("denom IN ('RF', 'NO') OR (dayofmonth(day) < 8 AND denom = 'AF')")
-    return pricing.net_flow_daily(rows, leg_days(spark)).withColumn("net_usd", F.round("net_usd", 2))
+    return pricing.net_flow_daily(priced(spark, d), leg_days(spark)).withColumn("net_usd", F.round("net_usd"))
 
 
 @query(f"""SELECT day, denom, CAST(coalesce(sum(amount) FILTER (direction = 'in'), 0) AS BIGINT) AS amount_in, CAST(coalesce(sum(amount) FILTER (direction = 'out'), 0) AS BIGINT) AS amount_out, amount_in - amount_out AS net
@@ -317,3 +317,16 @@ def job_q1_busier(spark, d):
     """Accounts per day with the score of each day."""
     each = participation.distinct_per_day(P.participant(spark, d)).withColumn("series", F.lit("accounts"))
     return windows.trailing_zscore(each, value="accounts").select("day", "accounts", F.round("z", 6).alias("z"))
+
+
+@query(f"""WITH a AS (SELECT address, count(DISTINCT day) AS days FROM p_part WHERE {IN_NOW} GROUP BY 1), r AS ({_RET})
+SELECT 'accounts' AS part, 'all' AS key, count(*) AS n FROM a UNION ALL SELECT 'accounts', 'single_day', count(*) FROM a WHERE days = 1 UNION ALL SELECT 'daily', CAST(day AS VARCHAR), count(DISTINCT address) FROM p_part WHERE {IN_NOW} GROUP BY day
+UNION ALL SELECT 'retention', 'retained', retained FROM r UNION ALL SELECT 'retention', 'new', new FROM r""")
+def job_participation(spark, d):
+    parts = jobs.participation_report(P.participant(spark, d), priced(spark, d, ranged=False), A, B)
+    long = lambda part, key, n: parts[part].select(F.lit(part).alias("part"), key.alias("key"), n.alias("n"))
+    rows = [long("accounts", F.lit("all"), F.col("accounts")), long("accounts", F.lit("single_day"), F.col("single_day")), long("daily", F.col("day").cast("string"), F.col("accounts")), long("retention", F.lit("retained"), F.col("retained")), long("retention", F.lit("new"), F.col("new"))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

@@ -8,11 +8,12 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.offers import CATEGORIES, OUTCOMES
+
 NOW, BEFORE = (date(2024, 1, 16), date(2024, 1, 25)), (date(2024, 1, 6), date(2024, 1, 15))
 LEGS, LEGS_BEFORE = (date(1997, 1, 1), date(1997, 3, 31)), (date(1996, 10, 3), date(1996, 12, 31))
 FLOORS = {"click": datetime(2024, 1, 5, 6, 51, 13), "view": datetime(2024, 1, 1), "purchase": datetime(2024, 1, 19, 1, 52)}
-CATS = ["oracle", "governance", "vaults", "psm", "auction", "fast_usdc", "orchestration", "ymax", "other"]
-OUTS = ["wants_satisfied", "wants_unsatisfied", "errored"]
+CATS, OUTS = CATEGORIES, OUTCOMES
 DENOMS = [  # (denom, symbol, decimals, price_id): one without an id, one without decimals
     ("AF", "ALF", 2, "alpha"), ("AO", "ALO", 2, "alpha-o"), ("NF", "NEF", 3, "nu"), ("NO", "NEO", 2, None), ("RF", "REF", None, "rho"), ("RO", "REO", 4, "rho-o"),
     ("1-URGENT", "URG", 2, "alpha"), ("2-HIGH", "HIG", 2, "nu"), ("3-MEDIUM", "MED", 2, "rho"), ("4-NOT SPECIFIED", "NOT", 2, "gone"), ("5-LOW", "LOW", 2, "rho-o"),

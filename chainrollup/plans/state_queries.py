@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..operators import kpis, offers, pricing, state, windows
 from ..sources import store
+from . import jobs
 from . import proxy as P
+from .people_queries import _ASSETS
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -124,8 +126,11 @@ def organic_bound(spark, d):
     return offers.organic_activity(series_rows(spark, d), P.NOW, P.BEFORE).select("period", F.round(F.col("organic_pct") + F.col("unknown_pct"), 6).alias("upper_pct"))
 
 
-@query(f"""SELECT problem, key, count(*) AS times FROM (SELECT 'instance' AS problem, instance_id AS key FROM {_NAMED} WHERE instance IS NULL UNION ALL
-SELECT 'maker', maker FROM {_NAMED} n JOIN (SELECT event_id, {_CATEGORY} AS category FROM p_action) c USING (event_id) WHERE maker IS NOT NULL AND category = 'other') GROUP BY ALL ORDER BY times DESC, problem, key LIMIT 20""")
+_AUDIT = f"""SELECT problem, key, count(*) AS times FROM (SELECT 'instance' AS problem, instance_id AS key FROM {_NAMED} WHERE instance IS NULL UNION ALL
+SELECT 'maker', maker FROM {_NAMED} n JOIN (SELECT event_id, {_CATEGORY} AS category FROM p_action) c USING (event_id) WHERE maker IS NOT NULL AND category = 'other') GROUP BY ALL ORDER BY times DESC, problem, key LIMIT 20"""
+
+
+@query(_AUDIT)
 def resolution_audit(spark, d):
     a = named_actions(spark, d)
     return offers.resolution_audit(a.withColumn("category", offers.offer_category(F.col("kind"), F.col("instance"), F.col("maker"), F.col("target"))))
@@ -206,9 +211,9 @@ def contract_split(spark, d):
     return state.contract_split(venues(spark, d)).withColumns({"usd": F.round("usd", 2), "share_pct": F.round("share_pct", 6)})
 
 
-@query(f"SELECT CASE WHEN count(*) >= 3 AND count(usd) = count(*) THEN round((SELECT sum(usd) FROM (SELECT usd FROM {_VENUE} WHERE denom IN ('AF', 'AO') ORDER BY usd DESC LIMIT 2)) / sum(usd), 8) END AS top_two_share FROM {_VENUE} WHERE denom IN ('AF', 'AO')")
+@query(f"SELECT CASE WHEN count(*) >= 3 AND count(usd) = count(*) THEN round((SELECT sum(usd) FROM (SELECT usd FROM {_VENUE} ORDER BY usd DESC LIMIT 2)) / sum(usd), 8) END AS top_two_share FROM {_VENUE}")
 def top_two_venue_share(spark, d):
-    return state.top_two_venue_share(venues(spark, d).where("denom IN ('AF', 'AO')")).withColumn("top_two_share", F.round("top_two_share", 8))
+    return state.top_two_venue_share(venues(spark, d)).withColumn("top_two_share", F.round("top_two_share", 8))
 
 
 # --- landings and provisioning
@@ -263,12 +268,17 @@ def resume_guard(spark, d):
 
 @query("SELECT 'P' || CAST(p_partkey % 200 AS VARCHAR) AS denom, CASE WHEN min(p_partkey) % 3 = 0 THEN 'missing-locally' WHEN min(p_partkey) % 5 = 0 THEN 'unknown' WHEN min(p_partkey) % 4 = 0 THEN 'agreed' ELSE 'decimals-differ' END AS status FROM part GROUP BY 1")
 def registry_drift(spark, d):
+    return state.registry_drift(*registries(spark, d))
+
+
+def registries(spark, d):
+    """(local, chain) entries of denominations."""
     p = P.table(spark, d, "part")
     name = F.concat(F.lit("P"), (F.col("p_partkey") % 200).cast("string"))
     first = p.groupBy(name.alias("denom")).agg(F.min("p_partkey").alias("k"))
     chain = first.select("denom", F.when(F.col("k") % 5 != 0, F.lit(6)).alias("decimals"))
     local = first.where("k % 3 <> 0").select("denom", F.explode(F.array(F.struct(F.when(F.col("k") % 4 == 0, 6).otherwise(8).alias("decimals"), F.lit(0).alias("pos")), F.struct(F.lit(6).alias("decimals"), F.lit(1).alias("pos")))).alias("e")).select("denom", "e.decimals", "e.pos")
-    return state.registry_drift(local, chain)
+    return local, chain
 
 
 @query("SELECT height, code, fee FROM p_tx WHERE code = 0")
@@ -301,3 +311,53 @@ def job_q2_organic(spark, d):
     o = offers.organic_activity(rows, P.NOW, P.BEFORE).select(F.round("organic_pct", 6).alias("organic_pct"))
     s = offers.outcomes_by_category(kpis.dimension_totals(rows, ["offer_outcome_category"]).withColumnRenamed("total", "value")).agg(F.round(numbers.ratio(F.sum("satisfied"), F.sum("settled"), 100), 6).alias("satisfied_pct"))
     return n.crossJoin(o).crossJoin(s)
+
+
+_CHECKS = f"""SELECT 'parity' AS "check", 'click/3' AS key, CAST(sum(value) AS VARCHAR) AS expected, CAST(sum(value) + count(DISTINCT day) AS VARCHAR) AS found FROM p_day WHERE series = 'click' AND dimension = '3'
+UNION ALL SELECT 'registry', denom, 'agreed', status FROM (SELECT 'P' || CAST(p_partkey % 200 AS VARCHAR) AS denom, CASE WHEN min(p_partkey) % 3 = 0 THEN 'missing-locally' WHEN min(p_partkey) % 5 = 0 THEN 'unknown' WHEN min(p_partkey) % 4 = 0 THEN 'agreed' ELSE 'decimals-differ' END AS status FROM part GROUP BY 1) WHERE status <> 'agreed'
+UNION ALL SELECT 'unresolved ' || problem, key, '0', CAST(times AS VARCHAR) FROM ({_AUDIT})"""
+
+
+@query(_CHECKS)
+def job_verify(spark, d):
+    """Over a daily table in which one is added to each day of a dimension; the replay agrees with it but there."""
+    days = P.metric_day(spark, d)
+    planted = days.withColumn("value", F.col("value") + ((F.col("series") == "click") & (F.col("dimension") == "3")).cast("long"))
+    local, chain = registries(spark, d)
+    a = named_actions(spark, d)
+    a = a.withColumn("category", offers.offer_category(F.col("kind"), F.col("instance"), F.col("maker"), F.col("target")))
+    return jobs.verify(P.metric_hour(spark, d), planted, planted, local, chain, a)
+
+
+_LANDED = f"(SELECT * FROM p_landing WHERE {IN_LEGS})"
+_PRIOR_LEGS = f"day BETWEEN DATE '{P.LEGS_BEFORE[0]}' AND DATE '{P.LEGS_BEFORE[1]}'"
+
+
+def _period(where):
+    return f"(SELECT DISTINCT signer FROM p_tx WHERE {where})"
+
+
+@query(f"""SELECT round(1 / (SELECT sum(s * s) FROM (SELECT fee / sum(fee) OVER () AS s FROM (SELECT signer, CAST(sum(fee) AS DOUBLE) AS fee FROM p_tx WHERE {IN_LEGS} GROUP BY 1))), 6) AS effective_n,
+(SELECT count(*) FROM {_period(IN_LEGS)}) AS active, (SELECT count(*) FROM {_period(IN_LEGS)} WHERE signer IN (SELECT signer FROM p_tx WHERE {_PRIOR_LEGS})) AS retained, (SELECT count(*) FROM {_period(IN_LEGS)} WHERE signer NOT IN (SELECT signer FROM p_tx WHERE day < DATE '{LA}')) AS new,
+(SELECT CAST(coalesce(sum(n_new), 0) AS BIGINT) FROM p_diff WHERE {IN_LEGS}) AS n_new, (SELECT CAST(coalesce(sum(n_minted), 0) AS BIGINT) FROM p_diff WHERE {IN_LEGS}) AS n_minted, (SELECT max(wallets) FROM p_snap WHERE {IN_LEGS}) AS wallets,
+(SELECT count(*) FROM {_LANDED}) AS installs, (SELECT CAST(coalesce(sum(storage_fee), 0) AS BIGINT) FROM {_LANDED}) AS install_storage_fee, (SELECT count(DISTINCT installer) FROM {_LANDED}) AS installers""")
+def job_q4_base(spark, d):
+    t = P.tx(spark, d)
+    people = t.select("day", F.col("signer").alias("address"), F.lit("fee_payer").alias("role"))
+    fees = t.select("day", F.col("signer").alias("address"), F.col("fee").cast("double").alias("usd"))
+    return jobs.base(people, fees, P.snapshot(spark, d), P.landing(spark, d), LA, LB, 10_000_000).withColumn("effective_n", F.round("effective_n", 6))
+
+
+_FLOWS_NOW = f"(SELECT f.*, f.amount / pow(10, n.decimals) * coalesce(p.usd, s.usd) AS usd FROM {_FLOW} f LEFT JOIN p_denom n USING (denom) LEFT JOIN p_price p ON p.price_id = n.price_id AND p.day = f.day LEFT JOIN p_spot s ON s.price_id = n.price_id WHERE f.day BETWEEN DATE '{LA}' AND DATE '{LB}')"
+
+
+@query(f"""SELECT (SELECT round(sum(net_usd)) FROM {_ASSETS}) AS net_flow_usd, (SELECT count(net_usd) FROM {_ASSETS}) AS priced_assets, count(*) AS venues, round(sum(usd)) AS principal_usd,
+CASE WHEN count(*) >= 3 AND count(usd) = count(*) THEN round((SELECT sum(usd) FROM (SELECT usd FROM {_VENUE} ORDER BY usd DESC LIMIT 2)) / sum(usd), 8) END AS top_two_share,
+(SELECT count(*) FROM {_FLOWS_NOW}) AS flows, (SELECT round(sum(CASE flow_type WHEN 'deposit' THEN usd WHEN 'withdraw' THEN -usd END)) FROM {_FLOWS_NOW}) AS net_deposits_usd,
+(SELECT count(*) FROM p_position WHERE total_out > total_in) AS quarantined, (SELECT count(*) FROM p_position WHERE height < (SELECT max(height) FROM p_position) - 500) AS stale FROM {_VENUE}""")
+def job_q3_value_flow(spark, d):
+    from .people_queries import priced
+
+    flows = pricing.price_legs(_flows(spark, d), P.denoms(spark), P.prices(spark, d), P.spot(spark, d))
+    out = jobs.value_flow(priced(spark, d), venues(spark, d), P.position(spark, d), flows, LA, LB, 500)
+    return out.withColumns({c: F.round(c) for c in ("net_flow_usd", "principal_usd", "net_deposits_usd")} | {"top_two_share": F.round("top_two_share", 8)})

@@ -59,30 +59,44 @@ def resume_guard(rows: DataFrame, control: DataFrame, job: str) -> DataFrame:
 
 
 class VersionedTable:
-    """A Parquet table of which every write is a new folder; a pointer file names the current one, so that a reader never
-    sees a half-written or vanished version."""
+    """A Parquet table of which every write is a new numbered folder. A folder counts once the writer's _SUCCESS file stands in it, and is not changed after
+    that; the table is the greatest that counts, so a reader never sees a half-written, vanished or empty version between two.
+    One writer at a time. Old versions stay until `forget`."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self) -> str:
-        return f"{self.path}/_current"
+    def versions(self) -> list[int]:
+        """The numbers of the complete versions, in order."""
+        return [v for v, complete in self._folders() if complete]
+
+    def _folders(self) -> list[tuple[int, bool]]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")]
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted((int(p.getName()[2:]), fs.exists(done(p, "_SUCCESS"))) for p in found)
 
     def version(self) -> int:
-        try:
-            return int(self.spark.read.text(self._pointer()).first()["value"])
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return -1
-            raise
-
-    def read(self, schema: str) -> DataFrame:
-        v = self.version()
+        """The current version's number, -1 if there is none."""
+        return max(self.versions(), default=-1)
+
+    def read(self, schema: str, version: int | None = None) -> DataFrame:
+        v = self.version() if version is None else version
         return self.spark.read.schema(schema).parquet(f"{self.path}/v={v}") if v >= 0 else self.spark.createDataFrame([], schema)
 
     def write(self, df: DataFrame, *partitions: str) -> int:
-        v = self.version() + 1
-        writer = df.write.mode("overwrite")
+        v = max((v for v, _ in self._folders()), default=-1) + 1  # beyond what a failed writer may have left
+        writer = df.write.mode("errorifexists")
         (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{self.path}/v={v}")
-        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer())
         return v
+
+    def forget(self, keep: int = 2) -> None:
+        """Deletes all but the newest `keep` complete versions, and incomplete ones before them."""
+        kept = self.versions()[-keep:]
+        for v, _ in self._folders():
+            if kept and v < kept[0]:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

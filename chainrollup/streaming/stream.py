@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import extract, kpis
 from ..sources.blocks import BLOCK
-from ..sources.store import VersionedTable, merge_latest
+from ..sources.store import VersionedTable, merge_flow, merge_latest
 
 ROLLUP = "batch bigint, hour timestamp, series string, dimension string, value decimal(38,0)"
 
@@ -28,48 +28,103 @@ def dedup_blocks(blocks: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 class DeltaStore:
-    """Rollup deltas by batch, and a base into which compaction folds them."""
+    """Rollup deltas by batch (a partition folder each), and a base into which compaction folds them."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.base = VersionedTable(spark, f"{self.path}/base")
 
-    def write(self, hours: DataFrame, batch: int) -> None:
-        hours.withColumn("batch", F.lit(batch).cast("long")).select(*[c.split()[0] for c in ROLLUP.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/deltas/b={batch}")
+    def _fs(self, path: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _deltas(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(ROLLUP).parquet(f"{self.path}/deltas/*")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], ROLLUP)
-            raise
+    def write(self, hours: DataFrame, batch: int) -> None:
+        hours.select("hour", "series", "dimension", "value").write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+
+    def batches(self) -> list[int]:
+        """The numbers of the stored batches: one folder each, as many as came since the last compaction."""
+        fs, at = self._fs(f"{self.path}/deltas")
+        return sorted(int(s.getPath().getName()[6:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("batch=")) if fs.exists(at) else []
+
+    def _deltas(self, after: int, through: int | None = None) -> DataFrame:
+        """Of the batches above `after`; only their folders are listed and read."""
+        mine = [b for b in self.batches() if b > after and (through is None or b <= through)]
+        if not mine:
+            return self.spark.createDataFrame([], ROLLUP)
+        rows = self.spark.read.option("basePath", f"{self.path}/deltas").schema(ROLLUP).parquet(*[f"{self.path}/deltas/batch={b}" for b in mine])
+        return rows.select(*[c.split()[0] for c in ROLLUP.split(", ")])
+
+    def _state(self) -> tuple[DataFrame, int]:
+        """The base and the last batch that it holds."""
+        base = self.base.read(ROLLUP)
+        done = base.agg(F.max("batch").alias("b")).first()["b"]
+        return base, -1 if done is None else done
 
     def read(self) -> DataFrame:
         """hour, series, dimension, value. Batches that the base holds already are left out."""
-        base = self.base.read(ROLLUP)
-        done = base.agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("__done"))
-        fresh = self._deltas().crossJoin(F.broadcast(done)).where("batch > __done").drop("__done")
-        return base.unionByName(fresh).groupBy("hour", "series", "dimension").agg(F.sum("value").cast("decimal(38,0)").alias("value"))
+        base, done = self._state()
+        return _summed(base.unionByName(self._deltas(done)))
 
     def compact(self, through: int) -> None:
-        """Folds the batches up to `through` into a new version of the base."""
-        base = self.base.read(ROLLUP)
-        done = base.agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("__done"))
-        fresh = self._deltas().crossJoin(F.broadcast(done)).where(f"batch > __done AND batch <= {int(through)}").drop("__done")
-        folded = base.unionByName(fresh).groupBy("hour", "series", "dimension").agg(F.sum("value").cast("decimal(38,0)").alias("value"))
+        """Folds the batches up to `through` into a new version of the base, and deletes the folders that a version before it holds already (a reader of
+        the version before the new one may still need the others)."""
+        base, done = self._state()
+        folded = _summed(base.unionByName(self._deltas(done, through)))
         self.base.write(folded.select(F.lit(through).cast("long").alias("batch"), "hour", "series", "dimension", "value"))
+        for b in self.batches():
+            if b <= done:
+                fs, at = self._fs(f"{self.path}/deltas/batch={b}")
+                fs.delete(at, True)
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("hour", "series", "dimension").agg(F.sum("value").cast("decimal(38,0)").alias("value"))
+
+
+def catch_up(behind: int, threshold: int = 20_000, far: int = 2000, near: int = 25) -> dict:
+    """How to read and trigger, by the number of heights that the stream is behind: many files a batch until all are read, or few as they come."""
+    if behind > threshold:
+        return {"files": far, "trigger": {"availableNow": True}}
+    return {"files": near, "trigger": {"processingTime": "20 seconds"}}
+
+
+class Cursor:
+    """The last height that is done, and the blocks held back above it, as versions of one table. A version is written before its batch's deltas, and
+    a batch that runs again starts from the version before it."""
 
+    def __init__(self, spark: SparkSession, path: str, lag: int = 3):
+        self.spark, self.lag = spark, lag
+        self.table = VersionedTable(spark, path)
 
-def stream_rollup(blocks: DataFrame, store: DeltaStore, checkpoint: str, modules: list[str] = (), keep: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Rolls up each batch of new blocks; `keep(batch, number)` may write keyed tables, before the batch counts as done."""
+    def admit(self, batch: DataFrame, number: int) -> DataFrame:
+        """The blocks of the batch and of those held back that are final: each height above the cursor once, but for the last `lag` heights."""
+        schema = f"{BLOCK}, __batch bigint, __ready boolean"
+        before = [v for v in self.table.versions() if v < number]
+        past = self.table.read(schema, max(before)) if before else self.spark.createDataFrame([], schema)
+        done = past.where("__ready").agg(F.max("height").alias("h")).first()["h"]
+        fresh = batch.where(F.col("height") > (-1 if done is None else done))
+        rows = past.where("NOT __ready").drop("__batch", "__ready").unionByName(fresh.select(*[c for c in past.columns if not c.startswith("__")])).dropDuplicates(["height"])
+        top = rows.agg(F.max("height").alias("h")).first()["h"]
+        marked = rows.withColumns({"__batch": F.lit(number).cast("long"), "__ready": F.col("height") <= (-1 if top is None else top) - self.lag})
+        if done is not None:  # the cursor stays where nothing is final yet
+            last = past.where("__ready").orderBy(F.desc("height")).limit(1).withColumn("__batch", F.lit(-1).cast("long"))
+            marked = marked.unionByName(last)
+        path = f"{self.table.path}/v={number}"
+        marked.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schema).parquet(path).where(f"__ready AND __batch = {number}").drop("__batch", "__ready")
+
+
+def stream_rollup(blocks: DataFrame, store: DeltaStore, checkpoint: str, modules: list[str] = (), keep: Callable[[DataFrame, int], None] | None = None, cursor: Cursor | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Rolls up each batch of new blocks; `keep(batch, number)` may write keyed tables, before the batch counts as done. With a cursor every height
+    counts once and the last ones wait. trigger: of writeStream.trigger; all that is there by default."""
 
     def step(batch: DataFrame, number: int) -> None:
+        ready = cursor.admit(batch, number) if cursor else batch
         if keep:
-            keep(batch, number)
-        store.write(kpis.rollup_hours(extract.rollup_deltas(batch, list(modules))), number)
+            keep(ready, number)
+        store.write(kpis.rollup_hours(extract.rollup_deltas(ready, list(modules))), number)
 
-    return blocks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return blocks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def finality_lag(batch: DataFrame, held: DataFrame, lag: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -81,15 +136,36 @@ def finality_lag(batch: DataFrame, held: DataFrame, lag: int = 3) -> tuple[DataF
 
 
 def latest_keeper(table: VersionedTable, schema: str, key: list[str], order: list[str], rows: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """For stream_rollup's `keep`: merges the batch's rows into a latest-state table. Applying a batch again changes nothing."""
+    """For stream_rollup's `keep`: merges the batch's rows into a latest-state table, one row a key. Applying a batch again changes nothing."""
 
     def keep(batch: DataFrame, number: int) -> None:
         base = table.read(schema)
         table.write(merge_latest(base, rows(batch).select(*base.columns), key, order))
+        table.forget()
 
     return keep
 
 
+FLOW_SIGHTINGS = "contract string, portfolio string, flow_id string, flow_type string, denom string, amount decimal(38,0), day date, height bigint, state string, progress int, seq struct<ev_i: int, val_i: int>"
+FLOW_KEY = ["contract", "portfolio", "flow_id"]
+
+
+class FlowStates:
+    """First sighting and last state of every flow, from a stream: the sightings of each batch stand in a folder of its number, so that a batch that
+    runs again overwrites its own, and what is read is merge_flow over them."""
+
+    def __init__(self, spark: SparkSession, path: str, brands: dict[str, str] | None = None):
+        self.spark, self.path, self.brands = spark, path.rstrip("/"), brands
+
+    def keep(self, batch: DataFrame, number: int) -> None:
+        """For stream_rollup's `keep`."""
+        rows = extract.flow_rows(extract.state_cells(batch), self.brands)
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def read(self) -> DataFrame:
+        return merge_flow(self.spark.read.schema(FLOW_SIGHTINGS).option("basePath", self.path).parquet(f"{self.path}/batch=*"), FLOW_KEY)
+
+
 def tumbling_counts(stream: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Counts per window in append mode: a window is put out once the watermark has passed it."""
     return stream.withWatermark("time", late).groupBy(F.window("time", width)).agg(F.count(F.lit(1)).alias("n"))

@@ -11,8 +11,8 @@ from chainrollup.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-#: One query of each family runs here; the driver of the repository compares all of them.
-NAMES = [n for k, n in enumerate(ORACLES) if k % 6 == 0]
+#: Each third query runs here, for time; with ALL_QUERIES set in the environment all of them do.
+NAMES = list(ORACLES) if os.environ.get("ALL_QUERIES") else list(ORACLES)[::3]
 
 
 @pytest.fixture(scope="module")

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 
 from chainrollup.operators import extract, kpis
 from chainrollup.sources import store
@@ -29,7 +30,7 @@ def test_stream_equals_batch_and_replay_counts_once(spark, tmp_path):
     assert rows(st.read()) == want
     run()
     assert rows(st.read()) == want
-    again = [tuple(r) for r in st._deltas().where("batch = 2").select("hour", "series", "dimension", "value").collect()]
+    again = [tuple(r) for r in st._deltas(1, 2).select("hour", "series", "dimension", "value").collect()]
     st.write(spark.createDataFrame(again, "hour timestamp, series string, dimension string, value decimal(38,0)"), 2)  # the last batch once more
     assert rows(st.read()) == want
     st.compact(1)
@@ -68,3 +69,71 @@ def test_dedup_stream_and_partition_swap(spark, tmp_path):
     mk("a", 1).unionByName(mk("b", 2)).write.partitionBy("series").parquet(path)
     store.overwrite_series(mk("a", 9), path)
     assert {(r.series, r.value) for r in spark.read.parquet(path).collect()} == {("a", 9), ("b", 2)}
+
+
+def test_a_reader_never_sees_an_incomplete_version(spark, tmp_path):
+    table = store.VersionedTable(spark, str(tmp_path / "t"))
+    one = lambda v: spark.createDataFrame([(v,)], "v int")
+    assert table.read("v int").collect() == [] and table.version() == -1
+    table.write(one(1))
+    before = table.read("v int")
+    one(9).write.parquet(str(tmp_path / "t" / "v=1"))
+    (tmp_path / "t" / "v=1" / "_SUCCESS").unlink()  # a writer that stopped in between
+    assert table.version() == 0 and [r.v for r in table.read("v int").collect()] == [1]
+    assert table.write(one(2)) == 2
+    assert [r.v for r in before.collect()] == [1] and [r.v for r in table.read("v int").collect()] == [2]
+    with pytest.raises(Exception, match="(?i)exists"):
+        one(3).write.mode("errorifexists").parquet(str(tmp_path / "t" / "v=2"))
+    table.forget(1)
+    assert table.versions() == [2] and [r.v for r in table.read("v int").collect()] == [2]
+
+
+def test_compaction_deletes_what_an_older_base_holds(spark, tmp_path):
+    st = stream.DeltaStore(spark, str(tmp_path / "s"))
+    hours = lambda v: spark.createDataFrame([("2026-05-30 01:00:00", "a", "", v)], "hour string, series string, dimension string, value long").selectExpr("to_timestamp(hour) AS hour", "series", "dimension", "cast(value AS decimal(38,0)) AS value")
+    for b in range(5):
+        st.write(hours(10**b), b)
+    for through, left in ((1, [0, 1, 2, 3, 4]), (3, [2, 3, 4]), (4, [4])):
+        st.compact(through)
+        assert st.batches() == left and [int(r.value) for r in st.read().collect()] == [11111]
+
+
+def test_stream_with_a_cursor_holds_back_and_counts_heights_once(spark, tmp_path):
+    land, st = tmp_path / "land", stream.DeltaStore(spark, str(tmp_path / "store"))
+    land.mkdir()
+    cursor = stream.Cursor(spark, str(tmp_path / "cursor"), lag=2)
+    how = stream.catch_up(50_000)
+    assert how["trigger"] == {"availableNow": True} and how["files"] > stream.catch_up(10)["files"]
+
+    def run(name, heights):
+        (land / name).write_text("\n".join(json.dumps(block(h)) for h in heights))
+        stream.stream_rollup(stream.read_block_stream(spark, str(land), files=1), st, str(tmp_path / "cp"), cursor=cursor, trigger=how["trigger"]).awaitTermination()
+
+    def counted(heights):
+        return rows(kpis.rollup_hours(extract.rollup_deltas(spark.read.schema(stream.BLOCK).json(spark.createDataFrame([(json.dumps(block(h)),) for h in heights], "value string").rdd.map(lambda r: r.value)))))
+
+    run("a.json", [1, 2, 3, 4])
+    assert rows(st.read()) == counted([1, 2])
+    run("b.json", [3, 4, 5, 2])  # heights that came before
+    assert rows(st.read()) == counted([1, 2, 3])
+    run("c.json", [5])
+    assert rows(st.read()) == counted([1, 2, 3])
+    run("d.json", [6, 9])
+    assert rows(st.read()) == counted([1, 2, 3, 4, 5, 6])
+    batch = spark.read.schema(stream.BLOCK).json(str(land / "d.json"))  # the last batch once more
+    assert sorted(r.height for r in cursor.admit(batch, 3).collect()) == [4, 5, 6]
+
+
+def test_flow_states_of_a_stream(spark, tmp_path):
+    from test_state_tables import AT, cell
+
+    land = tmp_path / "land"
+    land.mkdir()
+    said = {"accountIdByChain": {}, "flowsRunning": {"flow1": {"type": "deposit", "amount": {"brand": "$0.x", "value": "+5"}}}}
+    cells = [(7, cell(AT, said, slots=["b"])), (8, cell([*AT, "flows", "flow1"], {"state": "run"})), (9, cell([*AT, "flows", "flow1"], {"state": "done"}))]
+    flows, st = stream.FlowStates(spark, str(tmp_path / "flows"), {"b": "uusdc"}), stream.DeltaStore(spark, str(tmp_path / "store"))
+    for h, event in cells:
+        (land / f"{h}.json").write_text(json.dumps({"height": h, "time": "2026-05-30T01:00:00Z", "end_block_events": [event]}))
+    stream.stream_rollup(stream.read_block_stream(spark, str(land), files=1), st, str(tmp_path / "cp"), keep=flows.keep).awaitTermination()
+    got = [(r.flow_id, r.flow_type, r.denom, int(r.amount), r.first_height, r.last_state, r.last_height) for r in flows.read().collect()]
+    assert got == [("flow1", "deposit", "uusdc", 5, 7, "done", 9)]
