@@ -369,5 +369,15 @@ def test_pipeline_runs_and_each_stage_acts(spark, tmp_path):
         left.append({r.doc_id for r in d.collect()})
     clean = set(range(30))
     assert left == [clean | {100, 101}, clean | {101}, clean]
+    d = d.cache()
+    plan = Counter(r.doc_id for r in mixing.mixing_plan(d, flatten=0.5, max_epochs=2.0).collect())
+    mixed = corpus_pipeline.STAGES[3][1](spark, d, str(tmp_path))
+    assert mixed.columns == d.columns and Counter(r.doc_id for r in mixed.collect()) == plan
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in packed} <= clean and len(packed) > 15
+    encode, text = packing.Encoder(*packing.tokenizer_paths()).encode, {r.doc_id: r.text for r in d.collect()}
+    want = Counter((i, encode(text[i]) + bytes(4)) for i, n in plan.items() for _ in range(n))
+    assert Counter((r.doc_id, bytes(r.ids)) for r in packed) == want  # short texts: one piece each
+    at = {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0) and r.offset + r.length <= 2048
+        at[r.sequence_id] = r.offset + r.length
