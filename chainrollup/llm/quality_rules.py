@@ -181,8 +181,9 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
-    """The documents that pass, all their columns as they were. Whole rows pass through the tasks and the
-    rejected ones are left out there: no join, no shuffle."""
+    """The documents that pass, all their columns as they were, clashing names included. Whole rows pass through the tasks and
+    the rejected ones are left out there: no join, no shuffle. Null and empty texts have no words and are rejected; rows that repeat are
+    judged one by one, whatever their doc_id, null ones too; no documents give no rows."""
     by_name = {r.name: r for r in rules}
     cascade = [by_name[name] for name in order_rules(measure_rules(id_text(docs, id_col, text_col), rules, sample_rows))]
     at = docs.columns.index(text_col)

@@ -352,6 +352,38 @@ def test_nearness_is_that_of_a_plain_search():
         assert toxicity.features(" ".join(words), {"bad": 1.0})[toxicity.FEATURES.index("near_second")] == want
 
 
+LONG = " ".join(f"word{k % 5000}" for k in range(120_000))
+
+
+def test_long_texts_and_clashing_columns_in_packing_rules_and_language_model(spark):
+    rows = [(1, LONG, "s"), (2, "", "s"), (3, None, None), (None, "a b c", "s"), (4, "ten words are needed here so that this text passes", "s")]
+    clash = {c: F.lit(7) for c in ("ids", "piece", "length", "task", "nth", "kept", "n_words", "train", "score", "rid", "tail")}
+    d = docs(spark, rows).withColumns(clash)
+    packed = packing.pack(d).collect()
+    ids = {i: b"".join(bytes(r.ids) for r in sorted((r for r in packed if r.doc_id == i), key=lambda r: r.piece)) for i in (1, 2, 3, 4)}
+    encode = packing.Encoder(*packing.tokenizer_paths()).encode
+    assert ids == {i: encode(t or "") + bytes(4) for i, t, _ in rows if i}
+    verdicts = {r.doc_id: (r.n_words, r.kept) for r in quality_rules.quality_verdicts(d, stats=True).collect()}
+    assert verdicts == {1: (120_000, False), 2: (0, False), 3: (0, False), None: (3, False), 4: (10, True)}
+    passed = quality_rules.quality_filter(d)
+    assert passed.columns == d.columns and [r.doc_id for r in passed.collect()] == [4]
+    got = {r.doc_id: r for r in class_lm.lm_scores(d, size=class_lm.Sizes(head=100, clustered=50, classes=4)).collect()}
+    assert got[1].n_tokens == 120_001 and all(r.score <= 0 for r in got.values()) and len(got) == 5
+
+
+def test_pipeline_on_an_empty_table_and_with_more_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    d = docs(spark, [(k, " ".join(f"w{k}x{j}" for j in range(30)), "s") for k in range(6)] + [(5, "other words " * 20, None)])
+    d.limit(0).write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").collect() == []
+    clash = d.withColumns({c: F.lit(1) for c in ("id", "row", "sha", "th", "digest", "position", "kept", "grp", "length", "__text", "__id")})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, clash, "")
+        assert out.columns == clash.columns and out.count() > 0
+    assert corpus_pipeline.STAGES[4][1](spark, clash, "").count() == 7
+
+
 def test_pipeline_runs_and_each_stage_acts(spark, tmp_path):
     import corpus_pipeline
 
