@@ -35,6 +35,10 @@ class Sizes:
     clustered: int = 4096
     classes: int = 64
 
+    def __post_init__(self) -> None:
+        if self.head > 1 << 23:
+            raise ValueError("head: word numbers have three bytes")
+
     @property
     def rare(self) -> int:
         return self.classes
@@ -89,8 +93,20 @@ def head_words(vocab: DataFrame, most: int) -> pa.Table:
     return got.sort_by([("n", "descending"), ("word", "ascending")])
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Word numbers of 32 bits, which lie from -1 to 2 ** 23 - 1, in three bytes each."""
+    return ids.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    three = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    out = np.empty((len(three), 4), np.uint8)
+    out[:, 1:] = three
+    return out.reshape(-1).view("<i4") >> 8  # the shift brings the sign down
+
+
 def encode(texts: DataFrame, head: pa.Array) -> DataFrame:
-    """doc_id, train, ids (32-bit word numbers, -1 for the tail, the end's 0 last), tail (its words in order). head: the numbered
+    """doc_id, train, ids (packed word numbers, -1 for the tail, the end's 0 last), tail (its words in order). head: the numbered
     words from 1 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +119,7 @@ def encode(texts: DataFrame, head: pa.Array) -> DataFrame:
                     words = tokens(text)
                     got = [get(w, -1) for w in words]
                     tails.append([w.decode("utf-8", "surrogatepass") for w, k in zip(words, got, strict=True) if k < 0])
-                    ids.append(np.array(got + [0], "<i4").tobytes())
+                    ids.append(packed(np.array(got + [0], "<i4")))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "train": batch.column("train"), "ids": pa.array(ids, pa.binary()), "tail": pa.array(tails, pa.list_(pa.string()))})
 
     return texts.mapInArrow(run, "doc_id long, train boolean, ids binary, tail array<string>")
@@ -122,7 +138,7 @@ def tally(encoded: DataFrame, codes, size: int, cls: np.ndarray | None = None, c
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                waiting.append(codes(np.frombuffer(row[0], "<i4") if cls is None else _tokens_of(*row, cls, counts)[0]))
+                waiting.append(codes(unpacked(row[0]) if cls is None else _tokens_of(*row, cls, counts)[0]))
                 n += len(waiting[-1])
                 if n > 2_000_000:
                     add()
@@ -254,7 +270,7 @@ def place_tail(encoded: DataFrame, cls: np.ndarray, pair: np.ndarray, size: Size
 
         for batch in batches:
             for raw, tail in zip(batch.column("ids").to_pylist(), batch.column("tail").to_pylist(), strict=True):
-                ids = np.frombuffer(raw, "<i4")
+                ids = unpacked(raw)
                 at = np.flatnonzero(ids < 0)
                 for side in _neighbours(cls, ids, size):
                     count.update(zip(tail, side[at].tolist()))
@@ -329,7 +345,7 @@ def transitions(tri: np.ndarray) -> np.ndarray:
 
 def _tokens_of(row_ids: bytes, tail_c: list | None, tail_n: list | None, cls: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes and counts of a text's tokens."""
-    ids = np.frombuffer(row_ids, "<i4")
+    ids = unpacked(row_ids)
     c, n = cls[ids], counts[ids]
     if tail_c:
         at = ids < 0

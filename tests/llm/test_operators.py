@@ -219,7 +219,7 @@ def test_class_scores_match_a_plain_model(spark):
     assert all((r.c == size.rare) == (r.n == 1) for r in words)
 
     def classes(r):
-        ids, t = np.frombuffer(r.ids, "<i4").tolist(), iter(r.tail_c or [])
+        ids, t = class_lm.unpacked(r.ids).tolist(), iter(r.tail_c or [])
         return [int(model.cls[k]) if k >= 0 else next(t) for k in ids]
 
     tri = Counter()
@@ -243,7 +243,7 @@ def test_class_scores_match_a_plain_model(spark):
     of = {}
     for r in encoded.collect():
         texts_of = [(t or "").split() for i, t, _ in rows if i == r.doc_id]
-        t = next(x for x in texts_of if len(x) + 1 == len(r.ids) // 4)
+        t = next(x for x in texts_of if len(x) + 1 == len(r.ids) // 3)
         for w, c in zip(t, classes(r)):
             of.setdefault(w, c)
             assert of[w] == c  # a word has one class
@@ -268,6 +268,12 @@ def test_class_scores_match_a_plain_model(spark):
     assert abs(whole - 1) < 1e-9
 
 
+def test_packed_word_numbers_come_back():
+    ids = np.array([-1, 0, 1, 255, 256, 65536, (1 << 23) - 1, -1])
+    assert class_lm.unpacked(class_lm.packed(ids)).tolist() == ids.tolist() and len(class_lm.packed(ids)) == 24
+    assert class_lm.unpacked(b"").tolist() == []
+
+
 def test_exchange_ends_where_no_move_helps():
     rng = np.random.default_rng(3)
     size = class_lm.Sizes(classes=3)
