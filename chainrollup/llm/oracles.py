@@ -69,4 +69,44 @@ r AS (
 SELECT doc_id, source, n_tokens, CAST(epoch AS BIGINT) AS epoch, round(weight, 9) AS weight, CAST(power AS DOUBLE) AS power, {NUMBER.format("md5('7:read:' || epoch || ':' || name)")} AS position FROM r
 """
 
-ORACLES: dict[str, str] = {"op3_temperature_mixing": OP3, "op6_quality_cascade": OP6, "op10_exact_dedup": OP10}
+USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+WHOLE = "list_transform(embedding, lambda x: CAST(floor({} * CAST(x AS DOUBLE)) AS BIGINT))"
+DOWN = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"  # floor(s / n)
+SQUARE = "CAST(list_sum(list_transform(list_zip({}, {}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+
+
+def _rounds(rounds: int, key: str, start: str, of: str) -> str:
+    """c0 is the start; a{k} assigns every row of x to the nearest entry of c{k}, c{k+1} has the entries moved. of: the columns of an entry."""
+    own = f"{key}, " if key else ""
+    match = f" JOIN c{{k}} c USING ({key})" if key else ", c{k} c"
+    out = [f"c0 AS MATERIALIZED ({start})"]
+    for k in range(rounds + 1):
+        out.append(f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, {own}min(struct_pack(d := d, e := e)) AS best, any_value(v) AS v
+  FROM (SELECT x.vec_id, {'x.part, ' if key else ''}x.v, c.e, {SQUARE.format('x.v', 'c.v')} AS d FROM x{match.format(k=k)}) GROUP BY {own}vec_id)""")
+        if k < rounds:
+            out.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT {of}, coalesce(m.v, c{k}.v) AS v FROM c{k} LEFT JOIN (
+    SELECT {own}e, list({DOWN} ORDER BY i) AS v FROM (
+      SELECT {own}best.e AS e, i, sum(v[i]) AS s, count(*) AS n FROM a{k}, range(1, 1 + (SELECT max(len(v)) FROM x)) AS r(i) GROUP BY ALL) GROUP BY {own}e) m USING ({of}))""")
+    return ",\n".join(out)
+
+
+OP11 = f"""
+WITH w AS MATERIALIZED (SELECT vec_id, label, {WHOLE.format(1024)} AS v, len(embedding) // 4 AS width FROM embeddings WHERE {USABLE}),
+x AS MATERIALIZED (SELECT vec_id, p AS part, v[p * width + 1 : (p + 1) * width] AS v FROM w, range(4) AS r(p)),
+{_rounds(4, "part", "SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM x QUALIFY e < 256", "part, e")},
+d AS (SELECT vec_id, string_agg(lpad(lower(hex(best.e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a4 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM d JOIN w USING (vec_id), h
+"""
+
+OP12 = f"""
+WITH x AS MATERIALIZED (SELECT vec_id, {WHOLE.format(256)} AS v FROM embeddings WHERE {USABLE} AND len(embedding) = 64),
+{_rounds(5, "", "SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS e, v FROM x QUALIFY e < 40", "e")}
+SELECT vec_id, CAST(best.e AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.e) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.v, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON c5.e = best.e
+"""
+
+ORACLES: dict[str, str] = {"op3_temperature_mixing": OP3, "op6_quality_cascade": OP6, "op10_exact_dedup": OP10, "op11_slice_codes": OP11, "op12_equal_average_clusters": OP12}

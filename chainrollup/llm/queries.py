@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, class_lm, common, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import chaining, class_lm, clustering, common, exact_dedup, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity, vector_codes
 
 
 def op1_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(common.documents(spark, sf_dir))
 
 
+def op11_slice_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, codebooks = vector_codes.product_codes(common.embeddings(spark, sf_dir))
+    digest = hashlib.sha256(",".join(map(str, codebooks.reshape(-1).tolist())).encode()).hexdigest()
+    return rows.select("vec_id", vector_codes.hex_code(F.col("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_equal_average_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clustering.centroid_clusters(common.embeddings(spark, sf_dir))
+    return rows.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
+def op13_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_collinear_chaining, op2_class_lm, op3_temperature_mixing, op4_setsketch_near_dedup, op5_best_fit_packing, op6_quality_cascade, op7_bwt_suffix_dedup, op8_gbt_toxicity, op9_pairwise_quality, op10_exact_dedup)
+    for f in (op1_collinear_chaining, op2_class_lm, op3_temperature_mixing, op4_setsketch_near_dedup, op5_best_fit_packing, op6_quality_cascade, op7_bwt_suffix_dedup, op8_gbt_toxicity, op9_pairwise_quality, op10_exact_dedup, op11_slice_codes, op12_equal_average_clusters, op13_naive_bayes_language)
 }
