@@ -288,23 +288,52 @@ def flow_rows(cells: DataFrame, brands: dict[str, str] | None = None) -> DataFra
     return said.unionByName(own)
 
 
+RAW = "kind string, instance_path string, maker string, target string"
+ACTION = f"height bigint, hour timestamp, tx_i int, m_i int, address string, source string, instance string, {RAW}"
+OUTCOME = f"height bigint, hour timestamp, ev_i int, val_i int, outcome string, named boolean, {RAW}"
+
+
+def action_facts(txs: DataFrame) -> DataFrame:
+    """The columns of ACTION: every wallet message of a successful transaction with its owner and what rules decide by, undecided."""
+    rows = txs.where("ok").select("height", F.date_trunc("hour", "time").alias("hour"), "tx_i", F.posexplode("messages").alias("m_i", "m")).where(F.col("m.type_url").isin(WALLET))
+    rows = rows.withColumn("a", capdata.parsed_action(F.col("m.body")))
+    rows = rows.select("height", "hour", "tx_i", "m_i", F.get_json_object("m.body", "$.owner").alias("address"), capdata.action_fields(F.col("a")).alias("f"))
+    return rows.select("height", "hour", "tx_i", "m_i", "address", *[f"f.{c}" for c in ("source", "instance", "kind", "instance_path", "maker", "target")])
+
+
 def offer_actions(txs: DataFrame) -> DataFrame:
     """day, address, kind, category of the wallet messages of successful transactions, by their owner."""
-    body = F.col("m.body")
-    rows = txs.where("ok").select(F.to_date("time").alias("day"), F.explode("messages").alias("m")).where(F.col("m.type_url").isin(WALLET))
-    rows = rows.withColumn("a", capdata.parsed_action(body)).select("day", F.get_json_object(body, "$.owner").alias("address"), capdata.action_fields(F.col("a")).alias("f")).where("coalesce(address, '') <> ''")
-    return rows.select("day", "address", "f.kind", offers.offer_category(F.col("f.kind"), F.col("f.instance_path"), F.col("f.maker"), F.col("f.target")).alias("category"))
+    return action_participants(offers.classified(action_facts(txs)))
+
+
+def action_participants(facts: DataFrame) -> DataFrame:
+    """day, address, kind, category of classified actions that have an owner."""
+    return facts.where("coalesce(address, '') <> ''").select(F.to_date("hour").alias("day"), "address", "kind", "category")
+
+
+def _outcomes(blocks: DataFrame) -> DataFrame:
+    """The terminal offer statuses: state_cells with outcome, named (the status tells its contract) and f, its action fields."""
+    cells = state_cells(blocks).where("kind = 'wallet'").withColumn("outcome", capdata.offer_outcome(F.col("json"))).where("outcome IS NOT NULL")
+    told = F.concat(F.lit('{"method":"executeOffer","offer":'), F.get_json_object("json", "$.status"), F.lit("}"))
+    cells = cells.withColumn("named", F.get_json_object("json", "$.status.invitationSpec").isNotNull()).withColumn("__a", capdata.parsed_action(told))
+    return cells.withColumn("f", capdata.action_fields(F.col("__a")))
+
+
+def outcome_facts(blocks: DataFrame) -> DataFrame:
+    """The columns of OUTCOME: every terminal offer status with what rules decide by, undecided."""
+    return _outcomes(blocks).select("height", "hour", "ev_i", "val_i", "outcome", "named", *[f"f.{c}" for c in ("kind", "instance_path", "maker", "target")])
+
+
+def outcome_category(facts: DataFrame, rules: offers.Rules = offers.RULES) -> DataFrame:
+    """Facts (named, kind, ...) with their category, `unclassified` where the status doesn't tell the contract."""
+    return offers.classified(facts, rules).withColumn("category", F.when(F.col("named"), F.col("category")).otherwise("unclassified"))
 
 
 def offer_outcome_deltas(blocks: DataFrame) -> DataFrame:
     """height, hour, series, dimension, delta from terminal offer statuses."""
-    cells = state_cells(blocks).where("kind = 'wallet'").withColumn("outcome", capdata.offer_outcome(F.col("json"))).where("outcome IS NOT NULL")
-    spec = F.get_json_object("json", "$.status.invitationSpec")
-    cells = cells.withColumn("__a", capdata.parsed_action(F.concat(F.lit('{"method":"executeOffer","offer":'), F.get_json_object("json", "$.status"), F.lit("}")))).withColumn("__f", capdata.action_fields(F.col("__a")))
-    fields = F.col("__f")
-    category = F.when(spec.isNull(), "unclassified").otherwise(offers.offer_category(fields["kind"], fields["instance_path"], fields["maker"], fields["target"]))
+    cells = outcome_category(_outcomes(blocks).select("height", "hour", "json", "outcome", "named", *[f"f.{c}" for c in ("kind", "instance_path", "maker", "target")]))
     payouts = F.transform(capdata.amount_legs(F.get_json_object("json", "$.status.payouts")), lambda x: _delta("offer_payout_volume", F.coalesce(x["brand"], F.lit("")), x["value"]))
-    deltas = F.concat(F.array(_delta("offer_outcome", F.col("outcome"), 1), _delta("offer_outcome_category", offers.outcome_dim(category, F.col("outcome")), 1)), payouts)
+    deltas = F.concat(F.array(_delta("offer_outcome", F.col("outcome"), 1), _delta("offer_outcome_category", offers.outcome_dim(F.col("category"), F.col("outcome")), 1)), payouts)
     return cells.select("height", "hour", F.inline(deltas))
 
 

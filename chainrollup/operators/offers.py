@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +23,34 @@ USER_TARGETS = ["evmWalletHandler"]
 MAX_DIM = 512
 
 
-def offer_category(kind: Column, instance: Column, maker: Column, target: Column) -> Column:
+class Rules(NamedTuple):
+    """What decides a category; another instance may be applied to stored actions."""
+
+    named: list[tuple[str, str]]
+    makers: dict[str, str]
+    user_targets: list[str]
+
+
+RULES = Rules(NAMED, MAKERS, USER_TARGETS)
+
+
+def offer_category(kind: Column, instance: Column, maker: Column, target: Column, rules: Rules = RULES) -> Column:
     """Exactly one category. An invocation goes by its target; an offer by its contract's name, else by its maker."""
     named = F.lit("other")
-    for pattern, category in reversed(NAMED):
+    for pattern, category in reversed(rules.named):
         named = F.when(instance.rlike(pattern), category).otherwise(named)
     by_maker = F.when(maker.rlike("(?i)pushprice"), "oracle")
-    for name, category in MAKERS.items():
+    for name, category in rules.makers.items():
         by_maker = by_maker.when(maker == name, category)
-    invoked = F.when(target.isin(USER_TARGETS), "ymax").otherwise("orchestration")
+    invoked = F.when(target.isin(rules.user_targets), "ymax").otherwise("orchestration")
     return F.when(kind == "wallet_invocation", invoked).when(F.coalesce(instance, F.lit("")) != "", named).otherwise(by_maker.otherwise("other"))
 
 
+def classified(facts: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """Facts (kind, instance_path, maker, target) with their category."""
+    return facts.withColumn("category", offer_category(F.col("kind"), F.col("instance_path"), F.col("maker"), F.col("target"), rules))
+
+
 def automation_class(category: Column) -> Column:
     return F.when(category.isin(AUTOMATED), "automated").when(category.isin(INTERACTIVE), "interactive").otherwise("unknown")
 

@@ -39,6 +39,22 @@ def retention_counts(df: DataFrame, now: tuple, before: tuple) -> DataFrame:
     return each.where("n = 1").agg(F.count(F.lit(1)).alias("active"), c(F.col("b") == 1).alias("retained"), c(F.col("e") == 0).alias("new"))
 
 
+def first_seen_index(df: DataFrame) -> DataFrame:
+    """(address, first_day). Merged with that of later rows by the least day, so it is kept without reading history."""
+    return df.groupBy("address").agg(F.min("day").alias("first_day"))
+
+
+def retention_by_index(df: DataFrame, index: DataFrame, now: tuple, before: tuple) -> DataFrame:
+    """retention_counts from a first-seen index: of df only the days of both windows are read, of the index one row an address."""
+    d = F.col("day")
+    inside, prior = d.between(F.lit(now[0]), F.lit(now[1])), d.between(F.lit(before[0]), F.lit(before[1]))
+    flag = lambda cond: F.max(cond.cast("int"))
+    each = df.where(inside | prior).groupBy("address").agg(flag(inside).alias("n"), flag(prior).alias("b")).where("n = 1")
+    met = each.join(index, "address", "left")
+    c = lambda cond: F.count(F.when(cond, F.lit(1)))
+    return met.agg(F.count(F.lit(1)).alias("active"), c(F.col("b") == 1).alias("retained"), c(F.coalesce(F.col("first_day") >= F.lit(now[0]), F.lit(True))).alias("new"))
+
+
 def retention_shares(counts: DataFrame, prior: DataFrame) -> DataFrame:
     """retained_pct, new_pct, delta_points against the prior window; null where nobody was active. Both are one row."""
     p = prior.select(ratio(F.col("retained"), F.col("active"), 100).alias("__p"))

@@ -12,6 +12,7 @@ from ..functions import capdata, denoms, events, time
 from ..operators import extract, kpis, offers, windows
 from ..sources import blocks as B
 from ..sources import dims, store
+from ..sources.files import new_folder
 from . import proxy as P
 from .registry import registry
 
@@ -267,11 +268,7 @@ def load_dims(spark, d):
 @query("SELECT height, count(*) AS txs, CAST(count(*) FILTER (ok) AS BIGINT) AS succeeded FROM p_c GROUP BY 1")
 def read_blocks(spark, d):
     """Blocks written as landing files of JSON and read back by their fixed schema."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or (tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
-    path = f"{base}/landing-{uuid.uuid4().hex}"
+    path = new_folder(spark, "landing")
     chain_blocks(spark, d).write.json(path)
     b = B.read_blocks(spark, path)
     return b.select("height", F.size("txs").cast("long").alias("txs"), F.size(F.filter("txs_results", lambda r: r["code"] == 0)).cast("long").alias("succeeded"))

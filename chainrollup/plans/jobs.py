@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from datetime import date
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,19 +12,23 @@ from pyspark.sql import functions as F
 from ..functions.time import context_window, prior_window
 from ..operators import buckets, extract, kpis, offers, participation, pricing, state, windows
 from ..sources import store
+from ..sources.tables import TableSet
 
 
-def rollup_tables(blocks: DataFrame, modules: list[str] = (), brands: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Every table that blocks feed. brands: board id -> denomination (a curated list); without it brands are kept as published."""
-    txs, cells = extract.tx_rows(blocks), extract.state_cells(blocks)
-    acted = extract.offer_actions(txs)
+def rollup_tables(blocks: DataFrame, modules: list[str] = (), brands: dict[str, str] | None = None, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """Every table that blocks feed, or those named. brands: board id -> denomination (a curated list); without it brands are kept as published."""
+    txs, cells, hours = cache(lambda: extract.tx_rows(blocks)), cache(lambda: extract.state_cells(blocks)), cache(lambda: kpis.rollup_hours(extract.rollup_deltas(blocks, modules)))
+    acted, people = cache(lambda: extract.offer_actions(txs())), cache(lambda: extract.participants(txs()))
     latest = lambda rows, *key: windows.latest_row(rows, ["contract", "portfolio", *key], ["height", "seq"])
-    state_tables = {
-        "offer_participant_day": acted.select("day", "address", "kind").distinct(), "offer_category_participant_day": acted.select("day", "address", "category").distinct(),
-        "ymax_portfolio": latest(extract.portfolio_rows(cells)), "ymax_position": latest(extract.position_rows(cells, brands), "position_key"), "ymax_flow": store.merge_flow(extract.flow_rows(cells, brands), ["contract", "portfolio", "flow_id"]),
+    made: dict[str, Callable[[], DataFrame]] = {  # the expressions are large: only those that are wanted are put together
+        "hourly_metrics": hours, "daily_metrics": lambda: kpis.rollup_days(hours()), "participant_day": people, "first_seen": lambda: participation.first_seen_index(people()),
+        "address_fee_day": lambda: extract.address_fees(txs()), "address_volume_day": lambda: extract.address_volumes(txs()), "bundle_install": lambda: extract.bundle_installs(txs()), "provision_pool_day": lambda: extract.pool_snapshots(blocks),
+        "action": lambda: extract.action_facts(txs()), "outcome": lambda: extract.outcome_facts(blocks),
+        "offer_participant_day": lambda: acted().select("day", "address", "kind").distinct(), "offer_category_participant_day": lambda: acted().select("day", "address", "category").distinct(),
+        "ymax_portfolio": lambda: latest(extract.portfolio_rows(cells())), "ymax_position": lambda: latest(extract.position_rows(cells(), brands), "position_key"),
+        "ymax_flow": lambda: store.merge_flow(extract.flow_rows(cells(), brands), ["contract", "portfolio", "flow_id"]),
     }
-    hours = kpis.rollup_hours(extract.rollup_deltas(blocks, modules))
-    return {"hourly_metrics": hours, "daily_metrics": kpis.rollup_days(hours), "participant_day": extract.participants(txs), "address_fee_day": extract.address_fees(txs), "address_volume_day": extract.address_volumes(txs), "bundle_install": extract.bundle_installs(txs), "provision_pool_day": extract.pool_snapshots(blocks), **state_tables}
+    return {name: make() for name, make in made.items() if names is None or name in names}
 
 
 def metrics(daily: DataFrame, figures: dict[str, Column], floors: DataFrame, start: date, end: date) -> dict[str, DataFrame]:
@@ -80,12 +86,85 @@ def backfilled(base: DataFrame, blocks: DataFrame, control: DataFrame, job: str,
     return store.merge_additive(mine, fresh, ["hour", *store.ROLLUP_KEY])
 
 
-def backfill_series(blocks: DataFrame, control: DataFrame, job: str, series: str, path: str, modules: list[str] = ()) -> None:
-    """Swaps the partition of a series in a stored table for `backfilled`; the height must be committed before the job runs again."""
-    spark = blocks.sparkSession
-    held = spark.read.schema("hour timestamp, dimension string, value decimal(38,0), series string").parquet(path) if control.where(F.col("job") == job).head(1) else None
-    fresh = backfilled(held, blocks, control, job, series, modules)
-    store.overwrite_series(fresh, path)
+def backfill_series(blocks: DataFrame, tables: TableSet, job: str, series: str, modules: list[str] = ()) -> int | None:
+    """Adds the blocks above the job's committed height to one series, by hour and day, in one commit with the new height; the first run replaces what the
+    series had. A run that breaks off leaves nothing, and one that is repeated finds its height. Returns the commit, None without new blocks."""
+    control = tables.read("control")
+    new = store.resume_guard(blocks, control, job)
+    last = new.agg(F.max("height").alias("h")).first()["h"]
+    if last is None:
+        return None
+    hours = tables.stage("hours", kpis.rollup_hours(extract.rollup_deltas(new, modules).where(F.col("series") == series)))
+    changes = {"hourly_metrics": hours, "daily_metrics": kpis.rollup_days(hours)}
+    done = {"control": blocks.sparkSession.createDataFrame([(job, last)], "job string, last_height bigint")}
+    if control.where((F.col("job") == job) & F.col("last_height").isNotNull()).head(1):
+        number = tables.commit(changes | done)
+    else:
+        number = _replace_series(tables, [series], changes, done)
+    tables.forget()
+    return number
+
+
+def _replace_series(tables: TableSet, series: list[str], changes: dict[str, DataFrame], others: dict[str, DataFrame], replace: list[str] = ()) -> int:
+    """One commit with the rows of some series in place of those that they had, the other series as they were."""
+    whole = [*changes, *replace]
+    full = {name: tables.read(name).where(~F.col("series").isin(series)).unionByName(rows) for name, rows in changes.items()}
+    clear = {name: [b for n, b in tables.folders() if n == name] for name in whole}
+    return tables.commit(full | others, replace=whole, clear=clear)
+
+
+CLASSED = ["offer_category", "offer_outcome_category"]
+
+
+def reclassified(actions: DataFrame, outcomes: DataFrame, rules: offers.Rules = offers.RULES) -> dict[str, DataFrame]:
+    """What rules make of stored facts (extract.ACTION, extract.OUTCOME): the hourly rows of the two series by category, and the participants of each
+    category. A change of rules is two sums over facts; no block is read again."""
+    acted, settled = offers.classified(actions, rules), extract.outcome_category(outcomes, rules)
+    rows = lambda df, series, dim: df.select("hour", F.lit(series).alias("series"), offers.clamp_dim(dim).alias("dimension"), F.lit(1).cast("decimal(38,0)").alias("delta"))
+    both = rows(acted, CLASSED[0], F.col("category")).unionByName(rows(settled, CLASSED[1], offers.outcome_dim(F.col("category"), F.col("outcome"))))
+    return {"hourly_metrics": kpis.rollup_hours(both), "offer_category_participant_day": extract.action_participants(acted).select("day", "address", "category").distinct()}
+
+
+def reclassify(tables: TableSet, rules: offers.Rules = offers.RULES) -> int:
+    """Applies rules to all stored actions and outcomes: both series by hour and day and the participants change in one commit, whose number is returned."""
+    got = reclassified(tables.read("action"), tables.read("outcome"), rules)
+    hours = tables.stage("hours", got.pop("hourly_metrics"))
+    number = _replace_series(tables, CLASSED, {"hourly_metrics": hours, "daily_metrics": kpis.rollup_days(hours)}, got, list(got))
+    tables.forget()
+    return number
+
+
+def replay_day(blocks: DataFrame, day: date, modules: list[str] = (), brands: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """What the blocks of a day give in the tables that are kept by day."""
+    mine = blocks.where(F.to_date("time") == F.lit(day))
+    return rollup_tables(mine, modules, brands, REPLAYED)
+
+
+REPLAYED = ["daily_metrics", "participant_day", "offer_participant_day", "offer_category_participant_day", "address_fee_day", "address_volume_day"]
+
+
+def replay_parity(stored: dict[str, DataFrame], replayed: dict[str, DataFrame], day: date) -> DataFrame:
+    """(check, key, stored, replayed) where the tables of a day and its replay differ: sums by series and dimension; for tables of participants
+    the number of rows by role, kind or category and the addresses that one side lacks; for tables of amounts the sums by address and
+    denomination. No row is the result wanted."""
+    out = None  # of the tables that `stored` has
+    sums = {"daily_metrics": (["series", "dimension"], "value"), "address_fee_day": (["address", "denom"], "fee"), "address_volume_day": (["address", "denom"], "volume")}
+    people = {"participant_day": "role", "offer_participant_day": "kind", "offer_category_participant_day": "category"}
+    for name in [n for n in REPLAYED if n in stored]:
+        a, b = stored[name].where(F.col("day") == F.lit(day)), replayed[name].where(F.col("day") == F.lit(day))
+        if name in sums:
+            key, value = sums[name]
+            checks = [(name, key, F.coalesce(F.sum(value), F.lit(0)))]
+        else:
+            checks = [(f"{name} rows", [people[name]], F.count(F.lit(1))), (name, ["address", people[name]], F.count(F.lit(1)))]
+        for check, key, figure in checks:
+            both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
+            each = both.groupBy("side", *key).agg(figure.cast("decimal(38,0)").alias("n"))
+            side = lambda k: F.coalesce(F.sum(F.when(F.col("side") == k, F.col("n"))), F.lit(0)).cast("decimal(38,0)")
+            rows = each.groupBy(*key).agg(side(0).alias("stored"), side(1).alias("replayed")).where("stored <> replayed")
+            rows = rows.select(F.lit(check).alias("check"), F.concat_ws("/", *key).alias("key"), "stored", "replayed")
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def verify(hours: DataFrame, days: DataFrame, replayed: DataFrame, local: DataFrame, chain: DataFrame, actions: DataFrame) -> DataFrame:

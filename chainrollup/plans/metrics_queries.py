@@ -178,8 +178,8 @@ def rank_series(spark, d):
 
 @query(f"SELECT day FROM {DAYS}")
 def dense_days(spark, d):
-    first = now(P.metric_day(spark, d)).agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    return first.select(F.explode(F.sequence("a", "b")).alias("day"))
+    first = now(P.metric_day(spark, d)).agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    return buckets.dense_days(spark, first["a"], first["b"])
 
 
 _S6 = f"(SELECT DISTINCT series FROM p_day WHERE {IN_NOW})"
@@ -261,11 +261,11 @@ def offers_activity_rows(spark, d):
 
 
 def _over_time(by):
-    return f"SELECT g.day, g.{by}, coalesce(v.n, 0) AS value, coalesce(t.n, 0) AS total FROM (SELECT * FROM {DAYS}, (SELECT DISTINCT {by} FROM p_action WHERE {IN_NOW} AND k % 10 = 0)) g LEFT JOIN (SELECT day, {by}, count(*) AS n FROM p_action WHERE k % 10 = 0 GROUP BY ALL) v USING (day, {by}) LEFT JOIN (SELECT day, count(*) AS n FROM p_action WHERE k % 10 = 0 GROUP BY 1) t USING (day)"
+    return f"SELECT g.day, g.{by}, coalesce(v.n, 0) AS value, coalesce(t.n, 0) AS total FROM (SELECT * FROM {DAYS}, (SELECT DISTINCT {by} FROM p_action WHERE {IN_NOW})) g LEFT JOIN (SELECT day, {by}, count(*) AS n FROM p_action GROUP BY ALL) v USING (day, {by}) LEFT JOIN (SELECT day, count(*) AS n FROM p_action GROUP BY 1) t USING (day)"
 
 
 def _counts(spark, d, by):
-    return now(P.action(spark, d)).where("k % 10 = 0").groupBy("day", by).agg(F.count(F.lit(1)).alias("value"))
+    return now(P.action(spark, d)).groupBy("day", by).agg(F.count(F.lit(1)).alias("value"))
 
 
 @query(_over_time("category"))

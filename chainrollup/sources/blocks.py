@@ -16,6 +16,27 @@ def read_blocks(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return spark.read.schema(BLOCK).format(fmt).load(path)
 
 
+def archive_blocks(blocks: DataFrame, path: str, span: int = 10_000) -> None:
+    """Stores blocks by ranges of `span` heights, a folder each, sorted by height within files, and beside them the least and the greatest
+    height of each day."""
+    part = F.expr(f"height div {span}")
+    rows = blocks.withColumn("part", part)
+    rows.hint("rebalance", "part").sortWithinPartitions("part", "height").write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
+    stored = blocks.sparkSession.read.schema("height bigint, time timestamp").parquet(f"{path}/blocks")
+    days = stored.groupBy(F.to_date("time").alias("day")).agg(F.min("height").alias("low"), F.max("height").alias("high"), F.count(F.lit(1)).alias("blocks"))
+    days.coalesce(1).write.mode("overwrite").parquet(f"{path}/days")
+
+
+def read_archived_day(spark: SparkSession, path: str, day, span: int = 10_000) -> DataFrame:
+    """The blocks of a day: its heights are looked up, and only the folders of their ranges are read."""
+    at = spark.read.parquet(f"{path}/days").where(F.col("day") == F.lit(day)).select("low", "high").first()
+    rows = spark.read.schema(f"{BLOCK}, part bigint").parquet(f"{path}/blocks")
+    if at is None:
+        return rows.where("false").drop("part")
+    inside = F.col("part").between(at["low"] // span, at["high"] // span) & F.col("height").between(at["low"], at["high"])
+    return rows.where(inside & (F.to_date("time") == F.lit(day))).drop("part")
+
+
 def pair_txs(blocks: DataFrame) -> DataFrame:
     """height, time, tx_i, tx, result: transaction i with result i, as far as both lists go. No join, no shuffle."""
     n = F.least(F.size(F.coalesce("txs", F.array().cast(f"array<{TX}>"))), F.size(F.coalesce("txs_results", F.array().cast(f"array<{RESULT}>"))))

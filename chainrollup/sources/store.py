@@ -30,16 +30,33 @@ def merge_by_key(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame
     return base.join(delta.select(*key).distinct(), key, "left_anti").unionByName(delta)
 
 
-def merge_flow(rows: DataFrame, key: list[str]) -> DataFrame:
-    """One row per flow from sightings (flow_type, denom, amount, day, height, state, progress, seq): the first known type, the
-    first denomination and amount, the least day and height, the state by (height, progress, seq)."""
-    order = F.struct("height", "seq")
-    first = lambda c, cond: F.min_by(F.when(cond, F.col(c)), F.when(cond, order)).alias(c)
-    known = F.col("flow_type").isNotNull() & (F.col("flow_type") != "unknown")
+def fold_flows(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row a flow from sightings (flow_type, denom, amount, day, height, state, progress, seq), which can be merged with others: the
+    first known type, denomination and amount with their place, the least day and height, the state by (height, progress, seq)."""
+    first = lambda c, cond: F.min(F.when(cond, F.struct("height", "seq", F.col(c).alias("value")))).alias(c)
     return rows.groupBy(*key).agg(
-        F.coalesce(F.min_by(F.when(known, F.col("flow_type")), F.when(known, order)), F.lit("unknown")).alias("flow_type"),
-        first("denom", F.col("denom").isNotNull()), first("amount", F.col("amount").isNotNull()), F.min("day").alias("day"), F.min("height").alias("first_height"),
-        F.max_by("state", F.struct("height", "progress", "seq")).alias("last_state"), F.max("height").alias("last_height"))
+        first("flow_type", F.col("flow_type").isNotNull() & (F.col("flow_type") != "unknown")), first("denom", F.col("denom").isNotNull()), first("amount", F.col("amount").isNotNull()),
+        F.min("day").alias("day"), F.min("height").alias("first_height"), F.max(F.struct("height", "progress", "seq", F.col("state").alias("value"))).alias("last"))
+
+
+def merge_folded_flows(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
+    least = [F.min(c).alias(c) for c in ("flow_type", "denom", "amount", "day", "first_height")]
+    return base.unionByName(delta).groupBy(*key).agg(*least, F.max("last").alias("last"))
+
+
+def flows_of(folded: DataFrame, key: list[str]) -> DataFrame:
+    """Key, flow_type, denom, amount, day, first_height, last_state, last_height of folded flows."""
+    return folded.select(*key, F.coalesce("flow_type.value", F.lit("unknown")).alias("flow_type"), F.col("denom.value").alias("denom"), F.col("amount.value").alias("amount"), "day", "first_height", F.col("last.value").alias("last_state"), F.col("last.height").alias("last_height"))
+
+
+def merge_flow(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row per flow from sightings: see fold_flows."""
+    return flows_of(fold_flows(rows, key), key)
+
+
+def merge_least(base: DataFrame, delta: DataFrame, key: list[str], value: str) -> DataFrame:
+    """The least value of each key."""
+    return base.unionByName(delta).groupBy(*key).agg(F.min(value).alias(value))
 
 
 def rebuild_series(base: DataFrame, fresh: DataFrame, series: str) -> DataFrame:
@@ -87,8 +104,12 @@ class VersionedTable:
         v = self.version() if version is None else version
         return self.spark.read.schema(schema).parquet(f"{self.path}/v={v}") if v >= 0 else self.spark.createDataFrame([], schema)
 
+    def next_version(self) -> int:
+        """Beyond what a failed writer may have left."""
+        return max((v for v, _ in self._folders()), default=-1) + 1
+
     def write(self, df: DataFrame, *partitions: str) -> int:
-        v = max((v for v, _ in self._folders()), default=-1) + 1  # beyond what a failed writer may have left
+        v = self.next_version()
         writer = df.write.mode("errorifexists")
         (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{self.path}/v={v}")
         return v

@@ -1,19 +1,66 @@
-"""Tailing new blocks. Additive sums are made replay-safe by keeping each batch's deltas under its number: a batch that is
-run again overwrites its own folder. What is read is the sum over the folders; compaction folds them into one."""
+"""Tailing new blocks. Each batch of blocks changes every table that blocks feed, and the set of heights that are done, in one
+commit: a batch that breaks off leaves nothing, and one that is run again finds its heights done."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import extract, kpis
+from ..operators import extract, kpis, participation
+from ..plans import jobs
+from ..sources import store
 from ..sources.blocks import BLOCK
-from ..sources.store import VersionedTable, merge_flow, merge_latest
+from ..sources.tables import Table, TableSet
+from . import heights
 
-ROLLUP = "batch bigint, hour timestamp, series string, dimension string, value decimal(38,0)"
+FLOW_KEY = ["contract", "portfolio", "flow_id"]
+SEQ = "struct<ev_i: int, val_i: int>"
+_AT = lambda kind: f"struct<height: bigint, seq: {SEQ}, value: {kind}>"
+
+
+def _set(base: DataFrame, delta: DataFrame) -> DataFrame:
+    return base.unionByName(delta).distinct()
+
+
+def _hash(*key: str, parts: int = 16) -> str:
+    return f"cast(pmod(xxhash64({', '.join(key)}), {parts}) as string)"
+
+
+def block_tables(parts: int = 16) -> dict[str, Table]:
+    """The tables that blocks feed. Sums and participants are dealt by day, daily sums by month, latest rows and first sightings into `parts` parts by their key."""
+    amounts = lambda *key: partial(store.merge_additive, key=list(key[:-1]), value=key[-1])
+    latest = lambda *key: partial(store.merge_latest, key=list(key), order=["height", "seq"])
+    day, month = "cast({} as string)", "date_format(day, 'yyyy-MM')"
+    return {
+        "hourly_metrics": Table("hour timestamp, series string, dimension string, value decimal(38,0)", day.format("to_date(hour)"), amounts("hour", "series", "dimension", "value")),
+        "daily_metrics": Table("day date, series string, dimension string, value decimal(38,0)", month, amounts("day", "series", "dimension", "value")),
+        "participant_day": Table("day date, address string, role string", day.format("day"), _set),
+        "offer_participant_day": Table("day date, address string, kind string", day.format("day"), _set),
+        "offer_category_participant_day": Table("day date, address string, category string", day.format("day"), _set),
+        "address_fee_day": Table("day date, address string, denom string, fee decimal(38,0)", day.format("day"), amounts("day", "address", "denom", "fee")),
+        "address_volume_day": Table("day date, address string, denom string, volume decimal(38,0)", day.format("day"), amounts("day", "address", "denom", "volume")),
+        "first_seen": Table("address string, first_day date", _hash("address", parts=parts), partial(store.merge_least, key=["address"], value="first_day")),
+        "action": Table(extract.ACTION, day.format("to_date(hour)"), DataFrame.unionByName),
+        "outcome": Table(extract.OUTCOME, day.format("to_date(hour)"), DataFrame.unionByName),
+        "bundle_install": Table("tx_hash string, height bigint, day date, installer string, gas_fee decimal(38,0), storage_fee decimal(38,0)", month, partial(store.merge_set, key=["tx_hash"])),
+        "provision_pool_day": Table("day date, wallets bigint, minted decimal(38,0), converted decimal(38,0), height bigint", month, partial(store.merge_latest, key=["day"], order=["height"])),
+        "ymax_portfolio": Table(f"contract string, portfolio string, deposit string, agoric_account string, accounts map<string, string>, policy_version bigint, flow_count bigint, height bigint, seq {SEQ}", _hash("contract", "portfolio", parts=parts), latest("contract", "portfolio")),
+        "ymax_position": Table(f"contract string, portfolio string, position_key string, protocol string, chain string, account_id string, denom string, total_in decimal(38,0), total_out decimal(38,0), net decimal(38,0), height bigint, seq {SEQ}", _hash("contract", "portfolio", parts=parts), latest("contract", "portfolio", "position_key")),
+        "ymax_flow": Table(f"contract string, portfolio string, flow_id string, flow_type {_AT('string')}, denom {_AT('string')}, amount {_AT('decimal(38,0)')}, day date, first_height bigint, last struct<height: bigint, progress: int, seq: {SEQ}, value: string>", _hash("contract", "portfolio", parts=parts), partial(store.merge_folded_flows, key=FLOW_KEY)),
+        "control": Table("job string, last_height bigint", "'0'", partial(store.merge_by_key, key=["job"])),
+        "heights": Table("low bigint, high bigint", "'0'", DataFrame.unionByName),
+        "held": Table(BLOCK, "'0'", DataFrame.unionByName),
+    }
+
+
+def open_tables(spark: SparkSession, path: str, names: list[str] | None = None, parts: int = 16) -> TableSet:
+    """The stored tables under a path. names: those to keep, all by default; the set of heights and the blocks that wait always are."""
+    return TableSet(spark, path, {k: t for k, t in block_tables(parts).items() if names is None or k in (*names, "heights", "held")})
 
 
 def read_block_stream(spark: SparkSession, path: str, fmt: str = "json", files: int | None = None) -> DataFrame:
@@ -23,110 +70,102 @@ def read_block_stream(spark: SparkSession, path: str, fmt: str = "json", files:
 
 
 def dedup_blocks(blocks: DataFrame, late: str = "1 day") -> DataFrame:
-    """A height is processed once."""
+    """A height is processed once, within the watermark. Where no height may be lost or count twice, `advance` keeps the set of heights instead."""
     return blocks.withWatermark("time", late).dropDuplicatesWithinWatermark(["height"])
 
 
-class DeltaStore:
-    """Rollup deltas by batch (a partition folder each), and a base into which compaction folds them."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.base = VersionedTable(spark, f"{self.path}/base")
+def advance(tables: TableSet, batch: DataFrame, lag: int = 3, modules: list[str] = (), brands: dict[str, str] | None = None) -> int | None:
+    """Adds a batch of blocks to the tables in one commit; returns its number, or None if there was nothing to do.
 
-    def _fs(self, path: str) -> tuple:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+    Each height counts once, in whatever order and however often blocks come: what is done is a set of intervals, so a height that comes
+    after higher ones is still counted. The last `lag` heights below the greatest one that was seen wait for a later batch."""
+    done = tables.read("heights")
+    fresh = heights.outside(batch.select(*tables.read("held").columns), done)
+    rows = tables.stage("blocks", tables.read("held").unionByName(fresh).dropDuplicates(["height"]))
+    top = rows.select("height").unionByName(done.select(F.col("high").alias("height"))).agg(F.max("height").alias("h")).first()["h"]
+    if top is None:
+        return None
+    ready, got = rows.where(F.col("height") <= top - lag), {"held": rows.where(F.col("height") > top - lag)}
+    if not ready.isEmpty():
+        got |= _changes(tables, ready, modules, brands) | {"heights": heights.joined(done.unionByName(heights.intervals_of(ready)))}
+    number = tables.commit(got, replace=["heights", "held"], clear={name: ["0"] for name in ("heights", "held") if name in got})
+    tables.forget()
+    return number
 
-    def write(self, hours: DataFrame, batch: int) -> None:
-        hours.select("hour", "series", "dimension", "value").write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
 
-    def batches(self) -> list[int]:
-        """The numbers of the stored batches: one folder each, as many as came since the last compaction."""
-        fs, at = self._fs(f"{self.path}/deltas")
-        return sorted(int(s.getPath().getName()[6:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("batch=")) if fs.exists(at) else []
+def _changes(tables: TableSet, ready: DataFrame, modules: list[str], brands: dict[str, str] | None) -> dict[str, DataFrame]:
+    """What final blocks add to each table of the set. Hours and participants, which two tables are made of, are worked out once."""
+    wanted, got = set(tables.tables), {}
+    if wanted & {"hourly_metrics", "daily_metrics"}:
+        hours = tables.stage("hours", kpis.rollup_hours(extract.rollup_deltas(ready, modules)))
+        got |= {"hourly_metrics": hours, "daily_metrics": kpis.rollup_days(hours)}
+    if wanted & {"participant_day", "first_seen"}:
+        people = tables.stage("people", extract.participants(extract.tx_rows(ready)))
+        got |= {"participant_day": people, "first_seen": participation.first_seen_index(people)}
+    if "ymax_flow" in wanted:
+        got["ymax_flow"] = store.fold_flows(extract.flow_rows(extract.state_cells(ready), brands), FLOW_KEY)
+    got |= jobs.rollup_tables(ready, modules, brands, wanted - got.keys())
+    return {name: df for name, df in got.items() if name in wanted}
 
-    def _deltas(self, after: int, through: int | None = None) -> DataFrame:
-        """Of the batches above `after`; only their folders are listed and read."""
-        mine = [b for b in self.batches() if b > after and (through is None or b <= through)]
-        if not mine:
-            return self.spark.createDataFrame([], ROLLUP)
-        rows = self.spark.read.option("basePath", f"{self.path}/deltas").schema(ROLLUP).parquet(*[f"{self.path}/deltas/batch={b}" for b in mine])
-        return rows.select(*[c.split()[0] for c in ROLLUP.split(", ")])
 
-    def _state(self) -> tuple[DataFrame, int]:
-        """The base and the last batch that it holds."""
-        base = self.base.read(ROLLUP)
-        done = base.agg(F.max("batch").alias("b")).first()["b"]
-        return base, -1 if done is None else done
+def done_through(tables: TableSet) -> int:
+    """The greatest height that is done, -1 if none is."""
+    high = tables.read("heights").agg(F.max("high").alias("h")).first()["h"]
+    return -1 if high is None else high
 
-    def read(self) -> DataFrame:
-        """hour, series, dimension, value. Batches that the base holds already are left out."""
-        base, done = self._state()
-        return _summed(base.unionByName(self._deltas(done)))
 
-    def compact(self, through: int) -> None:
-        """Folds the batches up to `through` into a new version of the base, and deletes the folders that a version before it holds already (a reader of
-        the version before the new one may still need the others)."""
-        base, done = self._state()
-        folded = _summed(base.unionByName(self._deltas(done, through)))
-        self.base.write(folded.select(F.lit(through).cast("long").alias("batch"), "hour", "series", "dimension", "value"))
-        for b in self.batches():
-            if b <= done:
-                fs, at = self._fs(f"{self.path}/deltas/batch={b}")
-                fs.delete(at, True)
+def missing_heights(tables: TableSet) -> DataFrame:
+    """low, high of the heights that are missing below the greatest one that is done."""
+    return heights.gaps(tables.read("heights"))
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("hour", "series", "dimension").agg(F.sum("value").cast("decimal(38,0)").alias("value"))
+def flow_states(tables: TableSet) -> DataFrame:
+    """First sighting and last state of every flow."""
+    return store.flows_of(tables.read("ymax_flow"), FLOW_KEY)
 
 
-def catch_up(behind: int, threshold: int = 20_000, far: int = 2000, near: int = 25) -> dict:
-    """How to read and trigger, by the number of heights that the stream is behind: many files a batch until all are read, or few as they come."""
-    if behind > threshold:
-        return {"files": far, "trigger": {"availableNow": True}}
-    return {"files": near, "trigger": {"processingTime": "20 seconds"}}
-
-
-class Cursor:
-    """The last height that is done, and the blocks held back above it, as versions of one table. A version is written before its batch's deltas, and
-    a batch that runs again starts from the version before it."""
-
-    def __init__(self, spark: SparkSession, path: str, lag: int = 3):
-        self.spark, self.lag = spark, lag
-        self.table = VersionedTable(spark, path)
-
-    def admit(self, batch: DataFrame, number: int) -> DataFrame:
-        """The blocks of the batch and of those held back that are final: each height above the cursor once, but for the last `lag` heights."""
-        schema = f"{BLOCK}, __batch bigint, __ready boolean"
-        before = [v for v in self.table.versions() if v < number]
-        past = self.table.read(schema, max(before)) if before else self.spark.createDataFrame([], schema)
-        done = past.where("__ready").agg(F.max("height").alias("h")).first()["h"]
-        fresh = batch.where(F.col("height") > (-1 if done is None else done))
-        rows = past.where("NOT __ready").drop("__batch", "__ready").unionByName(fresh.select(*[c for c in past.columns if not c.startswith("__")])).dropDuplicates(["height"])
-        top = rows.agg(F.max("height").alias("h")).first()["h"]
-        marked = rows.withColumns({"__batch": F.lit(number).cast("long"), "__ready": F.col("height") <= (-1 if top is None else top) - self.lag})
-        if done is not None:  # the cursor stays where nothing is final yet
-            last = past.where("__ready").orderBy(F.desc("height")).limit(1).withColumn("__batch", F.lit(-1).cast("long"))
-            marked = marked.unionByName(last)
-        path = f"{self.table.path}/v={number}"
-        marked.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(schema).parquet(path).where(f"__ready AND __batch = {number}").drop("__batch", "__ready")
-
-
-def stream_rollup(blocks: DataFrame, store: DeltaStore, checkpoint: str, modules: list[str] = (), keep: Callable[[DataFrame, int], None] | None = None, cursor: Cursor | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Rolls up each batch of new blocks; `keep(batch, number)` may write keyed tables, before the batch counts as done. With a cursor every height
-    counts once and the last ones wait. trigger: of writeStream.trigger; all that is there by default."""
+def stream_rollup(blocks: DataFrame, tables: TableSet, checkpoint: str, lag: int = 3, modules: list[str] = (), brands: dict[str, str] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Advances the tables by each batch of new blocks. trigger: of writeStream.trigger; all that is there by default. A new checkpoint folder
+    reads all blocks again and changes nothing that was done."""
 
     def step(batch: DataFrame, number: int) -> None:
-        ready = cursor.admit(batch, number) if cursor else batch
-        if keep:
-            keep(ready, number)
-        store.write(kpis.rollup_hours(extract.rollup_deltas(ready, list(modules))), number)
+        advance(tables, batch, lag, modules, brands)
 
     return blocks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def catch_up(behind: int, threshold: int = 20_000, far: int = 2000, near: int = 25) -> dict:
+    """How to read and trigger, by the number of heights that the stream is behind: many files a batch until all are read, or few as they come."""
+    if behind > threshold:
+        return {"mode": "far", "files": far, "trigger": {"availableNow": True}}
+    return {"mode": "near", "files": near, "trigger": {"processingTime": "20 seconds"}}
+
+
+def follow(tables: TableSet, land: str, checkpoint: str, tip: Callable[[], int], stop: Callable[[], bool], threshold: int = 20_000, far: int = 2000, near: int = 25, poll: float = 5.0, every: str = "20 seconds", fmt: str = "json", **options) -> list[tuple[str, int, int]]:
+    """Keeps the tables at the tip of the chain until stop() holds, and changes between the two modes of catch_up by itself.
+
+    tip() is the greatest height that is published. Far behind, all landed files are read in large batches; at the end the lag is
+    measured again. Near the tip, small batches come at intervals, and the lag is measured every `poll` seconds: beyond the threshold, the
+    query ends and a far one takes its checkpoint. Returns (mode, lag at its start, lag at its end) of each query that was run."""
+    behind = lambda: tip() - done_through(tables)
+    ran = []
+    while not stop():
+        lag = behind()
+        how = catch_up(lag, threshold, far, near)
+        trigger = how["trigger"] if how["mode"] == "far" else {"processingTime": every}
+        query = stream_rollup(read_block_stream(tables.spark, land, fmt, how["files"]), tables, checkpoint, trigger=trigger, **options)
+        try:
+            while not query.awaitTermination(poll):
+                if how["mode"] == "near" and (stop() or behind() > threshold):
+                    break
+        finally:
+            query.stop()
+        ran.append((how["mode"], lag, behind()))
+        if how["mode"] == "far" and ran[-1][2] > threshold:
+            time.sleep(poll)  # what is published has not landed yet
+    return ran
+
+
 def finality_lag(batch: DataFrame, held: DataFrame, lag: int = 3) -> tuple[DataFrame, DataFrame]:
     """(ready, to hold back): of the batch and what was held before, all but the last `lag` heights."""
     rows = held.unionByName(batch).dropDuplicates(["height"])
@@ -135,37 +174,19 @@ def finality_lag(batch: DataFrame, held: DataFrame, lag: int = 3) -> tuple[DataF
     return marked.where(F.col("height") <= F.col("__top") - lag).drop("__top"), marked.where(F.col("height") > F.col("__top") - lag).drop("__top")
 
 
-def latest_keeper(table: VersionedTable, schema: str, key: list[str], order: list[str], rows: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """For stream_rollup's `keep`: merges the batch's rows into a latest-state table, one row a key. Applying a batch again changes nothing."""
-
-    def keep(batch: DataFrame, number: int) -> None:
-        base = table.read(schema)
-        table.write(merge_latest(base, rows(batch).select(*base.columns), key, order))
-        table.forget()
-
-    return keep
-
-
-FLOW_SIGHTINGS = "contract string, portfolio string, flow_id string, flow_type string, denom string, amount decimal(38,0), day date, height bigint, state string, progress int, seq struct<ev_i: int, val_i: int>"
-FLOW_KEY = ["contract", "portfolio", "flow_id"]
-
-
-class FlowStates:
-    """First sighting and last state of every flow, from a stream: the sightings of each batch stand in a folder of its number, so that a batch that
-    runs again overwrites its own, and what is read is merge_flow over them."""
-
-    def __init__(self, spark: SparkSession, path: str, brands: dict[str, str] | None = None):
-        self.spark, self.path, self.brands = spark, path.rstrip("/"), brands
+def tumbling_sums(blocks: DataFrame, width: str = "1 hour", late: str = "1 hour", modules: list[str] = ()) -> DataFrame:
+    """start, series, dimension, value of a stream of blocks by hour or day, in append mode: a window is put out once, when the
+    watermark (the latest hour less `late`) has passed its end, and rows that come after are left out (see late_rows)."""
+    rows = extract.rollup_deltas(blocks, list(modules)).where("delta <> 0").withWatermark("hour", late)
+    sums = rows.groupBy(F.window("hour", width), "series", "dimension").agg(F.sum("delta").alias("value"))
+    return sums.select(F.col("window.start").alias("start"), "series", "dimension", F.col("value").cast("decimal(38,0)").alias("value"))
 
-    def keep(self, batch: DataFrame, number: int) -> None:
-        """For stream_rollup's `keep`."""
-        rows = extract.flow_rows(extract.state_cells(batch), self.brands)
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
 
-    def read(self) -> DataFrame:
-        return merge_flow(self.spark.read.schema(FLOW_SIGHTINGS).option("basePath", self.path).parquet(f"{self.path}/batch=*"), FLOW_KEY)
+def write_tumbling(sums: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Appends closed windows to Parquet files, each once."""
+    return sums.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def tumbling_counts(stream: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Counts per window in append mode: a window is put out once the watermark has passed it."""
-    return stream.withWatermark("time", late).groupBy(F.window("time", width)).agg(F.count(F.lit(1)).alias("n"))
+def late_rows(query: StreamingQuery) -> int:
+    """Sums within a batch that came too late for their window, over the progress that the query remembers."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
