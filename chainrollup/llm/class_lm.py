@@ -201,7 +201,7 @@ def cluster(encoded: DataFrame, n_words: int, size: Sizes, sweeps: int = 10) ->
         return np.concatenate(([0], s[:-1])) * width + s
 
     got = tally(encoded, codes, width * width).toArrow()  # at most (clustered + 1) ** 2 rows
-    bigrams = np.zeros(width * width, np.float32)
+    bigrams = np.zeros(width * width)  # counts up to 2 ** 53 are exact
     bigrams[got["code"].to_numpy()] = got["n"].to_numpy()
     bigrams = bigrams.reshape(width, width)
     cls = (np.arange(width) - 1) % size.classes
