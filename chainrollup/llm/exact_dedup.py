@@ -1,8 +1,8 @@
 """Exact deduplication with a log-structured merge index of digests (DataFrame operations only).
 
 1. Every text is normalised and digested (SHA-256); only (doc_id, digest) is kept for the index.
-2. The digests are dealt to memtables of about `memtable_rows` rows. A flush writes up to `memtables` of them, each reduced to one
-   entry per digest and sorted by it; there are as many flushes as the rows need.
+2. The digests are dealt to memtables of about `memtable_rows` rows. A flush has up to `memtables` of them, each a run with one
+   entry per digest, sorted by it; there are as many flushes as the rows need, and one job writes them all.
 3. Whenever `fan_in` levels of runs wait, compaction merges them, keeping the smallest identifier and adding up the copies; at the
    end one run is left. Its filter is a bitmap of the digests with more than one copy.
 4. The texts that pass the filter, and no others, are moved and compared byte by byte with the text of the row that stays.
@@ -36,20 +36,27 @@ class DigestIndex:
         self.levels: list[tuple[int, str]] = []  # (level, folder) of what waits to be merged
 
     def fill(self, keys: DataFrame) -> None:
-        """keys: doc_id, digest. One flush for every memtable_rows * memtables rows."""
+        """keys: doc_id, digest. They are read once to count them and once to write all runs, dealt to a flush for every memtable_rows * memtables rows."""
         rows = keys.count()
         runs = max(1, -(-rows // self.memtable_rows))
         flushes = -(-runs // self.memtables)
         run = F.pmod(F.xxhash64(F.lit(17), "digest", "doc_id"), F.lit(runs)).cast("int")
-        for k in range(flushes):
-            part = keys.select("doc_id", "digest", run.alias("run")).where(F.col("run") % flushes == k)
-            self._write(0, part.groupBy("run", "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies")))
+        entries = keys.select("digest", "doc_id", run.alias("run")).groupBy("run", "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+        folder = f"{self.path}/flushed"
+        self._write_sorted(entries.withColumn("flush", F.col("run") % flushes), folder, "flush", "run")
+        held = self.spark.read.schema("digest binary, flush int, run int").parquet(folder).select("flush").distinct()
+        for name in sorted(f"{folder}/flush={r['flush']}" for r in held.collect()) or [folder]:  # no rows: nothing but the folder
+            self.levels.append((0, name))
             self.flushes += 1
             self._compact_full_levels()
 
+    def _write_sorted(self, entries: DataFrame, folder: str, *parts: str) -> None:
+        """Tasks take ranges of (parts, digest), so a run stands in few files however many runs there are."""
+        entries.repartitionByRange(*parts, "digest").sortWithinPartitions(*parts, "digest").write.partitionBy(*parts).option("compression", "zstd").parquet(folder)
+
     def _write(self, level: int, entries: DataFrame) -> None:
         folder = f"{self.path}/{level}-{self.flushes}-{self.compactions}"
-        entries.repartitionByRange("run", "digest").sortWithinPartitions("run", "digest").write.partitionBy("run").option("compression", "zstd").parquet(folder)
+        self._write_sorted(entries, folder, "run")
         self.levels.append((level, folder))
 
     def _read(self, folder: str) -> DataFrame:
@@ -104,7 +111,7 @@ def _meet(rows: DataFrame, entries: DataFrame, hot: DataFrame, how: str = "inner
     return left.join(right, ["digest", "part"], how).drop("part")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_chars: int = 64, memtable_rows: int = 1 << 18, memtables: int = 256, fan_in: int = 8, hot_rows: int = 50_000, filter_bits: int = 1 << 26) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_chars: int = 64, memtable_rows: int = 1 << 18, memtables: int = 256, fan_in: int = 8, hot_rows: int = 50_000, filter_bits: int = 1 << 30) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of white space becomes one space; a null text is empty,
