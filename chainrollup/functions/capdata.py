@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import DECIMALS, Decimals
+
 # Labels of chain ids, and the states that end a flow.
 CHAINS = {"eip155:1": "Ethereum", "eip155:10": "Optimism", "eip155:8453": "Base", "eip155:42161": "Arbitrum", "eip155:43114": "Avalanche", "eip155:137": "Polygon", "cosmos:agoric-3": "agoric", "cosmos:noble-1": "noble"}
 TERMINAL = ["done", "fail", "failed", "error", "cancelled"]
@@ -22,10 +24,10 @@ def capdata_fields(body: Column, slots: Column, paths: dict[str, str]) -> Column
     return F.struct(*[value(p).alias(n) for n, p in paths.items()])
 
 
-def nat_of(text: Column) -> Column:
+def nat_of(text: Column, amounts: Decimals = DECIMALS) -> Column:
     """`+123` or `123` as an integer, else null."""
     bare = F.regexp_replace(text, r"^\+", "")
-    return F.when(bare.rlike("^[0-9]+$"), bare.try_cast("decimal(38,0)"))
+    return F.when(bare.rlike("^[0-9]+$"), amounts.try_of(bare))
 
 
 def vstorage_path(key: Column) -> Column:
@@ -117,14 +119,14 @@ def wallet_action_fields(json: Column) -> Column:
     return action_fields(parsed_action(json))
 
 
-def amount_legs(json: Column) -> Column:
+def amount_legs(json: Column, amounts: Decimals = DECIMALS) -> Column:
     """array<struct<keyword, brand, value>> of a map keyword -> {brand, value}; values that are no non-negative integer are left out."""
-    return legs_of(F.from_json(json, LEGS))
+    return legs_of(F.from_json(json, LEGS), amounts)
 
 
-def legs_of(amounts: Column) -> Column:
-    all_ = F.transform(F.map_entries(amounts), lambda e: F.struct(e["key"].alias("keyword"), e["value"]["brand"].alias("brand"), nat_of(e["value"]["value"]).alias("value")))
-    return F.coalesce(F.filter(all_, lambda x: x["value"].isNotNull()), F.array().cast("array<struct<keyword: string, brand: string, value: decimal(38,0)>>"))
+def legs_of(legs: Column, amounts: Decimals = DECIMALS) -> Column:
+    all_ = F.transform(F.map_entries(legs), lambda e: F.struct(e["key"].alias("keyword"), e["value"]["brand"].alias("brand"), nat_of(e["value"]["value"], amounts).alias("value")))
+    return F.coalesce(F.filter(all_, lambda x: x["value"].isNotNull()), F.array().cast(f"array<struct<keyword: string, brand: string, value: {amounts.type}>>"))
 
 
 def offer_outcome(json: Column) -> Column:

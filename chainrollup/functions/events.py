@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import DECIMALS, Decimals
+
 COIN = r"^([0-9]+)([a-zA-Z0-9/.-]+)$"
-WIDE = "decimal(38,0)"
 
 
 def attr_values(event: Column, key: str) -> Column:
@@ -21,22 +22,22 @@ def attr_last(event: Column, key: str) -> Column:
     return F.try_element_at(attr_values(event, key), F.lit(-1))
 
 
-def parse_coins(text: Column) -> Column:
+def parse_coins(text: Column, amounts: Decimals = DECIMALS) -> Column:
     """array<struct<denom, amount>> of "10ubld,5uist"; parts that are no coin are left out, repeats stay apart."""
     parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x.rlike(COIN))
-    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, COIN, 2).alias("denom"), F.regexp_extract(x, COIN, 1).cast(WIDE).alias("amount")))
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, COIN, 2).alias("denom"), amounts.of(F.regexp_extract(x, COIN, 1)).alias("amount")))
 
 
-def sum_coins(coins: Column) -> Column:
+def sum_coins(coins: Column, amounts: Decimals = DECIMALS) -> Column:
     """One entry per denomination. For the few coins of a transaction; sums over many rows are groupings."""
     names = F.array_distinct(F.transform(coins, lambda c: c["denom"]))
-    zero = F.lit(0).cast(WIDE)
-    return F.transform(names, lambda d: F.struct(d.alias("denom"), F.aggregate(F.filter(coins, lambda c: c["denom"] == d), zero, lambda s, c: (s + c["amount"]).cast(WIDE)).alias("amount")))
+    zero = amounts.stored(amounts.of(F.lit(0)))
+    return F.transform(names, lambda d: F.struct(d.alias("denom"), F.aggregate(F.filter(coins, lambda c: c["denom"] == d), zero, lambda s, c: amounts.stored(amounts.add(s, c["amount"]))).alias("amount")))
 
 
-def amount_of(coins: Column, denom: Column) -> Column:
+def amount_of(coins: Column, denom: Column, amounts: Decimals = DECIMALS) -> Column:
     """The amount of a denomination in summed coins, else 0."""
-    return F.coalesce(F.try_element_at(F.transform(F.filter(coins, lambda c: c["denom"] == denom), lambda c: c["amount"]), F.lit(1)), F.lit(0).cast(WIDE))
+    return F.coalesce(F.try_element_at(F.transform(F.filter(coins, lambda c: c["denom"] == denom), lambda c: c["amount"]), F.lit(1)), amounts.of(F.lit(0)))
 
 
 def msg_index(event: Column) -> Column:
@@ -57,9 +58,9 @@ def max_gas(text: Column) -> Column:
     return F.when(v > 0, v)
 
 
-def fee_coins(events: Column) -> Column:
+def fee_coins(events: Column, amounts: Decimals = DECIMALS) -> Column:
     """The last `fee` attribute of every `tx` event."""
-    return F.flatten(F.transform(F.filter(events, lambda e: e["type"] == "tx"), lambda e: parse_coins(attr_last(e, "fee"))))
+    return F.flatten(F.transform(F.filter(events, lambda e: e["type"] == "tx"), lambda e: parse_coins(attr_last(e, "fee"), amounts)))
 
 
 def event_payer(events: Column) -> Column:
@@ -81,7 +82,7 @@ def type_urls_from_events(events: Column) -> Column:
 def received_coins(events: Column, kind: str, indices: Column | None = None) -> Column:
     """Amounts of events of a kind, only those of the given messages if `indices` is set."""
     keep = lambda e: (e["type"] == kind) & (F.lit(True) if indices is None else F.coalesce(F.array_contains(indices, msg_index(e)), F.lit(False)))
-    return F.flatten(F.transform(F.filter(events, keep), lambda e: F.flatten(F.transform(attr_values(e, "amount"), parse_coins))))
+    return F.flatten(F.transform(F.filter(events, keep), lambda e: F.flatten(F.transform(attr_values(e, "amount"), lambda v: parse_coins(v)))))
 
 
 def packet_json(event: Column) -> Column:

@@ -1,6 +1,6 @@
 """From blocks to rollup deltas and address facts. Every transaction yields an array of deltas and every message one more, so the many
 series of transactions cost one pass; those of block events and of state changes read other columns. What is used more than
-once is a column of its own, parsed once."""
+once is a column of its own, parsed once. `amounts` tells how amounts are held: numbers.DECIMALS or, for over 38 digits, numbers.LIMBS."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import capdata, events
 from ..functions.denoms import ibc_denom
+from ..functions.numbers import DECIMALS, WIDE, Decimals
 from ..sources.blocks import block_events, pair_txs, tx_hash
 from . import offers
 
@@ -28,41 +29,48 @@ COUNTED = {
     "/cosmos.gov.v1beta1.MsgSubmitProposal": "gov_proposals",
     "/cosmos.gov.v1.MsgSubmitProposal": "gov_proposals",
 }
-WIDE = events.WIDE
-DELTAS = f"array<struct<series: string, dimension: string, delta: {WIDE}>>"
 COINS = "array<struct<denom: string, amount: string>>"
 
 
-def _delta(series: Column | str, dimension: Column | str, delta: Column | int) -> Column:
-    lit = lambda x: F.lit(x) if isinstance(x, (str, int)) else x
-    return F.struct(lit(series).alias("series"), offers.clamp_dim(lit(dimension)).alias("dimension"), lit(delta).cast(WIDE).alias("delta"))
+def _coin_list(amounts: Decimals) -> str:
+    return f"array<struct<denom: string, amount: {amounts.type}>>"
 
 
-def _coins(series: str, coins: Column) -> Column:
-    return F.transform(coins, lambda c: _delta(series, c["denom"], c["amount"]))
+def _delta(series: Column | str, dimension: Column | str, delta: Column | int, amounts: Decimals = DECIMALS) -> Column:
+    """delta: an integer or a column of integers."""
+    return _amount_delta(series, dimension, amounts.of(F.lit(delta) if isinstance(delta, int) else delta), amounts)
 
 
-def _none() -> Column:
-    return F.array().cast(DELTAS)
+def _amount_delta(series: Column | str, dimension: Column | str, amount: Column, amounts: Decimals = DECIMALS) -> Column:
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(lit(series).alias("series"), offers.clamp_dim(lit(dimension)).alias("dimension"), amounts.stored(amount).alias("delta"))
 
 
-def _when(cond: Column, deltas: Column) -> Column:
-    return F.when(cond, deltas).otherwise(_none())
+def _coins(series: str, coins: Column, amounts: Decimals = DECIMALS) -> Column:
+    return F.transform(coins, lambda c: _amount_delta(series, c["denom"], c["amount"], amounts))
 
 
-def json_coins(text: Column) -> Column:
+def _none(amounts: Decimals) -> Column:
+    return F.array().cast(f"array<struct<series: string, dimension: string, delta: {amounts.type}>>")
+
+
+def _when(cond: Column, deltas: Column, amounts: Decimals = DECIMALS) -> Column:
+    return F.when(cond, deltas).otherwise(_none(amounts))
+
+
+def json_coins(text: Column, amounts: Decimals = DECIMALS) -> Column:
     """array<struct<denom, amount>> of a JSON list of coins; amounts that are no integer are left out."""
     got = F.coalesce(F.from_json(text, COINS), F.array().cast(COINS))
     ok = F.filter(got, lambda c: c["denom"].isNotNull() & c["amount"].rlike("^[0-9]+$"))
-    return F.transform(ok, lambda c: F.struct(c["denom"].alias("denom"), c["amount"].cast(WIDE).alias("amount")))
+    return F.transform(ok, lambda c: F.struct(c["denom"].alias("denom"), amounts.of(c["amount"]).alias("amount")))
 
 
-def with_ibc_in(txs: DataFrame) -> DataFrame:
+def with_ibc_in(txs: DataFrame, amounts: Decimals = DECIMALS) -> DataFrame:
     """Adds ibc_in: array<struct<denom, amount, from_received, from_transfer, used_filter, used_fallback>> of a transaction: by
     denomination, the larger of both event families' sums, each taken first. Only events of the receiving messages count if any event names a
     message; if that leaves nothing, all of the transaction's do. Each event is parsed once."""
     kinds = F.filter("events", lambda e: e["type"].isin("coin_received", "transfer"))
-    parsed = F.transform(kinds, lambda e: F.struct(e["type"].alias("kind"), events.msg_index(e).alias("at"), F.flatten(F.transform(events.attr_values(e, "amount"), events.parse_coins)).alias("coins")))
+    parsed = F.transform(kinds, lambda e: F.struct(e["type"].alias("kind"), events.msg_index(e).alias("at"), F.flatten(F.transform(events.attr_values(e, "amount"), lambda v: events.parse_coins(v, amounts))).alias("coins")))
     indices = events.msg_indices_of(F.col("messages"), IBC_IN)
     t = txs.withColumn("__at", indices).withColumn("__all", F.when(F.size("__at") > 0, parsed).otherwise(F.slice(parsed, 1, 0)))
     t = t.withColumn("__mine", F.filter("__all", lambda e: F.coalesce(F.array_contains(F.col("__at"), e["at"]), F.lit(False))))
@@ -71,9 +79,9 @@ def with_ibc_in(txs: DataFrame) -> DataFrame:
     t = t.withColumn("__events", F.when(F.col("__used"), F.col("__mine")).otherwise(F.col("__all")))
     coins = lambda kind: F.flatten(F.transform(F.filter("__events", lambda e: e["kind"] == kind), lambda e: e["coins"]))
     t = t.withColumns({"__got": coins("coin_received"), "__moved": coins("transfer")})
-    t = t.withColumns({c: events.sum_coins(F.col(c)) for c in ("__got", "__moved")})
+    t = t.withColumns({c: events.sum_coins(F.col(c), amounts) for c in ("__got", "__moved")})
     names = F.array_distinct(F.concat(F.transform("__got", lambda c: c["denom"]), F.transform("__moved", lambda c: c["denom"])))
-    got, moved = (lambda d: events.amount_of(F.col("__got"), d)), (lambda d: events.amount_of(F.col("__moved"), d))
+    got, moved = (lambda d: events.amount_of(F.col("__got"), d, amounts)), (lambda d: events.amount_of(F.col("__moved"), d, amounts))
     used, tried = F.col("__used"), F.col("__tried")
     rows = F.transform(names, lambda d: F.struct(
         d.alias("denom"), F.greatest(got(d), moved(d)).alias("amount"), got(d).alias("from_received"), moved(d).alias("from_transfer"),
@@ -88,79 +96,81 @@ def flows_in(evs: Column, messages: Column) -> Column:
     return F.when(n > 0, F.when(F.size(keys) > 0, F.size(keys)).otherwise(n)).otherwise(0)
 
 
-def sent_coins(message: Column) -> Column:
+def sent_coins(message: Column, amounts: Decimals = DECIMALS) -> Column:
     """What a message transfers: a send, the outputs of a multi-send, the token of an outbound transfer."""
     url, body = message["type_url"], message["body"]
     outs = F.from_json(F.get_json_object(body, "$.outputs"), f"array<struct<coins: {COINS}>>")
-    multi = F.flatten(F.transform(F.coalesce(outs, F.array().cast(f"array<struct<coins: {COINS}>>")), lambda o: json_coins(F.to_json(o["coins"]))))
-    token = json_coins(F.concat(F.lit("["), F.get_json_object(body, "$.token"), F.lit("]")))
-    return F.when(url == SEND, json_coins(F.get_json_object(body, "$.amount"))).when(url == MULTI_SEND, multi).when(url == IBC_OUT, token).otherwise(F.array().cast(f"array<struct<denom: string, amount: {WIDE}>>"))
+    multi = F.flatten(F.transform(F.coalesce(outs, F.array().cast(f"array<struct<coins: {COINS}>>")), lambda o: json_coins(F.to_json(o["coins"]), amounts)))
+    token = json_coins(F.concat(F.lit("["), F.get_json_object(body, "$.token"), F.lit("]")), amounts)
+    return F.when(url == SEND, json_coins(F.get_json_object(body, "$.amount"), amounts)).when(url == MULTI_SEND, multi).when(url == IBC_OUT, token).otherwise(F.array().cast(_coin_list(amounts)))
 
 
-def sender_legs(message: Column) -> Column:
+def sender_legs(message: Column, amounts: Decimals = DECIMALS) -> Column:
     """array<struct<address, denom, amount>>: the sending side; of a multi-send, its inputs."""
     url, body = message["type_url"], message["body"]
     at = lambda who, coins: F.transform(coins, lambda c: F.struct(who.alias("address"), c["denom"].alias("denom"), c["amount"].alias("amount")))
     ins_type = f"array<struct<address: string, coins: {COINS}>>"
     ins = F.coalesce(F.from_json(F.get_json_object(body, "$.inputs"), ins_type), F.array().cast(ins_type))
-    multi = F.flatten(F.transform(ins, lambda i: at(i["address"], json_coins(F.to_json(i["coins"])))))
-    none = F.array().cast(f"array<struct<address: string, denom: string, amount: {WIDE}>>")
-    return F.when(url == SEND, at(F.get_json_object(body, "$.fromAddress"), sent_coins(message))).when(url == MULTI_SEND, multi).when(url == IBC_OUT, at(F.get_json_object(body, "$.sender"), sent_coins(message))).otherwise(none)
+    multi = F.flatten(F.transform(ins, lambda i: at(i["address"], json_coins(F.to_json(i["coins"]), amounts))))
+    none = F.array().cast(f"array<struct<address: string, denom: string, amount: {amounts.type}>>")
+    return F.when(url == SEND, at(F.get_json_object(body, "$.fromAddress"), sent_coins(message, amounts))).when(url == MULTI_SEND, multi).when(url == IBC_OUT, at(F.get_json_object(body, "$.sender"), sent_coins(message, amounts))).otherwise(none)
 
 
-def message_deltas(rows: DataFrame) -> DataFrame:
+def message_deltas(rows: DataFrame, amounts: Decimals = DECIMALS) -> DataFrame:
     """Adds m_deltas to rows of messages (m: type_url, body; null for none). Each body is parsed into columns, once for each kind of message."""
     counted = F.create_map(*[F.lit(x) for kv in COUNTED.items() for x in kv])
     url = F.col("m.type_url")
-    t = rows.withColumns({"__coins": F.when(url.isin(SEND, MULTI_SEND, IBC_OUT), sent_coins(F.col("m"))), "__action": F.when(url.isin(WALLET), capdata.parsed_action(F.col("m.body")))})
+    t = rows.withColumns({"__coins": F.when(url.isin(SEND, MULTI_SEND, IBC_OUT), sent_coins(F.col("m"), amounts)), "__action": F.when(url.isin(WALLET), capdata.parsed_action(F.col("m.body")))})
     t = t.withColumn("__f", F.when(url.isin(WALLET), capdata.action_fields(F.col("__action"))))
     f = lambda name: F.col(f"__f.{name}")
     t = t.withColumn("__category", offers.offer_category(f("kind"), f("instance_path"), f("maker"), f("target")))
+    one = lambda series, dim: _delta(series, dim, 1, amounts)
     offer, invoked = f("kind") == "zoe_offer", f("kind") == "wallet_invocation"
     wallet = F.array_compact(F.array(
-        _delta("wallet_actions", f("kind"), 1), _delta("offer_category", F.col("__category"), 1), F.when(offer, _delta("offer_source", f("source"), 1)),
-        F.when(offer & f("instance").isNotNull(), _delta("offer_instance", f("instance"), 1)), F.when(offer & f("maker").isNotNull(), _delta("offer_maker", f("maker"), 1)),
-        F.when(invoked & f("target").isNotNull(), _delta("invoke_target", f("target"), 1))))
-    legs = lambda series, side: F.transform(capdata.legs_of(F.col(f"__action.offer.proposal.{side}")), lambda x: _delta(series, F.coalesce(x["brand"], F.lit("")), x["value"]))
-    coins, series = F.coalesce("__coins", F.array().cast(f"array<struct<denom: string, amount: {WIDE}>>")), F.try_element_at(counted, url)
+        one("wallet_actions", f("kind")), one("offer_category", F.col("__category")), F.when(offer, one("offer_source", f("source"))),
+        F.when(offer & f("instance").isNotNull(), one("offer_instance", f("instance"))), F.when(offer & f("maker").isNotNull(), one("offer_maker", f("maker"))),
+        F.when(invoked & f("target").isNotNull(), one("invoke_target", f("target")))))
+    legs = lambda series, side: F.transform(capdata.legs_of(F.col(f"__action.offer.proposal.{side}"), amounts), lambda x: _amount_delta(series, F.coalesce(x["brand"], F.lit("")), x["value"], amounts))
+    coins, series = F.coalesce("__coins", F.array().cast(_coin_list(amounts))), F.try_element_at(counted, url)
     deltas = F.concat(
-        _coins("transfer_volume", coins), _when(url == IBC_OUT, F.concat(_coins("ibc_transfer_amount_out", coins), F.array(_delta("ibc_transfer_out_count", "", 1)))),
-        _when(series.isNotNull(), F.array(_delta(series, "", 1))), _when(url.isin(WALLET), F.concat(wallet, _when(offer, F.concat(legs("offer_give_volume", "give"), legs("offer_want_volume", "want"))))))
-    return t.withColumn("m_deltas", F.when(F.col("m").isNotNull(), deltas).otherwise(_none())).drop("__coins", "__action", "__f", "__category")
+        _coins("transfer_volume", coins, amounts), _when(url == IBC_OUT, F.concat(_coins("ibc_transfer_amount_out", coins, amounts), F.array(one("ibc_transfer_out_count", ""))), amounts),
+        _when(series.isNotNull(), F.array(one(series, "")), amounts), _when(url.isin(WALLET), F.concat(wallet, _when(offer, F.concat(legs("offer_give_volume", "give"), legs("offer_want_volume", "want")), amounts)), amounts))
+    return t.withColumn("m_deltas", F.when(F.col("m").isNotNull(), deltas).otherwise(_none(amounts))).drop("__coins", "__action", "__f", "__category")
 
 
-def tx_rows(blocks: DataFrame) -> DataFrame:
+def tx_rows(blocks: DataFrame, amounts: Decimals = DECIMALS) -> DataFrame:
     """height, time, tx_i, ok, tx, messages, events, payer, fees."""
     t = pair_txs(blocks).withColumn("ok", F.col("result.code") == 0)
     evs = F.coalesce("result.events", F.array().cast("array<struct<type: string, attributes: array<struct<key: string, value: string>>>>"))
     messages = F.coalesce("tx.messages", F.array().cast("array<struct<type_url: string, body: string>>"))
     t = t.withColumns({"events": evs, "messages": messages})
-    t = t.withColumn("__fees", events.fee_coins(F.col("events")))
-    return t.withColumns({"fees": events.sum_coins(F.col("__fees")), "payer": F.when(F.col("ok"), events.message_payer(F.col("tx"))).otherwise(events.event_payer(F.col("events")))}).drop("__fees")
+    t = t.withColumn("__fees", events.fee_coins(F.col("events"), amounts))
+    return t.withColumns({"fees": events.sum_coins(F.col("__fees"), amounts), "payer": F.when(F.col("ok"), events.message_payer(F.col("tx"))).otherwise(events.event_payer(F.col("events")))}).drop("__fees")
 
 
-def tx_deltas(txs: DataFrame, modules: list[str] = ()) -> DataFrame:
-    """height, time, deltas: a row for each message, the first of which has the transaction's own deltas as well. modules: accounts
-    whose receipts are no credits (a curated list)."""
+def tx_deltas(txs: DataFrame, modules: list[str] = (), amounts: Decimals = DECIMALS) -> DataFrame:
+    """height, time, deltas: a row for each message, the first of which has the transaction's own deltas as well. txs: tx_rows with the
+    same amounts; modules: accounts whose receipts are no credits (a curated list)."""
     ok, evs, msgs = F.col("ok"), F.col("events"), F.col("messages")
     receiver = lambda e: events.attr_first(e, "receiver")
     credits = F.filter(evs, lambda e: (e["type"] == "coin_received") & receiver(e).isNotNull() & ~F.coalesce(receiver(e).isin(list(modules)), F.lit(False)))
-    t = with_ibc_in(txs).withColumn("__credit", F.when(ok, F.flatten(F.transform(credits, lambda e: F.flatten(F.transform(events.attr_values(e, "amount"), events.parse_coins))))))
-    t = t.withColumns({"__credit": F.coalesce(events.sum_coins(F.col("__credit")), F.array().cast(f"array<struct<denom: string, amount: {WIDE}>>")), "__n_in": F.size(events.msg_indices_of(msgs, IBC_IN))})
+    t = with_ibc_in(txs, amounts).withColumn("__credit", F.when(ok, F.flatten(F.transform(credits, lambda e: F.flatten(F.transform(events.attr_values(e, "amount"), lambda v: events.parse_coins(v, amounts)))))))
+    t = t.withColumns({"__credit": F.coalesce(events.sum_coins(F.col("__credit"), amounts), F.array().cast(_coin_list(amounts))), "__n_in": F.size(events.msg_indices_of(msgs, IBC_IN))})
     n_in = F.col("__n_in")
     gas = lambda c: F.coalesce(F.col(c).try_cast(WIDE), F.lit(0).cast(WIDE))
+    delta = lambda series, n: _delta(series, "", n, amounts)
     every = F.concat(
-        F.array(_delta(F.when(ok, "tx_success").otherwise("tx_failed"), "", 1), _delta("gas_used", "", gas("result.gas_used")), _delta("gas_wanted", "", gas("result.gas_wanted"))),
-        _coins("fee_paid", F.col("fees")),
+        F.array(delta(F.when(ok, "tx_success").otherwise("tx_failed"), 1), delta("gas_used", gas("result.gas_used")), delta("gas_wanted", gas("result.gas_wanted"))),
+        _coins("fee_paid", F.col("fees"), amounts),
     )
-    inbound = _when(n_in > 0, F.concat(F.array(_delta("ibc_transfer_in_count", "", n_in), _delta("ibc_transfer_flow_in", "", flows_in(evs, msgs))), F.transform("ibc_in", lambda c: _delta("ibc_transfer_amount_in", c["denom"], c["amount"]))))
-    own = F.concat(every, _when(ok, F.concat(_coins("bank_credits_volume", F.col("__credit")), inbound)))
+    inbound = _when(n_in > 0, F.concat(F.array(delta("ibc_transfer_in_count", n_in), delta("ibc_transfer_flow_in", flows_in(evs, msgs))), _coins("ibc_transfer_amount_in", F.col("ibc_in"), amounts)), amounts)
+    own = F.concat(every, _when(ok, F.concat(_coins("bank_credits_volume", F.col("__credit"), amounts), inbound), amounts))
     rows = t.withColumn("own", own).select("height", "time", "own", F.posexplode_outer(F.when(ok, msgs)).alias("m_i", "m"))
-    rows = message_deltas(rows)
-    return rows.select("height", "time", F.concat(_when(F.coalesce(F.col("m_i") == 0, F.lit(True)), F.col("own")), F.col("m_deltas")).alias("deltas"))
+    rows = message_deltas(rows, amounts)
+    return rows.select("height", "time", F.concat(_when(F.coalesce(F.col("m_i") == 0, F.lit(True)), F.col("own"), amounts), F.col("m_deltas")).alias("deltas"))
 
 
-def send_packets(evs: Column) -> Column:
+def send_packets(evs: Column, amounts: Decimals = DECIMALS) -> Column:
     """array<struct<denom, amount, sender, receiver, channel>>: the transfers that blocks send on their own: transfer port, no mode or a
     begin/end-block mode, an integer amount above 0."""
     def ok(e: Column) -> Column:
@@ -169,22 +179,22 @@ def send_packets(evs: Column) -> Column:
 
     def of(e: Column) -> Column:
         j = F.from_json(events.packet_json(e), "denom string, amount string, sender string, receiver string")
-        return F.struct(ibc_denom(j["denom"]).alias("denom"), F.when(j["amount"].rlike("^[0-9]+$"), j["amount"].try_cast(WIDE)).alias("amount"), j["sender"].alias("sender"), j["receiver"].alias("receiver"), events.attr_last(e, "packet_src_channel").alias("channel"))
+        return F.struct(ibc_denom(j["denom"]).alias("denom"), F.when(j["amount"].rlike("^[0-9]+$"), amounts.try_of(j["amount"])).alias("amount"), j["sender"].alias("sender"), j["receiver"].alias("receiver"), events.attr_last(e, "packet_src_channel").alias("channel"))
 
-    return F.filter(F.transform(F.filter(F.coalesce(evs, F.array().cast("array<struct<type: string, attributes: array<struct<key: string, value: string>>>>")), ok), of), lambda s: s["denom"].isNotNull() & (s["amount"] > 0))
+    return F.filter(F.transform(F.filter(F.coalesce(evs, F.array().cast("array<struct<type: string, attributes: array<struct<key: string, value: string>>>>")), ok), of), lambda s: s["denom"].isNotNull() & amounts.nonzero(s["amount"]))
 
 
-def block_deltas(blocks: DataFrame) -> DataFrame:
+def block_deltas(blocks: DataFrame, amounts: Decimals = DECIMALS) -> DataFrame:
     """height, time, deltas at the grain of blocks, before any transaction is exploded."""
     gas, sends = events.max_gas(F.col("max_gas")), F.col("__sends")
-    return blocks.select("height", "time", "max_gas", send_packets(block_events()).alias("__sends")).select("height", "time", F.concat(
-        _when(gas.isNotNull(), F.array(_delta("block_gas_limit", "", gas))), F.transform(sends, lambda s: _delta("ibc_transfer_amount_out_orch", s["denom"], s["amount"])),
-        _when(F.size(sends) > 0, F.array(_delta("ibc_transfer_out_count_orch", "", F.size(sends))))).alias("deltas"))
+    return blocks.select("height", "time", "max_gas", send_packets(block_events(), amounts).alias("__sends")).select("height", "time", F.concat(
+        _when(gas.isNotNull(), F.array(_delta("block_gas_limit", "", gas, amounts)), amounts), _coins("ibc_transfer_amount_out_orch", sends, amounts),
+        _when(F.size(sends) > 0, F.array(_delta("ibc_transfer_out_count_orch", "", F.size(sends), amounts)), amounts)).alias("deltas"))
 
 
-def all_deltas(blocks: DataFrame, modules: list[str] = ()) -> DataFrame:
+def all_deltas(blocks: DataFrame, modules: list[str] = (), amounts: Decimals = DECIMALS) -> DataFrame:
     """height, hour, series, dimension, delta."""
-    both = tx_deltas(tx_rows(blocks), modules).unionByName(block_deltas(blocks))
+    both = tx_deltas(tx_rows(blocks, amounts), modules, amounts).unionByName(block_deltas(blocks, amounts))
     return both.select("height", F.date_trunc("hour", "time").alias("hour"), F.inline("deltas"))
 
 
@@ -195,16 +205,16 @@ def participants(txs: DataFrame) -> DataFrame:
     return rows.where("coalesce(address, '') <> ''").distinct()
 
 
-def address_fees(txs: DataFrame) -> DataFrame:
+def address_fees(txs: DataFrame, amounts: Decimals = DECIMALS) -> DataFrame:
     """(day, address, denom, fee), of failed transactions too."""
     rows = txs.where("payer IS NOT NULL").select(F.to_date("time").alias("day"), F.col("payer").alias("address"), F.inline("fees"))
-    return rows.groupBy("day", "address", "denom").agg(F.sum("amount").alias("fee"))
+    return rows.groupBy("day", "address", "denom").agg(amounts.sum(F.col("amount")).alias("fee"))
 
 
-def address_volumes(txs: DataFrame) -> DataFrame:
+def address_volumes(txs: DataFrame, amounts: Decimals = DECIMALS) -> DataFrame:
     """(day, address, denom, volume) of the sending sides of successful transactions."""
-    rows = txs.where("ok").select(F.to_date("time").alias("day"), F.inline(F.flatten(F.transform("messages", sender_legs))))
-    return rows.where("address IS NOT NULL").groupBy("day", "address", "denom").agg(F.sum("amount").alias("volume"))
+    rows = txs.where("ok").select(F.to_date("time").alias("day"), F.inline(F.flatten(F.transform("messages", lambda m: sender_legs(m, amounts)))))
+    return rows.where("address IS NOT NULL").groupBy("day", "address", "denom").agg(amounts.sum(F.col("amount")).alias("volume"))
 
 
 def bundle_installs(txs: DataFrame, denom: str = "ubld") -> DataFrame:
@@ -329,14 +339,14 @@ def outcome_category(facts: DataFrame, rules: offers.Rules = offers.RULES) -> Da
     return offers.classified(facts, rules).withColumn("category", F.when(F.col("named"), F.col("category")).otherwise("unclassified"))
 
 
-def offer_outcome_deltas(blocks: DataFrame) -> DataFrame:
+def offer_outcome_deltas(blocks: DataFrame, amounts: Decimals = DECIMALS) -> DataFrame:
     """height, hour, series, dimension, delta from terminal offer statuses."""
     cells = outcome_category(_outcomes(blocks).select("height", "hour", "json", "outcome", "named", *[f"f.{c}" for c in ("kind", "instance_path", "maker", "target")]))
-    payouts = F.transform(capdata.amount_legs(F.get_json_object("json", "$.status.payouts")), lambda x: _delta("offer_payout_volume", F.coalesce(x["brand"], F.lit("")), x["value"]))
-    deltas = F.concat(F.array(_delta("offer_outcome", F.col("outcome"), 1), _delta("offer_outcome_category", offers.outcome_dim(F.col("category"), F.col("outcome")), 1)), payouts)
+    payouts = F.transform(capdata.amount_legs(F.get_json_object("json", "$.status.payouts"), amounts), lambda x: _amount_delta("offer_payout_volume", F.coalesce(x["brand"], F.lit("")), x["value"], amounts))
+    deltas = F.concat(F.array(_delta("offer_outcome", F.col("outcome"), 1, amounts), _delta("offer_outcome_category", offers.outcome_dim(F.col("category"), F.col("outcome")), 1, amounts)), payouts)
     return cells.select("height", "hour", F.inline(deltas))
 
 
-def rollup_deltas(blocks: DataFrame, modules: list[str] = ()) -> DataFrame:
+def rollup_deltas(blocks: DataFrame, modules: list[str] = (), amounts: Decimals = DECIMALS) -> DataFrame:
     """height, hour, series, dimension, delta: all that the rollups sum, in batch, stream and backfill alike."""
-    return all_deltas(blocks, modules).unionByName(offer_outcome_deltas(blocks))
+    return all_deltas(blocks, modules, amounts).unionByName(offer_outcome_deltas(blocks, amounts))

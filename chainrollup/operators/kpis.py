@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import pct_change, ratio
+from ..functions.numbers import DECIMALS, Decimals, pct_change, ratio
 
 
-def rollup_hours(deltas: DataFrame) -> DataFrame:
+def rollup_hours(deltas: DataFrame, amounts: Decimals = DECIMALS) -> DataFrame:
     """(hour, series, dimension, value): sums of deltas, zero deltas left out. Partial sums are made before the shuffle,
     so a series without dimension is no hot key."""
-    return deltas.where("delta <> 0").groupBy("hour", "series", "dimension").agg(F.sum("delta").alias("value"))
+    return deltas.where(amounts.nonzero(F.col("delta"))).groupBy("hour", "series", "dimension").agg(amounts.sum(F.col("delta")).alias("value"))
 
 
-def rollup_days(hours: DataFrame) -> DataFrame:
+def rollup_days(hours: DataFrame, amounts: Decimals = DECIMALS) -> DataFrame:
     """Days from hours: the blocks are not read twice."""
-    return hours.groupBy(F.to_date("hour").alias("day"), "series", "dimension").agg(F.sum("value").alias("value"))
+    return hours.groupBy(F.to_date("hour").alias("day"), "series", "dimension").agg(amounts.sum(F.col("value")).alias("value"))
 
 
 def window_sum(value: Column, day: Column, start, end, when: Column | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import ratio
+from ..functions.numbers import DECIMALS, Decimals, ratio
 
 STALE_BLOCKS = 250_000
 
@@ -97,11 +97,11 @@ def coverage_cutoff(df: DataFrame) -> DataFrame:
     return df.crossJoin(first).agg(F.min(F.when(~F.col("answered") & (F.col("day") > F.col("__f")), F.col("day"))).alias("cutoff"))
 
 
-def parity_check(hourly: DataFrame, daily: DataFrame) -> DataFrame:
+def parity_check(hourly: DataFrame, daily: DataFrame, amounts: Decimals = DECIMALS) -> DataFrame:
     """(series, dimension, hourly, daily) where the sums differ; a missing side is 0."""
-    h = hourly.groupBy("series", "dimension").agg(F.sum("value").alias("hourly"))
-    d = daily.groupBy("series", "dimension").agg(F.sum("value").alias("daily"))
-    z = lambda c: F.coalesce(c, F.lit(0))
+    h = hourly.groupBy("series", "dimension").agg(amounts.sum(F.col("value")).alias("hourly"))
+    d = daily.groupBy("series", "dimension").agg(amounts.sum(F.col("value")).alias("daily"))
+    z = amounts.or_zero
     return h.join(d, ["series", "dimension"], "full_outer").select("series", "dimension", z(F.col("hourly")).alias("hourly"), z(F.col("daily")).alias("daily")).where("hourly <> daily")
 
 

@@ -436,6 +436,16 @@ def wide_sum(spark, d):
     return wide.agg(*[c.alias(n) for c, n in zip(numbers.wide_sum(F.col("v")), ("hi", "lo"))]).select(numbers.wide_join(F.col("hi"), F.col("lo")).alias("total"))
 
 
+@query("SELECT CAST(day AS VARCHAR) AS bucket, series, dimension, CAST(v AS VARCHAR) || lpad(CAST(v AS VARCHAR), 30, '0') AS value FROM (SELECT day, series, dimension, sum(delta) AS v FROM p_delta WHERE delta <> 0 GROUP BY ALL)")
+def wide_rollup(spark, d):
+    """Amounts d * 10^30 + d summed by hour, added up by hour's half and day, and put out as text."""
+    digits = F.col("delta").cast("string")
+    wide = P.deltas(spark, d).withColumn("delta", numbers.LIMBS.of(F.concat(digits, F.lpad(digits, 30, "0"))))
+    hours = kpis.rollup_hours(wide, numbers.LIMBS)
+    half = lambda k: kpis.rollup_days(hours.where(F.hour("hour") % 2 == k), numbers.LIMBS)
+    return export.export_long(store.merge_additive(half(0), half(1), ["day", "series", "dimension"], amounts=numbers.LIMBS), "day", numbers.LIMBS)
+
+
 @query(f"""WITH k AS ({KPI_SQL}) SELECT 'kpi' AS part, kpi AS key, CAST(current AS DOUBLE) AS value FROM k
 UNION ALL SELECT 'total', series || '/' || dimension, CAST(sum(value) AS DOUBLE) FROM p_day WHERE {IN_NOW} GROUP BY series, dimension
 UNION ALL SELECT 'series', CAST(day AS VARCHAR) || '/' || series, CAST(CASE WHEN f.floor IS NOT NULL AND g.day + INTERVAL 1 DAY <= f.floor THEN NULL ELSE coalesce(v.value, 0) END AS DOUBLE)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import DECIMALS, Decimals
 
-def export_long(df: DataFrame, bucket: str) -> DataFrame:
+
+def export_long(df: DataFrame, bucket: str, amounts: Decimals = DECIMALS) -> DataFrame:
     """(bucket, series, dimension, value) in order; the sort is a range shuffle, not one task."""
-    return df.select(F.col(bucket).cast("string").alias("bucket"), "series", "dimension", F.col("value").cast("string").alias("value")).orderBy("bucket", "series", "dimension")
+    return df.select(F.col(bucket).cast("string").alias("bucket"), "series", "dimension", amounts.text(F.col("value")).alias("value")).orderBy("bucket", "series", "dimension")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

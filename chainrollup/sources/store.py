@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import DECIMALS, Decimals
 from ..operators.windows import latest_row
 
 ROLLUP_KEY = ["series", "dimension"]
 
 
-def merge_additive(base: DataFrame, delta: DataFrame, key: list[str], value: str = "value") -> DataFrame:
+def merge_additive(base: DataFrame, delta: DataFrame, key: list[str], value: str = "value", amounts: Decimals = DECIMALS) -> DataFrame:
     """base + delta by key. Not idempotent: see streaming.stream for replays."""
-    return base.unionByName(delta).groupBy(*key).agg(F.sum(value).alias(value))
+    return base.unionByName(delta).groupBy(*key).agg(amounts.sum(F.col(value)).alias(value))
 
 
 def merge_set(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.numbers import DECIMALS, Decimals
 from .files import children, delete
 from .store import VersionedTable
 
@@ -31,8 +32,8 @@ class Table(NamedTuple):
 
 
 class TableSet:
-    def __init__(self, spark: SparkSession, path: str, tables: dict[str, Table]):
-        self.spark, self.path, self.tables = spark, path.rstrip("/"), tables
+    def __init__(self, spark: SparkSession, path: str, tables: dict[str, Table], amounts: Decimals = DECIMALS):
+        self.spark, self.path, self.tables, self.amounts = spark, path.rstrip("/"), tables, amounts
         self.commits = VersionedTable(spark, f"{self.path}/commits")
 
     def folders(self, version: int | None = None) -> dict[tuple[str, str], str]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.numbers import DECIMALS, Decimals
 from ..operators import extract, kpis, participation
 from ..plans import jobs
 from ..sources import store
@@ -31,19 +32,19 @@ def _hash(*key: str, parts: int = 16) -> str:
     return f"cast(pmod(xxhash64({', '.join(key)}), {parts}) as string)"
 
 
-def block_tables(parts: int = 16) -> dict[str, Table]:
+def block_tables(parts: int = 16, amounts: Decimals = DECIMALS) -> dict[str, Table]:
     """The tables that blocks feed. Sums and participants are dealt by day, daily sums by month, latest rows and first sightings into `parts` parts by their key."""
-    amounts = lambda *key: partial(store.merge_additive, key=list(key[:-1]), value=key[-1])
+    added = lambda *key: partial(store.merge_additive, key=list(key[:-1]), value=key[-1], amounts=amounts)
     latest = lambda *key: partial(store.merge_latest, key=list(key), order=["height", "seq"])
     day, month = "cast({} as string)", "date_format(day, 'yyyy-MM')"
     return {
-        "hourly_metrics": Table("hour timestamp, series string, dimension string, value decimal(38,0)", day.format("to_date(hour)"), amounts("hour", "series", "dimension", "value")),
-        "daily_metrics": Table("day date, series string, dimension string, value decimal(38,0)", month, amounts("day", "series", "dimension", "value")),
+        "hourly_metrics": Table(f"hour timestamp, series string, dimension string, value {amounts.type}", day.format("to_date(hour)"), added("hour", "series", "dimension", "value")),
+        "daily_metrics": Table(f"day date, series string, dimension string, value {amounts.type}", month, added("day", "series", "dimension", "value")),
         "participant_day": Table("day date, address string, role string", day.format("day"), _set),
         "offer_participant_day": Table("day date, address string, kind string", day.format("day"), _set),
         "offer_category_participant_day": Table("day date, address string, category string", day.format("day"), _set),
-        "address_fee_day": Table("day date, address string, denom string, fee decimal(38,0)", day.format("day"), amounts("day", "address", "denom", "fee")),
-        "address_volume_day": Table("day date, address string, denom string, volume decimal(38,0)", day.format("day"), amounts("day", "address", "denom", "volume")),
+        "address_fee_day": Table(f"day date, address string, denom string, fee {amounts.type}", day.format("day"), added("day", "address", "denom", "fee")),
+        "address_volume_day": Table(f"day date, address string, denom string, volume {amounts.type}", day.format("day"), added("day", "address", "denom", "volume")),
         "first_seen": Table("address string, first_day date", _hash("address", parts=parts), partial(store.merge_least, key=["address"], value="first_day")),
         "action": Table(extract.ACTION, day.format("to_date(hour)"), DataFrame.unionByName),
         "outcome": Table(extract.OUTCOME, day.format("to_date(hour)"), DataFrame.unionByName),
@@ -58,9 +59,9 @@ def block_tables(parts: int = 16) -> dict[str, Table]:
     }
 
 
-def open_tables(spark: SparkSession, path: str, names: list[str] | None = None, parts: int = 16) -> TableSet:
-    """The stored tables under a path. names: those to keep, all by default; the set of heights and the blocks that wait always are."""
-    return TableSet(spark, path, {k: t for k, t in block_tables(parts).items() if names is None or k in (*names, "heights", "held")})
+def open_tables(spark: SparkSession, path: str, names: list[str] | None = None, parts: int = 16, amounts: Decimals = DECIMALS) -> TableSet:
+    """The stored tables under a path. amounts: how the sums in them are held, the same whenever they are opened. names: those to keep, all by default; the set of heights and the blocks that wait always are."""
+    return TableSet(spark, path, {k: t for k, t in block_tables(parts, amounts).items() if names is None or k in (*names, "heights", "held")}, amounts)
 
 
 def read_block_stream(spark: SparkSession, path: str, fmt: str = "json", files: int | None = None) -> DataFrame:
@@ -97,14 +98,14 @@ def _changes(tables: TableSet, ready: DataFrame, modules: list[str], brands: dic
     """What final blocks add to each table of the set. Hours and participants, which two tables are made of, are worked out once."""
     wanted, got = set(tables.tables), {}
     if wanted & {"hourly_metrics", "daily_metrics"}:
-        hours = tables.stage("hours", kpis.rollup_hours(extract.rollup_deltas(ready, modules)))
-        got |= {"hourly_metrics": hours, "daily_metrics": kpis.rollup_days(hours)}
+        hours = tables.stage("hours", kpis.rollup_hours(extract.rollup_deltas(ready, modules, tables.amounts), tables.amounts))
+        got |= {"hourly_metrics": hours, "daily_metrics": kpis.rollup_days(hours, tables.amounts)}
     if wanted & {"participant_day", "first_seen"}:
         people = tables.stage("people", extract.participants(extract.tx_rows(ready)))
         got |= {"participant_day": people, "first_seen": participation.first_seen_index(people)}
     if "ymax_flow" in wanted:
         got["ymax_flow"] = store.fold_flows(extract.flow_rows(extract.state_cells(ready), brands), FLOW_KEY)
-    got |= jobs.rollup_tables(ready, modules, brands, wanted - got.keys())
+    got |= jobs.rollup_tables(ready, modules, brands, wanted - got.keys(), tables.amounts)
     return {name: df for name, df in got.items() if name in wanted}
 
 
@@ -174,12 +175,12 @@ def finality_lag(batch: DataFrame, held: DataFrame, lag: int = 3) -> tuple[DataF
     return marked.where(F.col("height") <= F.col("__top") - lag).drop("__top"), marked.where(F.col("height") > F.col("__top") - lag).drop("__top")
 
 
-def tumbling_sums(blocks: DataFrame, width: str = "1 hour", late: str = "1 hour", modules: list[str] = ()) -> DataFrame:
+def tumbling_sums(blocks: DataFrame, width: str = "1 hour", late: str = "1 hour", modules: list[str] = (), amounts: Decimals = DECIMALS) -> DataFrame:
     """start, series, dimension, value of a stream of blocks by hour or day, in append mode: a window is put out once, when the
     watermark (the latest hour less `late`) has passed its end, and rows that come after are left out (see late_rows)."""
-    rows = extract.rollup_deltas(blocks, list(modules)).where("delta <> 0").withWatermark("hour", late)
-    sums = rows.groupBy(F.window("hour", width), "series", "dimension").agg(F.sum("delta").alias("value"))
-    return sums.select(F.col("window.start").alias("start"), "series", "dimension", F.col("value").cast("decimal(38,0)").alias("value"))
+    rows = extract.rollup_deltas(blocks, list(modules), amounts).where(amounts.nonzero(F.col("delta"))).withWatermark("hour", late)
+    sums = rows.groupBy(F.window("hour", width), "series", "dimension").agg(amounts.sum(F.col("delta")).alias("value"))
+    return sums.select(F.col("window.start").alias("start"), "series", "dimension", F.col("value").cast(amounts.type).alias("value"))
 
 
 def write_tumbling(sums: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
