@@ -4,8 +4,9 @@
    keeps the minimum of exponential variates of the elements on an exponentially spaced, truncated scale. The
    sketch of a union is the registerwise maximum, and equal registers are the likelier the more two sets share.
 2. Documents with equal sets are one class from here on, however many they are.
-3. Four registers make a band. In every bucket of a band, members are paired with three members drawn by hash (never all with all). In a
-   bucket of many members it is one; it is split by each of the next two bands as well, and each part draws members of its own.
+3. Four registers make a band. In every bucket of a band of at most `FEW` members, they are paired with four of them drawn by hash (never all
+   with all). The members of larger buckets are crowded; among these every pair at the threshold is met by a shingle of its
+   rarest ones, exactly: see `crowded_pairs`.
 4. The similarity of a pair is estimated by the joint likelihood of its registers and set sizes; pairs well below the threshold go, and
    the rest is joined to neighbourhoods.
 5. Within a neighbourhood the full sets are compared until its links are settled: everything that can still join
@@ -28,6 +29,8 @@ from .graph import components
 
 WIDTH = 5
 REGISTERS, BAND = 128, 4
+FEW, DRAWN = 6, 4  # members of a bucket that isn't crowded, and how many of them the others meet
+SLOTS = 1 << 20  # of the table of shingle counts by hash, one byte each, that orders shingles by rarity
 BASE, RATE, TOP = 1.02, 20.0, 65535  # of the registers' scale: base, rate of the exponentials, truncation
 BLOCK_ROWS = 96  # of a block of a neighbourhood, besides its shingles
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -98,28 +101,59 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, n_shingles long, set_digest binary, bands array<long>")
 
 
-def candidate_pairs(reps: DataFrame, centers: int = 3, large: int = 32, finer: int = 2) -> DataFrame:
-    """Distinct (a, b), a < b: every member of a bucket with `centers` members of it, drawn by a hash of the band. In a bucket of
-    over `large` members one is drawn; it is split once by each of the next `finer` bands, and the parts' members are paired in the same way."""
-    n_bands = REGISTERS // BAND
-    rows = reps.select("rep", "bands", F.posexplode("bands").alias("band", "key"))
-    following = [F.element_at("bands", (F.col("band") + k + 1) % n_bands + 1).alias(f"next{k}") for k in range(finer)]
-    rows = rows.select("rep", "band", "key", *following)
+def candidate_pairs(reps: DataFrame, few: int = FEW, centers: int = DRAWN) -> DataFrame:
+    """Distinct (a, b), a < b: every member of a bucket of at most `few` with `centers` members of it, drawn by a hash of the band; and
+    (a, null) for every member of a larger bucket."""
+    rows = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    draw = [F.min_by("rep", F.xxhash64(F.lit(k), "band", "rep")).alias(f"c{k}") for k in range(centers)]
+    met = rows.join(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *draw).where("n > 1"), ["band", "key"])
+    ends = F.when(F.col("n") > few, F.array(F.lit(None).cast("long"))).otherwise(F.array_distinct(F.array(*[f"c{k}" for k in range(centers)])))
+    met = met.select("rep", F.explode(ends).alias("c")).where("c IS NULL OR rep <> c")
+    return met.select(F.least("rep", "c").alias("a"), F.when(F.col("c").isNotNull(), F.greatest("rep", "c")).alias("b")).distinct()
 
-    def drawn(of: DataFrame, key: list[str]) -> DataFrame:
-        draw = [F.min_by("rep", F.xxhash64(F.lit(k), "band", "rep")).alias(f"c{k}") for k in range(centers)]
-        return of.join(of.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *draw).where("n > 1"), key)
 
-    def ends(of: DataFrame) -> DataFrame:
-        several = F.array_distinct(F.array(*[f"c{k}" for k in range(centers)]))
-        return of.select("rep", F.explode(F.when(F.col("n") > large, F.array("c0")).otherwise(several)).alias("c")).where("rep <> c")
+def crowded_pairs(texts: DataFrame, percent: int) -> DataFrame:
+    """texts: rep, text. (a, b, sure): distinct, a < b; in these edges every two linked sets are joined, by one edge that isn't sure or by sure ones.
 
-    met = drawn(rows, ["band", "key"])
-    pairs = ends(met)
-    many = stored(met.where(F.col("n") > large).select("rep", "band", "key", *[f"next{k}" for k in range(finer)]), "large-buckets")
-    for k in range(finer):
-        pairs = pairs.unionByName(ends(drawn(many.select("rep", "band", "key", f"next{k}"), ["band", "key", f"next{k}"])))
-    return pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+    Shingles are put in one order, by the count of what falls into their slot, rare ones first. Of two linked sets each has the first
+    shingle that they share among its own first size - ceil(percent * size / 100) + 1. Members that have such a shingle in common are joined to
+    the smallest and, if they are three at most, to the largest of them: then all are paired, and an estimate can drop a pair. If
+    they are more, the edge to the smallest is sure (it is not a pair to be estimated, it makes one neighbourhood of them)."""
+    spark = texts.sparkSession
+    low = np.uint64(SLOTS - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                s = np.concatenate([shingles(t) for t in whole.column("text").slice(at, 512).to_pylist()])
+                total += np.bincount((s & low).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        for at in range(0, len(slot), 1 << 16):
+            yield pa.RecordBatch.from_pydict({"slot": slot[at : at + (1 << 16)].astype(np.int32), "n": total[slot[at : at + (1 << 16)]]})
+
+    counted = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    got = counted.select("slot", F.log2("n").cast("byte").alias("level")).toArrow()  # SLOTS rows at most
+    level = np.zeros(SLOTS, np.uint8)
+    level[got.column("slot").to_numpy()] = got.column("level").to_numpy()
+    levels = spark.sparkContext.broadcast(level)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                reps, tokens = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                for rep, text in zip(*(whole.column(c).slice(at, 256).to_pylist() for c in ("rep", "text")), strict=True):
+                    s = shingles(text)
+                    order = np.argsort(levels.value[(s & low).astype(np.int64)], kind="stable")  # s is sorted, so ties are in one order too
+                    tokens.append(s[order[: len(s) + (-percent * len(s)) // 100 + 1]])
+                    reps.append(np.full(len(tokens[-1]), rep, np.int64))
+                yield pa.RecordBatch.from_pydict({"rep": np.concatenate(reps), "token": np.concatenate(tokens).view(np.int64)})
+
+    held = stored(texts.select("rep", "text").mapInArrow(first, "rep long, token long"), "first-shingles")
+    shared = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("c"), F.max("rep").alias("d")).where("n > 1")
+    ends = F.when(F.col("n") > 3, F.array("c")).otherwise(F.array("c", "d"))
+    met = held.join(shared, "token").select("rep", F.explode(ends).alias("c"), (F.col("n") > 3).alias("sure")).where("rep <> c")
+    return met.groupBy(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).agg(F.max("sure").alias("sure"))
 
 
 def likely_pairs(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -305,12 +339,17 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, percent: int, margin: f
         picked = classes.select(F.col("rep").alias("__rep"), F.col("set_digest").alias("__d"), "node")
         reps = named.join(picked, (F.col("doc_id") == F.col("__rep")) & (F.col("set_digest") == F.col("__d"))).dropDuplicates(["doc_id", "set_digest"])
         reps = stored(reps.select(F.col("node").alias("rep"), "doc_id", "th", "n_shingles", "bands"), "reps")
-        pairs = likely_pairs(stored(candidate_pairs(reps.select("rep", "bands")), "pairs"), reps, percent / 100 - margin)
+        text = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+        pairs = stored(candidate_pairs(reps.select("rep", "bands")), "pairs")
+        crowded = reps.join(pairs.where("b IS NULL").select(F.col("a").alias("rep")), "rep").select("rep", "doc_id", "th")
+        crowded = stored(crowded.join(text, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("rep", "text"), "crowded")
+        met = stored(crowded_pairs(crowded, percent), "met")
+        pairs = pairs.where("b IS NOT NULL").unionByName(met.where("NOT sure").select("a", "b")).distinct()
+        pairs = likely_pairs(pairs, reps, percent / 100 - margin).unionByName(met.where("sure").select("a", "b"))
         hoods = stored(components(pairs), "neighbourhoods")
         weights = hoods.join(reps.select("rep", "n_shingles"), F.col("node") == F.col("rep")).groupBy("component").agg(F.ceil(F.greatest(F.sum("n_shingles") / block_shingles, F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
         nodes = hoods.join(weights, "component").join(reps.select("rep", "doc_id", "th"), F.col("node") == F.col("rep"))
         nodes = nodes.select(F.col("component").alias("comp"), "rep", "doc_id", "th", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "blocks")
-        text = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
         members = stored(nodes.join(text, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("comp", "block", "blocks", "rep", "text"), "members")
         linked = stored(components(_settle(members, percent, block_shingles)), "linked", keep=True)
     name = F.coalesce("component", "node")

@@ -8,7 +8,7 @@ import pytest
 
 from chainrollup.llm import near_dedup as near_dedup_module
 from chainrollup.llm.graph import components
-from chainrollup.llm.near_dedup import Postings, estimate, link_sets, near_dedup, near_groups, registers, shingles
+from chainrollup.llm.near_dedup import Postings, candidate_pairs, crowded_pairs, estimate, link_sets, near_dedup, near_groups, registers, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -160,3 +160,40 @@ def test_links_of_a_whole_table_are_all_found(spark):
         part[max(x, y)] = min(x, y)
     got = near_groups(docs).collect()
     assert len(links) > 50 and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_crowded_texts_lose_no_link(spark):
+    """Pairs just at the threshold in a family whose members all share half: no bucket's draws are relied on."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template, rows = [word() for _ in range(64)], []
+    for k in range(400):
+        own = [*template, *(word() for _ in range(36))]
+        other = list(own)
+        for at in (70, 78, 97):
+            other[at] = word()
+        rows += [(k, " ".join(own)), (1000 + k, " ".join(other))]
+    sets = {i: set(shingles(t).tolist()) for i, t in rows}
+    met = crowded_pairs(spark.createDataFrame(rows, "rep long, text string"), 75).collect()
+    part, direct = {i: i for i, _ in rows}, {(r.a, r.b) for r in met}
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in ((r.a, r.b) for r in met if r.sure):
+        x, y = find(a), find(b)
+        part[max(x, y)] = min(x, y)
+    linked = [(k, 1000 + k) for k in range(400) if 100 * len(sets[k] & sets[1000 + k]) >= 75 * len(sets[k] | sets[1000 + k])]
+    assert len(linked) > 150 and all((a, b) in direct or find(a) == find(b) for a, b in linked)
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_members_of_large_buckets_are_crowded(spark):
+    few = [(k, [7, 100 + k]) for k in range(5)]
+    many = [(k, [8, 200 + k]) for k in range(10, 30)]
+    got = {(r.a, r.b) for r in candidate_pairs(spark.createDataFrame(few + many, "rep long, bands array<long>")).collect()}
+    assert {a for a, b in got if b is None} == set(range(10, 30))
+    assert all(a < b < 5 for a, b in got if b is not None) and {x for p in got if p[1] is not None for x in p} == set(range(5))
