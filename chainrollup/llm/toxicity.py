@@ -72,10 +72,16 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     ]
 
 
+def training_labels(labels: DataFrame, label: str, fold: tuple[int, int]) -> DataFrame:
+    """(doc_id, label) of all rows outside the held-out fold. Labels over 0 count as 1. Of rows that repeat a doc_id the larger label
+    counts; null ids or labels are left out."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_mod("doc_id", fold[0]) != fold[1]))
+    return usable.groupBy("doc_id").agg(F.max(F.col(label).cast("double") > 0).cast("double").alias("label"))
+
+
 def training_sample(labels: DataFrame, label: str, fit_rows: int, fold: tuple[int, int], seed: int = 5) -> DataFrame:
-    """About fit_rows rows (doc_id, label) outside the held-out fold, by a hash of the id: the bound of what is broadcast.
-    Labels over 0 count as 1. Of rows that repeat a doc_id the larger label counts; null ids or labels are left out."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_mod("doc_id", fold[0]) != fold[1])).groupBy("doc_id").agg(F.max(F.col(label).cast("double") > 0).cast("double").alias("label"))
+    """About fit_rows of the training labels, by a hash of the id: the bound of what is broadcast."""
+    usable = training_labels(labels, label, fold)
     share = min(1.0, fit_rows / max(usable.count(), 1))
     return stored(usable.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1), "sample")
 

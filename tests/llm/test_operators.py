@@ -349,6 +349,33 @@ def test_few_labels_ties_and_odd_rows(spark, score, label):
     assert score(d.limit(0), spark.createDataFrame([(1, 1)], f"doc_id long, {label} int")).collect() == []
 
 
+def test_quality_learns_from_every_label(spark):
+    """One row of label 1 among 30,000 is learned from, whatever its id's hash, and the threshold parts it from the rest."""
+    ids = spark.range(40_000).where("crc32(cast(id as string)) % 4 <> 2").withColumn("k", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30))).orderBy(F.desc("k"))
+    best = ids.first().id
+    d = spark.range(40_000, numPartitions=4).selectExpr("id AS doc_id", f"IF(id = {best}, 'one fine text of many quite different words that goes on', 'b| b| b|') AS text")
+    got = quality_classifier.quality_scores(d, d.selectExpr("doc_id", f"cast(doc_id = {best} as int) AS quality"))
+    by = {(r.doc_id == best): r.score for r in got.groupBy("doc_id").agg(F.max("score").alias("score")).where(f"doc_id IN ({best}, {(best + 1) % 40_000})").collect()}
+    assert by[True] > by[False]
+
+
+def test_every_labelled_row_is_in_a_pair(spark):
+    rng = random.Random(5)
+    rows = [(k, float(k < 5), *[float(k == 7 * j) + rng.random() for j in range(len(quality_classifier.FEATURES))]) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, label double, " + ", ".join(f"{f} double" for f in quality_classifier.FEATURES)).repartition(5)
+    assert {(r.label, r.number) for r in quality_classifier.numbered(table).collect()} == {(float(k >= 55), k) for k in range(60)}
+    got = {round(r.length, 9) for r in quality_classifier.preference_pairs(table, 55, 60).where("label = 1").collect()}
+    of = {k: {round(a[2] - b[2], 9) for a in rows for b in rows if a[1] > b[1] and k in (a[0], b[0])} for k in range(60)}
+    assert all(got & diffs for diffs in of.values())
+
+
+def test_value_of_a_rank_is_exact(spark):
+    rng = random.Random(8)
+    values = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e6), 2.5, -1e-9]) for _ in range(500)]
+    d = spark.createDataFrame([(v,) for v in values], "raw double")
+    assert [quality_classifier.at_rank(d, k) for k in (1, 125, 300, 500)] == [sorted(values)[k - 1] for k in (1, 125, 300, 500)]
+
+
 def test_nearness_is_that_of_a_plain_search():
     rng = random.Random(3)
     for _ in range(50):
