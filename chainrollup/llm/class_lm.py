@@ -12,8 +12,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,9 +126,22 @@ def encode(texts: DataFrame, head: pa.Array) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, train boolean, ids binary, tail array<string>")
 
 
-def tally(encoded: DataFrame, codes, size: int, cls: np.ndarray | None = None, counts: np.ndarray | None = None) -> DataFrame:
-    """(code, n) over the training documents. codes(word numbers), or with cls codes(classes of all tokens), gives numbers
-    below `size`, which bounds a task's memory and its output."""
+def pack_counts(total: np.ndarray, width: int) -> Iterator[tuple[int, bytes]]:
+    """(part, codes and counts) of the parts of `width` codes that have counts: two bytes a code, four planes of bytes for the counts."""
+    at = np.flatnonzero(total)
+    part = at // width
+    for k in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1) if len(at) else ():
+        yield int(part[k[0]]), (at[k] - width * part[k]).astype("<u2").tobytes() + total[at[k]].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def add_counts(total: np.ndarray, data: bytes) -> None:
+    n = len(data) // 6
+    total[np.frombuffer(data, "<u2", n)] += np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=2 * n).reshape(4, n).T).view("<u4").ravel()
+
+
+def tally(encoded: DataFrame, codes, size: int, cls: np.ndarray | None = None, counts: np.ndarray | None = None, width: int = 2048, finish: Callable | None = None, schema: str = "code long, n long") -> DataFrame:
+    """(code, n) over the training documents, or `schema` by finish(first code, counts of `width` codes). codes(word numbers), or with cls
+    codes(classes of all tokens), gives numbers below `size`, which bounds a task's memory and its output. Counts are shuffled packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, waiting, n = np.zeros(size, np.int32), [], 0
@@ -145,12 +159,25 @@ def tally(encoded: DataFrame, codes, size: int, cls: np.ndarray | None = None, c
                     waiting, n = [], 0
         if waiting:
             add()
+        rows = pack_counts(total, width)
+        while some := list(itertools.islice(rows, 1000)):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in some], pa.int32()), "data": pa.array([d for _, d in some], pa.binary())})
+
+    def listed(first: int, total: np.ndarray) -> pa.RecordBatch:
         at = np.flatnonzero(total)
-        for k in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_pydict({"code": at[k : k + 100_000].astype(np.int64), "n": total[at[k : k + 100_000]].astype(np.int64)})
+        return pa.RecordBatch.from_pydict({"code": at + first, "n": total[at]})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((p, d) for b in batches for p, d in zip(*(c.to_pylist() for c in b.columns), strict=True))  # sorted by part
+        for part, group in itertools.groupby(rows, lambda r: r[0]):
+            total = np.zeros(width, np.int64)
+            for _, data in group:
+                add_counts(total, data)
+            yield (finish or listed)(part * width, total)
 
     columns = ["ids"] if cls is None else ["ids", "tail_c", "tail_n"]
-    return encoded.where("train").select(*columns).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    packs = encoded.where("train").select(*columns).mapInArrow(run, "part int, data binary")
+    return packs.repartition("part").sortWithinPartitions("part").mapInArrow(merge, schema)
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -242,15 +269,12 @@ def place_numbered(encoded: DataFrame, cls: np.ndarray, pair: np.ndarray, n_word
             w = (ids[at].astype(np.int64) - n) * slots
             return np.concatenate([w + side[at] for side in _neighbours(known, ids, size)])
 
-        def choose(t: pa.Table) -> pa.Table:
-            w, slot, k = (t.column(x).to_numpy() for x in ("w", "slot", "n"))
-            words, row = np.unique(w, return_inverse=True)
-            m = np.zeros((len(words), slots))
-            np.add.at(m, (row, slot), k)
-            return pa.table({"w": pa.array(words, pa.int32()), "best": pa.array((m @ fits).argmax(1), pa.int32())})
+        def choose(first: int, total: np.ndarray) -> pa.RecordBatch:
+            m = total.reshape(-1, slots)
+            row = np.flatnonzero(m.any(1))
+            return pa.RecordBatch.from_pydict({"w": (row + first // slots).astype(np.int32), "best": (m[row] @ fits).argmax(1).astype(np.int32)})
 
-        rows = tally(encoded, codes, (n_words - n) * slots).select((F.col("code") / slots).cast("int").alias("w"), (F.col("code") % slots).cast("int").alias("slot"), "n")
-        got = rows.groupBy(F.expr("w div 1024").alias("part")).applyInArrow(choose, "w int, best int").toArrow()  # at most `head` rows
+        got = tally(encoded, codes, (n_words - n) * slots, width=slots * max(1, 2048 // slots), finish=choose, schema="w int, best int").toArrow()  # at most `head` rows
         full[got["w"].to_numpy() + n] = got["best"].to_numpy()
     return full
 
@@ -301,8 +325,9 @@ def place_tail(encoded: DataFrame, cls: np.ndarray, pair: np.ndarray, size: Size
         if rest:
             yield placed(rest)
 
-    rows = encoded.where("train AND size(tail) > 0").select("ids", "tail").mapInArrow(seen, "word string, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word string, n long, c int")
+    rows = encoded.where("train AND size(tail) > 0").select("ids", "tail").mapInArrow(seen, "word string, slot int, n long")
+    rows = rows.repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n"))  # one shuffle for both: what a task has seen is summed up
+    return rows.sortWithinPartitions("word").mapInArrow(choose, "word string, n long, c int")
 
 
 @dataclass

@@ -274,6 +274,19 @@ def test_packed_word_numbers_come_back():
     assert class_lm.unpacked(b"").tolist() == []
 
 
+def test_packed_counts_come_back_and_are_small():
+    rng = np.random.default_rng(4)
+    total = rng.integers(0, 3, 10_000).astype(np.int32) * rng.integers(0, 2, 10_000).astype(np.int32)
+    total[[0, 77, 9_999]] = (1, 1 << 30, 70_000)
+    got = np.zeros((5, 2048), np.int64)
+    packs = list(class_lm.pack_counts(total, 2048))
+    for part, data in packs * 2:
+        class_lm.add_counts(got[part], data)
+    assert got.ravel()[:10_000].tolist() == (2 * total.astype(np.int64)).tolist() and not got.ravel()[10_000:].any()
+    assert sum(len(d) for _, d in packs) == 6 * np.count_nonzero(total)  # 24 bytes and more in rows of two longs
+    assert list(class_lm.pack_counts(np.zeros(9, np.int32), 4)) == []
+
+
 def test_exchange_ends_where_no_move_helps():
     rng = np.random.default_rng(3)
     size = class_lm.Sizes(classes=3)
