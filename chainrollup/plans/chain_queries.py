@@ -37,9 +37,10 @@ def _choose(of: Column, names: dict | list) -> Column:
     return F.coalesce(*[F.when(of == k, F.lit(v)) for k, v in pairs])
 
 
-def _cells(spark, d):
-    """k, c, s, m, height, time, path, json, slots, url, body: one published value and one message of each order."""
-    o = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("s"), P.cents("o_totalprice").alias("m"), F.col("o_orderpriority").alias("pri"), F.to_date("o_orderdate").alias("d"))
+def _cells(spark, d, parts=None):
+    """k, c, s, m, height, time, path, json, slots, url, body: one published value and one message of each order. parts: deals the orders by height, before anything is made of them."""
+    o = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("s"), P.cents("o_totalprice").alias("m"), F.col("o_orderpriority").alias("pri"), F.to_date("o_orderdate").alias("d")).withColumn("height", F.expr("k div 16"))
+    o = o.repartition(parts, "height") if parts else o
     k, c, s, m = (F.col(x) for x in "kcsm")
     v = {"k": k, "c": c, "m": m, "k2": k % 2, "k3": k % 3, "k4": k % 4, "k7": k % 7, "k11": k % 11, "c3": c % 3, "c100": c % 100, "ft": _choose(s, FLOW_TYPE), "st": _choose(s, FLOW_STATE), "inst": _choose(c % 3, INSTANCES)}
     even = c % 2 == 0
@@ -54,8 +55,7 @@ def _cells(spark, d):
     urls = [extract.WALLET[1], extract.WALLET[1], extract.IBC_OUT, extract.WALLET[0]]
     pick = lambda of, n, values: F.coalesce(*[F.when(of % n == i, x) for i, x in enumerate(values)])
     path = pick(k, 5, [F.array(F.lit("published"), *p) for p in paths])
-    height = F.expr("k div 16")
-    return o.select("k", "c", "s", "m", "pri", "d", height.alias("height"), F.expr("timestamp'2024-01-01 05:30:00' + make_interval(0, 0, 0, cast(k div 16 % 90 as int))").alias("time"), path.alias("path"), pick(k, 5, [wallet, portfolio, position, flow, pool]).alias("json"), F.array(fill("board<c3>", **v)).alias("slots"), pick(k, 4, [F.lit(u) for u in urls]).alias("url"), pick(k, 4, bodies).alias("body"))
+    return o.select("k", "c", "s", "m", "pri", "d", "height", F.expr("timestamp'2024-01-01 05:30:00' + make_interval(0, 0, 0, cast(height % 90 as int))").alias("time"), path.alias("path"), pick(k, 5, [wallet, portfolio, position, flow, pool]).alias("json"), F.array(fill("board<c3>", **v)).alias("slots"), pick(k, 4, [F.lit(u) for u in urls]).alias("url"), pick(k, 4, bodies).alias("body"))
 
 
 def _kv(**a: Column):
@@ -71,12 +71,12 @@ def _key() -> Column:
     return F.concat(F.lit("3\u0000"), F.array_join("path", "\u0000"))
 
 
-def chain_blocks(spark, d):
-    """Blocks of up to sixteen orders, each a transaction and a state change."""
+def chain_blocks(spark, d, parts=None):
+    """Blocks of up to sixteen orders, each a transaction and a state change; dealt into `parts` by a hash of the height, if given."""
     event = F.struct(F.lit("state_change").alias("type"), _kv(key=_key(), value=_cell_value()).alias("attributes"))
     tx = F.struct(F.base64(F.col("k").cast("string").cast("binary")).alias("raw"), F.array(F.struct(F.col("url").alias("type_url"), F.col("body"))).alias("messages"), F.array(F.concat(F.lit("agoric"), F.col("c").cast("string"))).alias("signers"), F.lit(None).cast("string").alias("fee_granter"), F.lit(None).cast("string").alias("fee_payer"))
     result = F.struct((F.col("k") % 9 == 0).cast("int").alias("code"), F.lit("1").alias("gas_used"), F.lit("2").alias("gas_wanted"), F.array().cast(f"array<{B.EVENT}>").alias("events"))
-    rows = _cells(spark, d).select("height", "time", "k", event.alias("event"), tx.alias("tx"), result.alias("result"))
+    rows = _cells(spark, d, parts).select("height", "time", "k", event.alias("event"), tx.alias("tx"), result.alias("result"))
     b = rows.groupBy("height").agg(F.min("time").alias("time"), F.sort_array(F.collect_list(F.struct("k", "event", "tx", "result"))).alias("e"))  # sixteen rows
     return b.select("height", "time", F.col("e.tx").alias("txs"), F.col("e.result").alias("txs_results"), F.lit(None).cast(f"array<{B.EVENT}>").alias("finalize_block_events"), F.col("e.event").alias("end_block_events"), F.lit("-1").alias("max_gas"))
 

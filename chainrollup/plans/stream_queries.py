@@ -22,20 +22,28 @@ QUERIES, ORACLES, query = registry()
 TOP = "(SELECT max(height) FROM p_c)"
 
 
+FILE, BATCH = 20_000, 250  # orders in a landing file, and files in a batch, at most (by a hash, so about)
+
+
+def _parts(spark: SparkSession, d: str) -> int:
+    return max(2, -(-P.table(spark, d, "orders").count() // FILE))
+
+
 def _landed(spark: SparkSession, d: str, times: int = 1) -> str:
-    """A folder of landing files: the blocks dealt out by a hash, so that heights come late, in `times` copies."""
-    path, blocks = new_folder(spark, "landing"), chain_blocks(spark, d)
+    """A folder of landing files, compressed: the blocks dealt out by a hash, so that heights come late, in `times` copies. Orders are dealt, not
+    blocks, which are some thirty times as large."""
+    path, blocks = new_folder(spark, "landing"), chain_blocks(spark, d, _parts(spark, d))
     for _ in range(times):
-        blocks.repartition(2, F.xxhash64("height")).write.mode("append").json(path)
+        blocks.write.mode("append").json(path, compression="gzip")
     return path
 
 
 def _streamed(spark: SparkSession, d: str, names: list[str], lag: int, again: bool = False, **options) -> TableSet:
-    """The tables after a stream over landed blocks, of one file a batch; `again`: all of them once more, by another checkpoint."""
-    land, path = _landed(spark, d), new_folder(spark, "tables")
+    """The tables after a stream over landed blocks, in two batches or more of bounded size; `again`: all of them once more, by another checkpoint."""
+    land, path, files = _landed(spark, d), new_folder(spark, "tables"), min(BATCH, _parts(spark, d) // 2)
     tables = stream.open_tables(spark, path, names)
     for k in range(1 + again):
-        stream.stream_rollup(stream.read_block_stream(spark, land, files=1), tables, f"{path}/checkpoint-{k}", lag=lag, **options).awaitTermination()
+        stream.stream_rollup(stream.read_block_stream(spark, land, files=files), tables, f"{path}/checkpoint-{k}", lag=lag, **options).awaitTermination()
     delete(spark, land)
     return tables
 
@@ -77,7 +85,7 @@ def idempotent_latest(spark, d):
 def stream_dedup_blocks(spark, d):
     """Blocks that land twice, within the watermark."""
     land, out = _landed(spark, d, 2), new_folder(spark, "deduplicated")
-    rows = stream.dedup_blocks(stream.read_block_stream(spark, land)).select("height", F.to_date("time").alias("day"))
+    rows = stream.dedup_blocks(stream.read_block_stream(spark, land).select("height", "time")).select("height", F.to_date("time").alias("day"))
     rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     delete(spark, land)
     return spark.read.schema("height bigint, day date").parquet(f"{out}/rows")
@@ -87,8 +95,8 @@ def stream_dedup_blocks(spark, d):
 def catchup_trigger(spark, d):
     """Participants after the controller, far behind the tip, has caught up; with the mode that it chose."""
     land, path = _landed(spark, d), new_folder(spark, "tables")
-    t, tip = stream.open_tables(spark, path, ["participant_day"]), chain_blocks(spark, d).agg(F.max("height").alias("h")).first()["h"]
-    ran = stream.follow(t, land, f"{path}/checkpoint", lambda: tip, lambda: stream.done_through(t) >= tip, threshold=tip // 2, poll=1.0, lag=0)
+    t, tip = stream.open_tables(spark, path, ["participant_day"]), P.table(spark, d, "orders").agg(F.max(F.expr("o_orderkey div 16")).alias("h")).first()["h"]
+    ran = stream.follow(t, land, f"{path}/checkpoint", lambda: tip, lambda: stream.done_through(t) >= tip, threshold=tip // 2, far=BATCH, poll=1.0, lag=0)
     delete(spark, land)
     return t.read("participant_day").withColumn("mode", F.lit(ran[0][0]))
 
@@ -157,7 +165,7 @@ def replay_day_parity(spark, d):
 def tumbled(spark: SparkSession, d: str, width: str) -> DataFrame:
     """Closed windows of a stream of blocks in the order of their times, an hour's batch late at most."""
     land, out = new_folder(spark, "landing"), new_folder(spark, "windows")
-    chain_blocks(spark, d).write.json(land)
+    chain_blocks(spark, d).write.json(land, compression="gzip")
     rows = stream.tumbling_sums(stream.read_block_stream(spark, land), width, "0 seconds")
     stream.write_tumbling(rows, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     delete(spark, land)

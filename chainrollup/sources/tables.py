@@ -47,7 +47,7 @@ class TableSet:
 
     def _load(self, name: str, folders: list[str]) -> DataFrame:
         schema = self.tables[name].schema
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema).where("false")  # the optimizer sees that it is empty
 
     def next_version(self) -> int:
         """The number of the next commit; that of one that failed before its record was begun is used again."""
@@ -56,14 +56,14 @@ class TableSet:
     def stage(self, name: str, df: DataFrame) -> DataFrame:
         """What several tables of a change are made of, written once until the next `forget`."""
         path = f"{self.path}/staged/{self.next_version()}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _write(self, name: str, folder: str, rows: DataFrame) -> dict[str, str]:
         """Writes rows by bucket; returns the folders of the buckets that have any. Large buckets go to several tasks."""
         table = self.tables[name]
         cast = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(table.schema)])
-        cast.withColumn(BUCKET, F.expr(table.bucket)).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        cast.withColumn(BUCKET, F.expr(table.bucket)).hint("rebalance", BUCKET).write.mode("overwrite").option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
         return {c.partition("=")[2]: f"{folder}/{c}" for c in children(self.spark, f"{self.path}/{folder}") if c.startswith(f"{BUCKET}=")}
 
     def commit(self, changes: dict[str, DataFrame], replace: Iterable[str] = (), clear: dict[str, Iterable[str]] | None = None) -> int:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import small
+
 SPAN = 1 << 16  # heights that are looked at together
 
 
@@ -28,7 +30,7 @@ def outside(rows: DataFrame, intervals: DataFrame) -> DataFrame:
     """Rows whose height is in no interval. An interval meets rows by the multiples of SPAN that it covers, so the join is one by equality."""
     covered = intervals.select("low", "high", F.explode(F.expr(f"sequence(low div {SPAN}, high div {SPAN})")).alias("__span"))
     on = (F.expr(f"height div {SPAN}") == F.col("__span")) & F.col("height").between(F.col("low"), F.col("high"))
-    return rows.join(covered, on, "left_anti")
+    return rows.join(small(covered), on, "left_anti")
 
 
 def gaps(intervals: DataFrame) -> DataFrame:

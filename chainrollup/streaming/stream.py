@@ -82,7 +82,7 @@ def advance(tables: TableSet, batch: DataFrame, lag: int = 3, modules: list[str]
     after higher ones is still counted. The last `lag` heights below the greatest one that was seen wait for a later batch."""
     done = tables.read("heights")
     fresh = heights.outside(batch.select(*tables.read("held").columns), done)
-    rows = tables.stage("blocks", tables.read("held").unionByName(fresh).dropDuplicates(["height"]))
+    rows = _once(tables, tables.stage("blocks", tables.read("held").unionByName(fresh)))
     top = rows.select("height").unionByName(done.select(F.col("high").alias("height"))).agg(F.max("height").alias("h")).first()["h"]
     if top is None:
         return None
@@ -94,6 +94,16 @@ def advance(tables: TableSet, batch: DataFrame, lag: int = 3, modules: list[str]
     return number
 
 
+def _once(tables: TableSet, rows: DataFrame) -> DataFrame:
+    """Stored blocks, one of each height. Heights alone are shuffled, and blocks only of those heights that come twice."""
+    twice = tables.stage("twice", rows.groupBy("height").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("height"))
+    n = twice.count()
+    if not n:
+        return rows
+    twice = F.broadcast(twice) if n <= 1_000_000 else twice
+    return tables.stage("unique", rows.join(twice, "height", "left_anti").unionByName(rows.join(twice, "height", "left_semi").dropDuplicates(["height"])))
+
+
 def _changes(tables: TableSet, ready: DataFrame, modules: list[str], brands: dict[str, str] | None) -> dict[str, DataFrame]:
     """What final blocks add to each table of the set. Hours and participants, which two tables are made of, are worked out once."""
     wanted, got = set(tables.tables), {}

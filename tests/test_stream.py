@@ -1,12 +1,14 @@
 import json
+import os
 import random
 import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from chainrollup.operators import extract, kpis, offers, participation
-from chainrollup.plans import jobs
+from chainrollup.plans import chain_queries, jobs, stream_queries
 from chainrollup.sources import store, tables
 from chainrollup.sources.blocks import read_blocks
 from chainrollup.streaming import heights, stream
@@ -276,3 +278,31 @@ def test_a_reader_never_sees_an_incomplete_version(spark, tmp_path):
         one(3).write.mode("errorifexists").parquet(str(tmp_path / "t" / "v=2"))
     table.forget(1)
     assert table.versions() == [2] and [r.v for r in table.read("v int").collect()] == [2]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_landed_blocks_are_small_and_whole(spark):
+    sf = "/root/testdata/sf0.001"
+    blocks, orders = chain_queries.chain_blocks(spark, sf), spark.read.parquet(f"{sf}/orders.parquet").count()
+    for times in (1, 2):
+        land = Path(stream_queries._landed(spark, sf, times).removeprefix("file:"))
+        files = [f for f in land.iterdir() if f.name.startswith("part-")]
+        assert len(files) == 2 * times and sum(f.stat().st_size for f in files) < 200 * times * orders
+        got = read_blocks(spark, str(land))
+        assert plain(got) == plain(blocks.select(*got.columns).unionByName(blocks.select(*got.columns)) if times == 2 else blocks.select(*got.columns))
+
+
+def test_heights_alone_are_shuffled_to_find_blocks_that_come_twice(spark, tmp_path, monkeypatch):
+    stage, plans = tables.TableSet.stage, {}
+
+    def seen(self, name, df):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(self, name, df)
+
+    monkeypatch.setattr(tables.TableSet, "stage", seen)
+    got = stream.open_tables(spark, str(tmp_path / "t"), ["address_volume_day"])
+    stream.advance(got, frame(spark, tmp_path / "0.json", range(1, 20)), lag=0)
+    assert "Exchange hashpartitioning" not in plans["blocks"] and "unique" not in plans
+    stream.advance(got, frame(spark, tmp_path / "1.json", [*range(15, 30), 22, 22, 25]), lag=0)
+    assert "Exchange hashpartitioning" not in plans["blocks"] and "unique" in plans
+    same_as_batch(spark, got, frame(spark, tmp_path / "all.json", range(1, 30)))
